@@ -161,11 +161,9 @@ def _context_rates(spark, sf):
     out = None
     for kind in _CTX:
         keys = h.CONTEXT_KINDS[kind]
-        starts = w.over_starts(log)
-        rates = h.context_asof(log, starts, kind)
-        # Every (key, date) with facts is also an over start, except phases or overs cut short.
-        asked = h.with_phase(starts).select(*keys, "date").distinct()
-        part = day(rates.join(asked, [*keys, "date"], "left_semi")).select(
+        totals = h.context_totals(log, kind)
+        rates = totals.select(*keys, "date", *[c.alias(n) for n, c in h.context_rates(f"{kind}_").items()])
+        part = day(rates).select(
             F.lit(kind).alias("kind"), F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key"), "date",
             F.round(f"{kind}_run_rate", 9).alias("run_rate"), F.col(f"{kind}_balls").cast("bigint").alias("balls"),
             F.round(f"{kind}_boundary_rate", 9).alias("boundary_rate"), F.round(f"{kind}_wicket_rate", 9).alias("wicket_rate"))
@@ -241,7 +239,7 @@ def _ewma(d):
 
 @query("ewma_form", _roles_sql(f"SELECT '$R' AS role, player, CAST(date AS VARCHAR) AS date, {_ewma(0.15)}, {_ewma(0.4)} FROM $R_form GROUP BY player, date"))
 def _ewma_form(spark, sf):
-    return _form_roles(spark, sf, [F.round(c, 9).alias(n.replace(".", "_")) for n, c in h.decayed_columns("").items()])
+    return _form_roles(spark, sf, [F.round(c, 9).alias(n) for n, c in h.decayed_columns("").items()])
 
 
 def _cal(days):

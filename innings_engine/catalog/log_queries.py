@@ -112,7 +112,7 @@ SELECT *, row_number() OVER (PARTITION BY match_id, innings ORDER BY over_number
        + " FROM numbered a LEFT JOIN numbered b ON a.match_id = b.match_id AND a.innings = b.innings AND b.seq < a.seq "
          "AND b.seq >= a.seq - 24 WHERE a.ball_number = 1 GROUP BY 1, 2, 3")
 def _momentum_balls(spark, sf):
-    out = w.at_over_start(delivery_log(spark, sf), w.momentum_ball_columns())
+    out = w.over_starts(w.with_momentum_balls(delivery_log(spark, sf)))
     return out.select("match_id", *big("innings", "over_number", *[f"runs_last_{n}_deliveries" for n in (6, 12, 18, 24)]),
                       *rounded(9, *[f"dot_rate_last_{n}_deliveries" for n in (6, 12, 18, 24)]))
 
@@ -127,7 +127,7 @@ _LAGS = [(lag, name, col) for lag in range(1, 13)
     + " FROM numbered a LEFT JOIN numbered b ON a.match_id = b.match_id AND a.innings = b.innings AND b.seq < a.seq "
       "AND b.seq >= a.seq - 12 WHERE a.ball_number = 1 GROUP BY 1, 2, 3")
 def _ball_lags(spark, sf):
-    out = w.at_over_start(delivery_log(spark, sf), w.ball_lag_columns())
+    out = w.over_starts(delivery_log(spark, sf).select(*OVER_KEY, "ball_number", *w.ball_lag_columns()))
     return out.select("match_id", *big("innings", "over_number", *[f"ball_minus_{lag}_{n}" for lag, n, _ in _LAGS]))
 
 

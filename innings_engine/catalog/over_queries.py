@@ -79,7 +79,7 @@ _SMP_FLOAT = ["batter_career_strike_rate", "bowler_career_economy", "current_run
 
 @query("over_samples", f"SELECT match_id, \"partition\" AS part, {sql_big(*_SMP_INT)}, {sql_round(9, *_SMP_FLOAT)} FROM smp")
 def _over_samples(spark, sf):
-    df = s.with_partition(ot.over_samples(delivery_log(spark, sf), fc.FORECAST_GROUPS))
+    df = fc.samples(spark, sf)
     return df.select("match_id", F.col("partition").alias("part"), *big(*_SMP_INT), *rounded(9, *_SMP_FLOAT))
 
 
@@ -157,8 +157,8 @@ def _over_mean(spark, sf):
 SELECT phase, count(*) AS overs, round(avg(abs(y - batter_bowler_history)), 6) AS mae,
   round(avg(y), 6) AS mean_runs, round(avg(batter_bowler_history), 6) AS mean_forecast FROM pw GROUP BY 1""")
 def _flagship(spark, sf):
-    """From the raw table to the error of the history forecast per phase, with no written stage."""
-    df = ot.over_samples(delivery_log(spark, sf), ("targets", "career"))
+    """From the raw table to the error of the history forecast per phase."""
+    df = ot.over_samples(fc.staged_log(spark, sf), ("career",))
     p = 3 * F.col("batter_career_strike_rate") / 100 + 0.5 * F.col("bowler_career_economy")
     y = F.col(fc.TARGET)
     return df.groupBy("phase").agg(

@@ -40,20 +40,23 @@ def with_phase(log: DataFrame) -> DataFrame:
     return log.withColumn("phase", k.phase(F.col("over_number")))
 
 
-def batter_events(log: DataFrame, *carry: str) -> DataFrame:
+def batter_events(log: DataFrame, *carry: str, partners: bool = False) -> DataFrame:
     """Batting facts by player: one row per ball faced and one per player dismissed.
 
-    A run-out can dismiss the non-striker, so outs follow ``dismissed_player``.
+    A run-out can dismiss the non-striker, so outs follow ``dismissed_player``. With
+    ``partners`` each ball also yields a zero-valued row for the non-striker, so that the
+    pair (non-striker, date) is present for an as-of read without a second scan.
     """
     ball = F.struct(F.col("batter").alias("player"), *measure_columns(F.col("runs_batter"), F.lit(0)))
 
-    def dismissal(player: Column) -> Column:
-        zero = [F.lit(1 if m == "outs" else 0).cast("bigint").alias(m) for m in MEASURES]
-        return F.struct(player.alias("player"), *zero)
+    def blank(player: Column, outs: int) -> Column:
+        values = [F.lit(outs if m == "outs" else 0).cast("bigint").alias(m) for m in MEASURES]
+        return F.struct(player.alias("player"), *values)
 
-    gone = F.filter(F.split("dismissed_player", r"\|"), lambda p: p != "")
-    return log.select(*carry, F.explode(F.concat(F.array(ball), F.transform(gone, dismissal))).alias("e")) \
-        .select(*carry, "e.*")
+    always = F.array(ball, blank(F.col("non_striker"), 0)) if partners else F.array(ball)
+    gone = F.transform(F.split("dismissed_player", r"\|"), lambda p: blank(p, 1))
+    entries = F.when(F.col("dismissed_player") == "", always).otherwise(F.concat(always, gone))
+    return log.select(*carry, F.explode(entries).alias("e")).select(*carry, "e.*")
 
 
 def kind_facts(log: DataFrame, kind: str) -> DataFrame:
@@ -111,13 +114,16 @@ def history_kinds(log: DataFrame) -> DataFrame:
 # --- as-of league and era ---------------------------------------------------------------
 
 def league_asof(log: DataFrame) -> DataFrame:
-    """League and league-season totals before each date: one row per date of the log."""
+    """League and league-season totals before each date, and the last earlier date.
+
+    One row per date of the log.
+    """
     daily = kind_facts(log, "league").withColumn("season", F.year("date")) \
         .groupBy("season", "date").agg(*[F.sum(m).alias(m) for m in MEASURES])
     whole = W.partitionBy(F.lit(0)).orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     season = W.partitionBy("season").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
     return daily.select(
-        "date",
+        "date", F.lag("date").over(W.partitionBy(F.lit(0)).orderBy("date")).alias("history_through"),
         *[F.coalesce(F.sum(m).over(whole), F.lit(0)).alias(f"league_{m}") for m in MEASURES],
         *[F.coalesce(F.sum(m).over(season), F.lit(0)).alias(f"season_{m}") for m in MEASURES])
 
@@ -208,7 +214,7 @@ def decayed_columns(prefix: str) -> dict[str, Column]:
               for m in ("runs", "balls", "boundaries", "dots", "conceded", "legal")]))
         total = lambda m, w=weighted: _fold(w, lambda e: e[m])
         per_ball = lambda m: total(m) / F.greatest(total("balls"), F.lit(1e-9))
-        name = f"{prefix}ewma{decay}_"
+        name = f"{prefix}ewma{str(decay).replace(chr(46), chr(95))}_"
         out[f"{name}runs_per_ball"] = per_ball("runs")
         out[f"{name}boundary_rate"] = per_ball("boundaries")
         out[f"{name}dot_rate"] = per_ball("dots")
@@ -254,21 +260,22 @@ def position_columns(prefix: str = "") -> dict[str, Column]:
 
 # --- profiles: everything known about a player before a date --------------------------------
 
-def player_totals(log: DataFrame, probes: DataFrame, role: str) -> DataFrame:
-    """Career, season and per-phase totals before each probe (player, date), two small shuffles.
+def player_totals(log: DataFrame, role: str, probes: DataFrame | None = None) -> DataFrame:
+    """Career, season and per-phase totals before each (player, date), two small shuffles.
 
-    Prefixes: ``career_``, ``season_``, and ``<phase>_`` for each phase.
+    Prefixes: ``career_``, ``season_``, and ``<phase>_`` for each phase. Every player of an
+    over on a date is covered; ``probes`` (player, date) adds dates without any log rows.
     """
-    player = "batter" if role == "bat" else "bowler"
     phased = with_phase(log)
     if role == "bat":
-        events = batter_events(phased, "date", "phase")
+        events = batter_events(phased, "date", "phase", partners=True)
     else:
-        events = phased.select(F.col(player).alias("player"), "date", "phase",
+        events = phased.select(F.col("bowler").alias("player"), "date", "phase",
                                *measure_columns(F.col("runs_batter"), F.col("bowler_wicket")))
-    zero = probes.select("player", "date", F.lit("none").alias("phase"),
-                         *[F.lit(0).cast("bigint").alias(m) for m in MEASURES])
-    daily = events.unionByName(zero).groupBy("player", "date").agg(
+    if probes is not None:
+        events = events.unionByName(probes.select(
+            "player", "date", F.lit("none").alias("phase"), *[F.lit(0).cast("bigint").alias(m) for m in MEASURES]))
+    daily = events.groupBy("player", "date").agg(
         *[F.sum(m).alias(m) for m in MEASURES],
         *[F.sum(F.when(F.col("phase") == p, F.col(m)).otherwise(0)).alias(f"{p}_{m}")
           for p in PHASES for m in MEASURES])
@@ -283,9 +290,15 @@ def player_totals(log: DataFrame, probes: DataFrame, role: str) -> DataFrame:
         *[seen(m, season).alias(f"season_{m}") for m in MEASURES])
 
 
-def context_asof(log: DataFrame, starts: DataFrame, kind: str) -> DataFrame:
-    """Context-kind totals before each over start, as the four rates of that kind."""
-    keys = CONTEXT_KINDS[kind]
-    probes = with_phase(starts)
-    totals = asof_totals(kind_facts(log, kind), probes, keys, MEASURES)
-    return totals.select(*keys, "date", *[c.alias(n) for n, c in context_rates(f"{kind}_").items()])
+def matchup_totals(log: DataFrame) -> DataFrame:
+    """Totals of each (batter or non-striker, bowler) pair before each date they meet on."""
+    c = F.col
+    zero = F.struct(c("non_striker").alias("player"), *[F.lit(0).cast("bigint").alias(m) for m in MEASURES])
+    fact = F.struct(c("batter").alias("player"), *measure_columns(c("runs_batter"), c("bowler_wicket")))
+    events = log.select("bowler", "date", F.explode(F.array(fact, zero)).alias("e")).select("bowler", "date", "e.*")
+    return asof_totals(events, None, ["player", "bowler"], MEASURES)
+
+
+def context_totals(log: DataFrame, kind: str) -> DataFrame:
+    """Context totals before each date. An over is itself a fact of its keys, so no probes are needed."""
+    return asof_totals(kind_facts(log, kind), None, CONTEXT_KINDS[kind], MEASURES)

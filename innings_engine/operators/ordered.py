@@ -32,9 +32,7 @@ def sliced_prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str]
     local = df.select("*", *[
         F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_l_{o}") for m, o in sums.items()])
     # Null-safe on the group, so that a null group key keeps its rows.
-    right = offsets
-    for k in keys:
-        right = right.withColumnRenamed(k, f"_r_{k}")
+    right = offsets.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     joined = local.join(right, on)
     return joined.select(

@@ -38,26 +38,34 @@ def over_totals(log: DataFrame) -> DataFrame:
         F.sum("legal").alias("legal"))
 
 
-def momentum_overs(log: DataFrame, spans=(1, 2, 3, 5)) -> DataFrame:
-    """Sums over the previous n over numbers of the innings."""
+def momentum_over_columns(spans=(1, 2, 3, 5)) -> list[Column]:
+    """Sums over the previous n over numbers of the innings, on a table with over totals."""
     w = _by(*INNINGS).orderBy("over_number")
     names = ["runs", "wickets", "boundaries", "sixes"]
-    return over_totals(log).select(*OVER_KEY, *[
-        F.coalesce(F.sum(m).over(w.rangeBetween(-n, -1)), F.lit(0)).alias(f"{m}_last_{n}_overs")
-        for n in spans for m in names])
+    return [F.coalesce(F.sum(m).over(w.rangeBetween(-n, -1)), F.lit(0)).alias(f"{m}_last_{n}_overs")
+            for n in spans for m in names]
 
 
-def momentum_ball_columns(spans=(6, 12, 18, 24)) -> list[Column]:
-    """Runs and dot rate over the previous n deliveries, wides and no-balls included."""
+def momentum_overs(log: DataFrame) -> DataFrame:
+    return over_totals(log).select(*OVER_KEY, *momentum_over_columns())
+
+
+def with_momentum_balls(df: DataFrame, spans=(6, 12, 18, 24)) -> DataFrame:
+    """Runs and dot rate over the previous n deliveries, wides and no-balls included.
+
+    A sliding sum is the difference of two running sums, so each row costs the same
+    whatever the span.
+    """
     w = _by(*INNINGS).orderBy("over_number", "ball_number")
+    summed = df.select(
+        "*", _so_far(w, "runs_total").alias("_runs"), (F.row_number().over(w) - 1).alias("_seen"),
+        _so_far(w, k.flag(F.col("runs_total") == 0)).alias("_dots"))
     out = []
     for n in spans:
-        back = w.rowsBetween(-n, -1)
-        seen = F.count(F.lit(1)).over(back)
-        dots = F.coalesce(F.sum(k.flag(F.col("runs_total") == 0)).over(back), F.lit(0))
-        out += [F.coalesce(F.sum("runs_total").over(back), F.lit(0)).alias(f"runs_last_{n}_deliveries"),
-                (dots / k.at_least(seen)).alias(f"dot_rate_last_{n}_deliveries")]
-    return out
+        last = lambda col: F.col(col) - F.coalesce(F.lag(col, n).over(w), F.lit(0))
+        out += [last("_runs").alias(f"runs_last_{n}_deliveries"),
+                (last("_dots") / k.at_least(F.least("_seen", F.lit(n)))).alias(f"dot_rate_last_{n}_deliveries")]
+    return summed.select(*df.columns, *out)
 
 
 def ball_lag_columns(lags: int = 12) -> list[Column]:
@@ -68,61 +76,61 @@ def ball_lag_columns(lags: int = 12) -> list[Column]:
             for lag in range(1, lags + 1) for name, column in named]
 
 
-def at_over_start(log: DataFrame, columns: list[Column]) -> DataFrame:
-    """Evaluate ball-level window columns at the first ball of every over."""
-    return log.select(*OVER_KEY, "ball_number", *columns).filter(F.col("ball_number") == 1).drop("ball_number")
-
-
 def over_starts(log: DataFrame) -> DataFrame:
     """Opening state of each over: the row of its first ball."""
     return log.filter(F.col("ball_number") == 1)
 
 
-def _probe_totals(facts: DataFrame, probes: DataFrame, player: str, measures: list[str]) -> DataFrame:
-    """Sum of a player's measures in earlier overs of the same innings, at each probe over."""
-    zero = probes.select(*OVER_KEY, player, *[F.lit(0).cast("bigint").alias(m) for m in measures],
-                         F.lit(1).alias("_probe"))
-    own = facts.select(*OVER_KEY, player, *[F.col(m).cast("bigint").alias(m) for m in measures],
-                       F.lit(0).alias("_probe"))
-    per_over = own.unionByName(zero).groupBy(*OVER_KEY, player).agg(
-        *[F.sum(m).alias(m) for m in measures], F.max("_probe").alias("_probe"))
-    w = _by(*INNINGS, player).orderBy("over_number")
-    return per_over.select(*OVER_KEY, player, "_probe", *[_so_far(w, m).alias(m) for m in measures]) \
-        .filter(F.col("_probe") == 1).drop("_probe")
-
-
 def innings_so_far(log: DataFrame) -> DataFrame:
-    """Runs, balls and strike rate of both batters before the over starts."""
-    starts = over_starts(log)
-    probes = starts.select(*OVER_KEY, F.explode(F.array("batter", "non_striker")).alias("player"))
-    facts = log.select(*OVER_KEY, F.col("batter").alias("player"), "runs_batter", "batter_ball")
-    seen = _probe_totals(facts, probes, "player", ["runs_batter", "batter_ball"])
-    out = starts.select(*OVER_KEY, "batter", "non_striker")
-    for role in ("batter", "non_striker"):
-        side = seen.select(*OVER_KEY, F.col("player").alias(role),
-                           F.col("runs_batter").alias(f"{role}_innings_runs"),
-                           F.col("batter_ball").alias(f"{role}_innings_balls"),
-                           (100 * F.col("runs_batter") / k.at_least(F.col("batter_ball")))
-                           .alias(f"{role}_innings_sr"))
-        out = out.join(side, [*OVER_KEY, role], "left")
-    return out
+    """Runs, balls and strike rate of both batters before the over starts.
+
+    Each ball yields a fact for its batter; the first ball of an over also yields a
+    zero-valued row for the non-striker, who may not face in it.
+    """
+    c = F.col
+    first = c("ball_number") == 1
+    zero = F.lit(0).cast("int")
+    fact = F.struct(c("batter").alias("player"), c("runs_batter").alias("runs"), c("batter_ball").alias("balls"),
+                    k.flag(first).alias("on_strike"), zero.alias("partner"))
+    partner = F.struct(c("non_striker").alias("player"), zero.alias("runs"), zero.alias("balls"),
+                       zero.alias("on_strike"), F.lit(1).alias("partner"))
+    events = log.select(*OVER_KEY, F.explode(
+        F.when(first, F.array(fact, partner)).otherwise(F.array(fact))).alias("e")).select(*OVER_KEY, "e.*")
+    per_over = events.groupBy(*OVER_KEY, "player").agg(
+        F.sum("runs").alias("runs"), F.sum("balls").alias("balls"),
+        F.max("on_strike").alias("on_strike"), F.max("partner").alias("partner"))
+    w = _by(*INNINGS, "player").orderBy("over_number")
+    seen = per_over.select(*OVER_KEY, "on_strike", "partner",
+                           _so_far(w, "runs").alias("runs"), _so_far(w, "balls").alias("balls"))
+    columns = []
+    for role, mark in (("batter", "on_strike"), ("non_striker", "partner")):
+        own = lambda m: F.max(F.when(c(mark) == 1, c(m)))
+        columns += [own("runs").alias(f"{role}_innings_runs"), own("balls").alias(f"{role}_innings_balls"),
+                    (100 * own("runs") / k.at_least(own("balls"))).alias(f"{role}_innings_sr")]
+    return seen.groupBy(*OVER_KEY).agg(*columns)
+
+
+def bowler_spell_columns() -> list[Column]:
+    """Bowler's balls, runs and wickets in earlier overs, for ball-level rows."""
+    w = _by(*INNINGS, "bowler").orderBy("over_number").rangeBetween(W.unboundedPreceding, -1)
+    total = lambda m: F.coalesce(F.sum(m).over(w), F.lit(0))
+    return [total("legal").alias("bowler_match_legal_balls"),
+            total("bowler_conceded").alias("bowler_match_conceded"),
+            total("bowler_wicket").alias("bowler_match_wickets")]
+
+
+def bowler_rate_columns() -> list[Column]:
+    legal = F.col("bowler_match_legal_balls")
+    return [(6 * F.col("bowler_match_conceded") / k.at_least(legal)).alias("bowler_match_economy"),
+            (legal / 6).alias("bowler_overs_bowled_this_match"),
+            F.greatest(F.lit(0.0), k.OVERS_PER_BOWLER - legal / 6).alias("bowler_overs_remaining_quota")]
 
 
 def bowler_so_far(log: DataFrame) -> DataFrame:
     """The bowler's spell in this innings before the over starts."""
-    starts = over_starts(log)
-    names = ["legal", "bowler_conceded", "bowler_wicket"]
-    seen = _probe_totals(log, starts, "bowler", names)
-    legal = F.col("legal")
-    return seen.select(
-        *OVER_KEY, "bowler",
-        legal.alias("bowler_match_legal_balls"),
-        F.col("bowler_conceded").alias("bowler_match_conceded"),
-        F.col("bowler_wicket").alias("bowler_match_wickets"),
-        (6 * F.col("bowler_conceded") / k.at_least(legal)).alias("bowler_match_economy"),
-        (legal / 6).alias("bowler_overs_bowled_this_match"),
-        F.greatest(F.lit(0.0), k.OVERS_PER_BOWLER - legal / 6).alias("bowler_overs_remaining_quota"),
-    )
+    spell = log.select(*OVER_KEY, "ball_number", *bowler_spell_columns()).filter(F.col("ball_number") == 1)
+    return spell.select(*OVER_KEY, "bowler_match_legal_balls", "bowler_match_conceded", "bowler_match_wickets",
+                        *bowler_rate_columns())
 
 
 def batting_order(log: DataFrame) -> DataFrame:
@@ -155,16 +163,13 @@ def position_now(log: DataFrame) -> DataFrame:
     return out.select(*OVER_KEY, "batter_position_now", "non_striker_position_now")
 
 
-def over_targets(log: DataFrame) -> DataFrame:
-    """Outcome of each over, with the runs split by the opening pair's roles."""
-    w = _by(*OVER_KEY).orderBy("ball_number").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def target_columns(opener: str = "opener", partner: str = "partner") -> list[Column]:
+    """Outcome of an over, runs split by the opening pair's roles (aggregates of ball rows)."""
     c = F.col
-    marked = log.select("*", F.first("batter").over(w).alias("opener"),
-                        F.first("non_striker").over(w).alias("partner"))
-    striker, partner = c("batter") == c("opener"), c("batter") == c("partner")
+    striker, other = c("batter") == c(opener), c("batter") == c(partner)
     total = F.sum("runs_total")
     when_sum = lambda cond, col: F.coalesce(F.sum(F.when(cond, c(col))), F.lit(0))
-    return marked.groupBy(*OVER_KEY).agg(
+    return [
         total.alias("target_next_over_runs"),
         k.run_bucket(total).cast("bigint").alias("target_run_bucket"),
         k.flag(F.max("wicket") > 0).cast("bigint").alias("target_wicket"),
@@ -173,12 +178,21 @@ def over_targets(log: DataFrame) -> DataFrame:
         k.flag(total >= 10).cast("bigint").alias("target_ten_plus"),
         F.sum("runs_extras").alias("target_extras"),
         F.sum("bowler_conceded").alias("target_bowler_conceded"),
-        when_sum(~striker & ~partner, "runs_batter").alias("target_other_batters"),
+        when_sum(~striker & ~other, "runs_batter").alias("target_other_batters"),
         when_sum(striker, "runs_batter").alias("target_batter_runs"),
         when_sum(striker, "batter_ball").alias("target_batter_balls"),
-        when_sum(partner, "runs_batter").alias("target_non_striker_runs"),
-        when_sum(partner, "batter_ball").alias("target_non_striker_balls"),
-    )
+        when_sum(other, "runs_batter").alias("target_non_striker_runs"),
+        when_sum(other, "batter_ball").alias("target_non_striker_balls"),
+    ]
+
+
+def with_opening_pair(df: DataFrame) -> DataFrame:
+    w = _by(*OVER_KEY).orderBy("ball_number").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.select("*", F.first("batter").over(w).alias("opener"), F.first("non_striker").over(w).alias("partner"))
+
+
+def over_targets(log: DataFrame) -> DataFrame:
+    return with_opening_pair(log).groupBy(*OVER_KEY).agg(*target_columns())
 
 
 CHANNELS = ["runs_total", "runs_batter", "wicket", "boundary", "six", "legal", "runs_extras",

@@ -14,11 +14,16 @@ TARGET = "target_next_over_runs"
 FORECAST_GROUPS = ("targets", "innings", "career", "matchup", "venue", "momentum")
 
 
+def staged_log(spark, sf_dir: str) -> DataFrame:
+    """The delivery log as a written table, once per session; jobs that branch read this."""
+    return staged_once(spark, ("log", sf_dir), lambda: delivery_log(spark, sf_dir))
+
+
 def samples(spark, sf_dir: str) -> DataFrame:
-    """Partition-labelled over samples, written once per session."""
+    """Partition-labelled over samples; the unlabelled table is written once per session."""
     def build():
-        return with_partition(over_samples(delivery_log(spark, sf_dir), FORECAST_GROUPS))
-    return staged_once(spark, ("samples", sf_dir), build)
+        return over_samples(staged_log(spark, sf_dir), FORECAST_GROUPS)
+    return with_partition(staged_once(spark, ("samples", sf_dir), build))
 
 
 def over_means(train: DataFrame, value: str = TARGET) -> DataFrame:

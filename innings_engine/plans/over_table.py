@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cricket as k
-from ..functions.rates import MEASURES, era_rates, shrunk_rates
+from ..functions.rates import MEASURES, context_rates, era_rates, shrunk_rates
 from ..functions.rules import first_failure
 from ..operators import asof, history as h, windows as w
 from ..operators.validate import state_rules
@@ -29,114 +29,145 @@ def named(columns: dict[str, Column]) -> list[Column]:
     return [c.alias(n) for n, c in columns.items()]
 
 
-def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(names)
+BASE = ["match_id", "date", "season", "innings", "over_number", "venue", "team_batting", "team_bowling",
+        "batter", "non_striker", "bowler", "current_score", "current_wickets", "legal_balls_before", "target"]
 
 
-def opening_states(log: DataFrame) -> DataFrame:
-    """First ball of each over with the state before it, phase and chase arithmetic."""
+def described(df: DataFrame) -> DataFrame:
+    """Add phase and chase arithmetic to opening states."""
     c = F.col
-    state = w.running_state(log)
-    keep = ["match_id", "date", "season", "innings", "over_number", "venue", "team_batting", "team_bowling",
-            "batter", "non_striker", "bowler", "current_score", "current_wickets", "legal_balls_before", "target"]
-    first = state.filter(c("ball_number") == 1).select(*keep)
-    return first.select(
+    return df.select(
         "*", F.lit("T20 league").alias("competition"), k.phase(c("over_number")).alias("phase"),
         *named(k.chase_columns(c("target"), c("current_score"), c("legal_balls_before"), c("current_wickets"))))
 
 
-def usable(starts: DataFrame, log: DataFrame, league: DataFrame) -> DataFrame:
-    """Overs with an open innings, a complete prefix and enough league history."""
-    cut = asof.history_cutoff(log)                       # one row per day
-    known = h.join_league(starts, h.bootstrap_ready(league)).join(F.broadcast(cut), "date")
-    claimed = known.withColumn("claimed_score", F.col("current_score")) \
-        .withColumn("claimed_wickets", F.col("current_wickets"))
-    return claimed.filter(first_failure(state_rules()).isNull()).drop("claimed_score", "claimed_wickets")
+def opening_states(log: DataFrame) -> DataFrame:
+    """First ball of each over with the state before it, phase and chase arithmetic."""
+    return described(w.over_starts(w.running_state(log)).select(*BASE))
 
 
-def player_features(log: DataFrame, probes: DataFrame, role: str, league: DataFrame,
-                    groups: Iterable[str]) -> DataFrame:
-    """Everything known about each probed (player, date), one row per pair."""
-    side = ROLES[role]
-    totals = h.join_league(h.player_totals(log, probes, side), league)
-    columns = {**shrunk_rates("career_", own="career_")}
-    if "players" in groups:
-        columns.update(shrunk_rates("season_", own="season_"))
-        suffix = "strike_rate" if side == "bat" else "economy"
-        short = "sr" if side == "bat" else "economy"
-        for p in h.PHASES:
-            columns[f"{p}_{short}"] = shrunk_rates("x_", own=f"{p}_")[f"x_{suffix}"]
-    out = totals.select("player", "date", *named(columns))
-    if "form" in groups:
-        form = h.form_asof(log, probes, side)
-        form = form.select("player", "date", *named({
-            **h.recent_columns(side, ""), **h.decayed_columns(""), **h.calendar_columns("")}))
-        out = out.join(form, ["player", "date"], "left")
-    if "positions" in groups and side == "bat":
-        seen = asof.asof_totals(h.position_facts(log), probes, ["player"], h.POSITION_SUMS)
-        out = out.join(seen.select("player", "date", *named(h.position_columns())), ["player", "date"], "left")
-    return out
+def overs_in_one_pass(log: DataFrame, groups: Iterable[str]) -> DataFrame:
+    """Opening state, ball windows and targets of every over from one ordered pass per match.
+
+    The windows share one partitioning and sort; the aggregation per over reuses both.
+    """
+    balls = w.with_opening_pair(w.running_state(log))
+    extra: list[str] = []
+    if "momentum" in groups:
+        known = set(balls.columns)
+        balls = w.with_momentum_balls(balls)
+        extra += [x for x in balls.columns if x not in known]
+    if "lags" in groups:
+        lags = w.ball_lag_columns()
+        known = set(balls.columns)
+        balls = balls.select("*", *lags)
+        extra += [x for x in balls.columns if x not in known]
+    if "innings" in groups:
+        known = set(balls.columns)
+        balls = balls.select("*", *w.bowler_spell_columns())
+        extra += [x for x in balls.columns if x not in known]
+    over = balls.groupBy(*OVER_KEY).agg(
+        F.min_by(F.struct(*[x for x in BASE if x not in OVER_KEY], *extra), "ball_number").alias("s"),
+        F.sum("runs_total").alias("runs"), F.sum("wicket").alias("wickets"), F.sum("boundary").alias("boundaries"),
+        F.sum("six").alias("sixes"), *w.target_columns())
+    targets = [x for x in over.columns if x.startswith("target_")]
+    momentum = w.momentum_over_columns() if "momentum" in groups else []
+    rates = w.bowler_rate_columns() if "innings" in groups else []
+    flat = over.select(*OVER_KEY, "s.*", *targets, *momentum)
+    return described(flat.select("*", *rates) if rates else flat)
+
+
+def usable(starts: DataFrame, league: DataFrame) -> DataFrame:
+    """Overs with an open innings, a complete prefix and enough league history.
+
+    Keeps the ``league_`` and ``season_`` totals the rates are computed from.
+    """
+    known = h.join_league(starts, h.bootstrap_ready(league))
+    claimed = known.withColumns({"claimed_score": F.col("current_score"), "claimed_wickets": F.col("current_wickets")})
+    return claimed.filter(first_failure(state_rules()).isNull()).drop("claimed_score", "claimed_wickets")
 
 
-def attach(samples: DataFrame, features: DataFrame, role: str) -> DataFrame:
-    """Join a (player, date) table onto one role of the over, prefixing its columns."""
-    side = features.withColumnsRenamed({
-        c: f"{role}_{c}" for c in features.columns if c not in ("player", "date")}).withColumnRenamed("player", role)
-    return samples.join(side, [role, "date"], "left")
+def prefixed(df: DataFrame, prefix: str, keys: dict[str, str]) -> DataFrame:
+    """Rename key columns by ``keys`` and prefix every other column but the date."""
+    return df.withColumnsRenamed({
+        x: keys.get(x, f"{prefix}{x}") for x in df.columns if x != "date"})
 
 
 def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
-    """One row per usable over. ``groups`` limits which feature families are built."""
+    """One row per usable over. ``groups`` limits which feature families are built.
+
+    As-of tables bring raw totals; all rates are computed in one final projection.
+    """
     groups = set(groups)
     c = F.col
-    league = h.league_asof(log)
-    samples = usable(opening_states(log), log, league)
-    starts = w.over_starts(log)
+    samples = usable(overs_in_one_pass(log, groups), h.league_asof(log))
+    drop = [f"{p}_{m}" for p in ("league", "season") for m in MEASURES]
+    rates: dict[str, Column] = {}
     if "era" in groups:
-        samples = samples.select("*", *named(era_rates())).withColumn(
-            "scoring_vs_era", c("current_run_rate") / F.greatest(c("era_strike_rate") * 6 / 100, F.lit(1e-9)))
-    samples = samples.drop(*[f"{s}_{m}" for s in ("league", "season") for m in MEASURES])
+        rates.update(era_rates())
 
-    if "targets" in groups:
-        samples = samples.join(w.over_targets(log), OVER_KEY)
-    if "momentum" in groups:
-        samples = samples.join(w.momentum_overs(log), OVER_KEY)
-        samples = samples.join(w.at_over_start(log, w.momentum_ball_columns()), OVER_KEY)
-    if "lags" in groups:
-        samples = samples.join(w.at_over_start(log, w.ball_lag_columns()), OVER_KEY)
     if "innings" in groups:
-        samples = samples.join(w.innings_so_far(log).drop("batter", "non_striker"), OVER_KEY)
-        samples = samples.join(w.bowler_so_far(log).drop("bowler"), OVER_KEY)
+        samples = samples.join(w.innings_so_far(log), OVER_KEY, "left")
+    if "positions" in groups:
+        samples = samples.join(w.position_now(log), OVER_KEY, "left")
+
+    if groups & {"players", "career"}:
+        tables = {"bat": h.player_totals(log, "bat"), "bowl": h.player_totals(log, "bowl")}
+        for role, side in ROLES.items():
+            part = tables[side]
+            if "players" not in groups:
+                part = part.select("player", "date", *[f"career_{m}" for m in MEASURES])
+            joined = prefixed(part, f"_{role}_", {"player": role})
+            samples = samples.join(joined, [role, "date"], "left")
+            drop += [x for x in joined.columns if x.startswith(f"_{role}_")]
+            rates.update(shrunk_rates(f"{role}_career_", own=f"_{role}_career_"))
+            if "players" in groups:
+                rates.update(shrunk_rates(f"{role}_season_", own=f"_{role}_season_"))
+                name, short = ("strike_rate", "sr") if side == "bat" else ("economy", "economy")
+                for p in h.PHASES:
+                    rates[f"{role}_{p}_{short}"] = shrunk_rates("", own=f"_{role}_{p}_")[name]
+    if "form" in groups:
+        starts = w.over_starts(log)
+        probes = {"bat": starts.select("date", F.explode(F.array("batter", "non_striker")).alias("player")),
+                  "bowl": starts.select("date", c("bowler").alias("player"))}
+        forms = {}
+        for side in ("bat", "bowl"):
+            form = h.form_asof(log, probes[side], side)
+            forms[side] = form.select("player", "date", *named({
+                **h.recent_columns(side, ""), **h.decayed_columns(""), **h.calendar_columns("")}))
+        for role, side in ROLES.items():
+            samples = samples.join(prefixed(forms[side], f"{role}_", {"player": role}), [role, "date"], "left")
     if "positions" in groups:
-        samples = samples.join(w.position_now(log), OVER_KEY)
-
-    if groups & {"players", "form", "career", "positions"}:
-        bat_probes = starts.select("date", F.explode(F.array("batter", "non_striker")).alias("player"))
-        bowl_probes = starts.select("date", c("bowler").alias("player"))
-        batting = player_features(log, bat_probes, "batter", league, groups)
-        bowling = player_features(log, bowl_probes, "bowler", league, groups)
-        # A side's own form columns only; positions belong to batters.
-        samples = attach(samples, batting, "batter")
-        samples = attach(samples, batting, "non_striker")
-        samples = attach(samples, bowling, "bowler")
+        starts = w.over_starts(log)
+        probes = starts.select("date", F.explode(F.array("batter", "non_striker")).alias("player"))
+        seen = asof.asof_totals(h.position_facts(log), probes, ["player"], h.POSITION_SUMS) \
+            .select("player", "date", *named(h.position_columns()))
+        for role in ("batter", "non_striker"):
+            samples = samples.join(prefixed(seen, f"{role}_", {"player": role}), [role, "date"], "left")
     if "matchup" in groups:
-        pairs = starts.select("date", "bowler", F.explode(F.array("batter", "non_striker")).alias("batter"))
-        met = asof.asof_totals(h.kind_facts(log, "matchup"), pairs, ["batter", "bowler"], MEASURES)
-        met = h.join_league(met, league).select("batter", "bowler", "date", *named(shrunk_rates("matchup_")))
+        met = h.matchup_totals(log)
         for role in ("batter", "non_striker"):
-            side = met.withColumnsRenamed({x: f"{role}_{x}" for x in met.columns if x.startswith("matchup_")}) \
-                .withColumnRenamed("batter", role)
-            samples = samples.join(side, [role, "bowler", "date"], "left")
-    if "context" in groups or "venue" in groups:
+            joined = prefixed(met, f"_{role}_matchup_", {"player": role, "bowler": "bowler"})
+            samples = samples.join(joined, [role, "bowler", "date"], "left")
+            drop += [x for x in joined.columns if x.startswith("_")]
+            rates.update(shrunk_rates(f"{role}_matchup_", own=f"_{role}_matchup_"))
+    if groups & {"context", "venue"}:
         for kind in (CONTEXTS if "context" in groups else ["venue"]):
             keys = h.CONTEXT_KINDS[kind]
-            samples = samples.join(h.context_asof(log, starts, kind), [*keys, "date"], "left")
-    if {"era", "players"} <= groups:
+            part = h.context_totals(log, kind).select(*keys, "date", *named(context_rates(f"{kind}_")))
+            samples = samples.join(part, [*keys, "date"], "left")
+
+    dropped = set(drop)
+    samples = samples.select(*[x for x in samples.columns if x not in dropped], *named(rates))
+    if "era" in groups:
         tiny = lambda col: F.greatest(c(col), F.lit(1e-9))
-        for role in ("batter", "non_striker"):
-            samples = samples.withColumn(f"{role}_sr_vs_era", c(f"{role}_career_strike_rate") / tiny("era_strike_rate")) \
-                .withColumn(f"{role}_boundary_rate_vs_era", c(f"{role}_career_boundary_rate") / tiny("era_boundary_rate"))
-        samples = samples.withColumn("bowler_economy_vs_era", c("bowler_career_economy") / tiny("era_economy"))
+        ratios = {"scoring_vs_era": c("current_run_rate") / F.greatest(c("era_strike_rate") * 6 / 100, F.lit(1e-9))}
+        if "players" in groups:
+            for role in ("batter", "non_striker"):
+                ratios[f"{role}_sr_vs_era"] = c(f"{role}_career_strike_rate") / tiny("era_strike_rate")
+                ratios[f"{role}_boundary_rate_vs_era"] = c(f"{role}_career_boundary_rate") / tiny("era_boundary_rate")
+            ratios["bowler_economy_vs_era"] = c("bowler_career_economy") / tiny("era_economy")
+        samples = samples.withColumns(ratios)
     return samples
 
 

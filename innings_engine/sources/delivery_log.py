@@ -63,10 +63,12 @@ def delivery_log(spark: SparkSession, sf_dir: str, orders_per_slice: int = ORDER
     batter = _name("B", c("l_partkey") % 40)
     non_striker = _name("B", (c("l_partkey") % 40 + 1 + c("l_linenumber")) % 40)
     no_bat = (h < 3) | h.isin(4, 5, 6) | h.between(10, 14) | q.isin(5, 7)
+    runs = F.when(no_bat, 0).otherwise(q)
+    extras = flag(h <= 6)                    # every irregular ball carries exactly one extra
     home = _name("T", (c("mi") + c("mno")) % 8)
     away = _name("T", (c("mi") + c("mno") + 1 + c("mno") % 7) % 8)
     first = c("innings") == 1
-    flat = balls.select(
+    return balls.select(
         "match_id", "date", F.year("date").cast("int").alias("season"), "innings", "over_number",
         "ball_number",
         _name("V", (c("mi") + c("mno") * 5) % 12).alias("venue"),
@@ -79,15 +81,8 @@ def delivery_log(spark: SparkSession, sf_dir: str, orders_per_slice: int = ORDER
         F.when(bowler_wicket == 1, batter).when(h == 14, non_striker).otherwise("").alias("dismissed_player"),
         F.when(h == 10, "bowled").when(h == 11, "caught").when(h == 12, "lbw").when(h == 13, "stumped")
         .when(h == 14, "run out").otherwise("").alias("dismissal_type"),
-        F.when(no_bat, 0).otherwise(q).alias("runs_batter"),
-        "legal", (1 - wides).alias("batter_ball"),
+        runs.alias("runs_batter"), "legal", (1 - wides).alias("batter_ball"),
+        extras.alias("runs_extras"), (runs + extras).alias("runs_total"),
+        (runs + wides + noballs).alias("bowler_conceded"),
+        flag(runs.isin(4, 6)).alias("boundary"), flag(runs == 6).alias("six"),
     )
-    return flat.withColumn(
-        "runs_extras", c("wides") + c("noballs") + c("byes") + c("legbyes")
-    ).withColumn(
-        "runs_total", c("runs_batter") + c("runs_extras")
-    ).withColumn(
-        "bowler_conceded", c("runs_batter") + c("wides") + c("noballs")
-    ).withColumn(
-        "boundary", flag(c("runs_batter").isin(4, 6))
-    ).withColumn("six", flag(c("runs_batter") == 6))
