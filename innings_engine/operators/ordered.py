@@ -47,9 +47,9 @@ def value_slices(df: DataFrame, value: str, slices: int | None = None) -> DataFr
         slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = [i / slices for i in range(1, slices)]
     edges = df.select(F.percentile_approx(value, cuts, 1000).alias("e")).scalar()
-    index = F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")),
-                            lambda e: e <= F.col(value)))
-    return df.withColumn(SLICE, index)
+    # The subquery becomes a column first: it may not stand inside a higher-order function.
+    edged = df.withColumn("_edges", F.coalesce(edges, F.array().cast("array<double>")))
+    return edged.withColumn(SLICE, F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 
 def distribution(df: DataFrame, group: Sequence[str], value: str,

@@ -45,9 +45,14 @@ def baselines(df: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def predictions(spark, sf_dir: str) -> DataFrame:
-    """Samples with ``y`` and the four baseline columns fitted on the training partition."""
-    df = samples(spark, sf_dir)
-    return baselines(df, df.filter(F.col("partition") == "train")).withColumn("y", F.col(TARGET))
+    """Samples with ``y`` and the four baseline columns fitted on the training partition.
+
+    Written once per session: every metric reads this table.
+    """
+    def build():
+        df = samples(spark, sf_dir)
+        return baselines(df, df.filter(F.col("partition") == "train")).withColumn("y", F.col(TARGET))
+    return staged_once(spark, ("predictions", sf_dir), build)
 
 
 def long_form(wide: DataFrame, keep, models=MODELS) -> DataFrame:
