@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["log_queries", "history_queries", "normalize_queries", "over_queries", "metric_queries"]
+MODULES = ["log_queries", "history_queries", "normalize_queries", "over_queries", "metric_queries", "delivery_queries"]
 
 
 def load():
