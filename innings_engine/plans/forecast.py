@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.split import FITTED, with_partition
 from ..sources.delivery_log import OVER_KEY, delivery_log
 from .over_table import over_samples
-from .staging import staged_once
+from .staging import staged_once, staged_path
 
 MODELS = ["league_mean", "over_number_mean", "recent_run_rate", "batter_bowler_history"]
 CHAMPION, CANDIDATE = "over_number_mean", "batter_bowler_history"
@@ -14,9 +14,13 @@ TARGET = "target_next_over_runs"
 FORECAST_GROUPS = ("targets", "innings", "career", "matchup", "venue", "momentum")
 
 
+def staged_log_path(spark, sf_dir: str) -> str:
+    return staged_path(spark, ("log", sf_dir), lambda: delivery_log(spark, sf_dir))
+
+
 def staged_log(spark, sf_dir: str) -> DataFrame:
     """The delivery log as a written table, once per session; jobs that branch read this."""
-    return staged_once(spark, ("log", sf_dir), lambda: delivery_log(spark, sf_dir))
+    return spark.read.parquet(staged_log_path(spark, sf_dir))
 
 
 def samples(spark, sf_dir: str) -> DataFrame:

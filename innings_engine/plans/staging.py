@@ -30,12 +30,16 @@ def _readable(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def staged_once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """The stage of ``key`` in this application, built by ``build()`` when absent."""
+def staged_path(spark: SparkSession, key: tuple, build) -> str:
+    """Folder of the stage ``key`` in this application, written by ``build()`` when absent."""
     full = (spark.sparkContext.applicationId, *key)
     path = _WRITTEN.get(full)
     if path is None or not _readable(spark, path):
         path = f"{shared_folder(spark)}/stage-{key[0]}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _WRITTEN[full] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def staged_once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    return spark.read.parquet(staged_path(spark, key, build))
