@@ -38,7 +38,7 @@ def described(df: DataFrame) -> DataFrame:
     c = F.col
     return df.select(
         "*", F.lit("T20 league").alias("competition"), k.phase(c("over_number")).alias("phase"),
-        *named(k.chase_columns(c("target"), c("current_score"), c("legal_balls_before"), c("current_wickets"))))
+        c("target").alias("chase_target"), *named(k.chase_columns(c("target"), c("current_score"), c("legal_balls_before"), c("current_wickets"))))
 
 
 def opening_states(log: DataFrame) -> DataFrame:
@@ -173,9 +173,8 @@ def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataF
 
 def feature_columns(df: DataFrame) -> list[str]:
     """Model inputs: everything but identifiers, targets and the excluded families."""
-    skip = {*META, "era_boundary_rate", "legal_balls_before"}
-    return [x for x in df.columns if x not in skip and not x.startswith("target")
-            and not x.startswith(EXCLUDED_PREFIXES)]
+    skip = {*META, "target", "era_boundary_rate", "legal_balls_before", "partition"}
+    return [x for x in df.columns if x not in skip and not x.startswith(("target_", *EXCLUDED_PREFIXES))]
 
 
 def require_columns(df: DataFrame, needed: Iterable[str]) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -73,10 +74,17 @@ def predictions_with_outcomes(predictions: DataFrame, outcomes: DataFrame, key:
 
     Watermarks on both sides and the time range bound the join state.
     """
-    left = predictions.withWatermark("predicted_at", window)
-    right = outcomes.withWatermark("observed_at", window).withColumnRenamed(key, f"_{key}")
-    on = F.expr(f"{key} = _{key} AND observed_at >= predicted_at AND observed_at <= predicted_at + INTERVAL {window}")
-    return left.join(right, on).drop(f"_{key}")
+    width = int(pd.Timedelta(window).total_seconds())
+    bucket = lambda at: F.floor(F.unix_seconds(F.col(at)) / width)
+    # The time bucket joins the key, so one busy key spreads over many tasks. A prediction
+    # stands in its own bucket and the next; an outcome only in its own: no pair meets twice.
+    left = predictions.withWatermark("predicted_at", window).select(
+        "*", F.explode(F.array(bucket("predicted_at"), bucket("predicted_at") + 1)).alias("_bucket"))
+    right = outcomes.withWatermark("observed_at", window).withColumn("_at", bucket("observed_at")) \
+        .withColumnRenamed(key, f"_{key}")
+    on = F.expr(f"{key} = _{key} AND _bucket = _at AND observed_at >= predicted_at "
+                f"AND observed_at <= predicted_at + INTERVAL {window}")
+    return left.join(right, on).drop(f"_{key}", "_bucket", "_at")
 
 
 def running_innings(balls: DataFrame) -> DataFrame:
