@@ -7,6 +7,7 @@ from ..functions import cricket as k
 from ..sources.delivery_log import OVER_KEY
 
 INNINGS = ["match_id", "innings"]
+BALL_SPAN = 1_000_000          # (over, ball) as one integer keeps the aggregation hash-based
 
 
 def _by(*columns: str):
@@ -82,64 +83,52 @@ def over_starts(log: DataFrame) -> DataFrame:
 
 
 def innings_so_far(log: DataFrame) -> DataFrame:
-    """Runs, balls and strike rate of both batters before the over starts.
+    """Both batters' and the bowler's figures in this innings before the over starts.
 
-    Each ball yields a fact for its batter; the first ball of an over also yields a
-    zero-valued row for the non-striker, who may not face in it.
+    Each ball yields a narrow fact for its batter and its bowler; the first ball of an over
+    also yields a zero-valued row for the non-striker, who may not face in it. Facts are
+    combined per over before the only sort.
     """
     c = F.col
     first = c("ball_number") == 1
     zero = F.lit(0).cast("int")
-    fact = F.struct(c("batter").alias("player"), c("runs_batter").alias("runs"), c("batter_ball").alias("balls"),
-                    k.flag(first).alias("on_strike"), zero.alias("partner"))
-    partner = F.struct(c("non_striker").alias("player"), zero.alias("runs"), zero.alias("balls"),
-                       zero.alias("on_strike"), F.lit(1).alias("partner"))
+
+    def entry(player: Column, side: str, mark: Column, *values: Column) -> Column:
+        return F.struct(player.alias("player"), F.lit(side).alias("side"), mark.alias("mark"),
+                        *[v.cast("int").alias(n) for n, v in zip(("a", "b", "c"), values)])
+
+    # mark: 1 = opens the over in this role, 2 = non-striker at its start
+    batting = entry(c("batter"), "bat", k.flag(first), c("runs_batter"), c("batter_ball"), zero)
+    bowling = entry(c("bowler"), "bowl", k.flag(first), c("legal"), c("bowler_conceded"), c("bowler_wicket"))
+    partner = entry(c("non_striker"), "bat", F.lit(2), zero, zero, zero)
     events = log.select(*OVER_KEY, F.explode(
-        F.when(first, F.array(fact, partner)).otherwise(F.array(fact))).alias("e")).select(*OVER_KEY, "e.*")
-    per_over = events.groupBy(*OVER_KEY, "player").agg(
-        F.sum("runs").alias("runs"), F.sum("balls").alias("balls"),
-        F.max("on_strike").alias("on_strike"), F.max("partner").alias("partner"))
-    w = _by(*INNINGS, "player").orderBy("over_number")
-    seen = per_over.select(*OVER_KEY, "on_strike", "partner",
-                           _so_far(w, "runs").alias("runs"), _so_far(w, "balls").alias("balls"))
+        F.when(first, F.array(batting, bowling, partner)).otherwise(F.array(batting, bowling))).alias("e")).select(*OVER_KEY, "e.*")
+    per_over = events.groupBy(*OVER_KEY, "side", "player").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"),
+        F.max((c("mark") == 1).cast("int")).alias("opens"), F.max((c("mark") == 2).cast("int")).alias("partners"))
+    w = _by(*INNINGS, "side", "player").orderBy("over_number")
+    seen = per_over.select(*OVER_KEY, "side", "opens", "partners", *[_so_far(w, x).alias(x) for x in ("a", "b", "c")])
     columns = []
-    for role, mark in (("batter", "on_strike"), ("non_striker", "partner")):
-        own = lambda m: F.max(F.when(c(mark) == 1, c(m)))
-        columns += [own("runs").alias(f"{role}_innings_runs"), own("balls").alias(f"{role}_innings_balls"),
-                    (100 * own("runs") / k.at_least(own("balls"))).alias(f"{role}_innings_sr")]
+    for role, mark in (("batter", "opens"), ("non_striker", "partners")):
+        own = lambda m: F.max(F.when((c("side") == "bat") & (c(mark) == 1), c(m)))
+        columns += [own("a").alias(f"{role}_innings_runs"), own("b").alias(f"{role}_innings_balls"),
+                    (100 * own("a") / k.at_least(own("b"))).alias(f"{role}_innings_sr")]
+    spell = lambda m: F.max(F.when((c("side") == "bowl") & (c("opens") == 1), c(m)))
+    legal = spell("a")
+    columns += [legal.alias("bowler_match_legal_balls"), spell("b").alias("bowler_match_conceded"),
+                spell("c").alias("bowler_match_wickets"), (6 * spell("b") / k.at_least(legal)).alias("bowler_match_economy"),
+                (legal / 6).alias("bowler_overs_bowled_this_match"),
+                F.greatest(F.lit(0.0), k.OVERS_PER_BOWLER - legal / 6).alias("bowler_overs_remaining_quota")]
     return seen.groupBy(*OVER_KEY).agg(*columns)
 
 
-def bowler_spell_columns() -> list[Column]:
-    """Bowler's balls, runs and wickets in earlier overs, for ball-level rows."""
-    w = _by(*INNINGS, "bowler").orderBy("over_number").rangeBetween(W.unboundedPreceding, -1)
-    total = lambda m: F.coalesce(F.sum(m).over(w), F.lit(0))
-    return [total("legal").alias("bowler_match_legal_balls"),
-            total("bowler_conceded").alias("bowler_match_conceded"),
-            total("bowler_wicket").alias("bowler_match_wickets")]
-
-
-def bowler_rate_columns() -> list[Column]:
-    legal = F.col("bowler_match_legal_balls")
-    return [(6 * F.col("bowler_match_conceded") / k.at_least(legal)).alias("bowler_match_economy"),
-            (legal / 6).alias("bowler_overs_bowled_this_match"),
-            F.greatest(F.lit(0.0), k.OVERS_PER_BOWLER - legal / 6).alias("bowler_overs_remaining_quota")]
-
-
-def bowler_so_far(log: DataFrame) -> DataFrame:
-    """The bowler's spell in this innings before the over starts."""
-    spell = log.select(*OVER_KEY, "ball_number", *bowler_spell_columns()).filter(F.col("ball_number") == 1)
-    return spell.select(*OVER_KEY, "bowler_match_legal_balls", "bowler_match_conceded", "bowler_match_wickets",
-                        *bowler_rate_columns())
-
-
 def batting_order(log: DataFrame) -> DataFrame:
     """Order in which players first face a ball: one row per (innings, batter)."""
     first = log.groupBy(*INNINGS, "batter").agg(
         F.min("date").alias("date"),
-        F.min(F.struct("over_number", "ball_number")).alias("first_ball"))
+        F.min(F.col("over_number").cast("bigint") * BALL_SPAN + F.col("ball_number")).alias("first_ball"))
     w = _by(*INNINGS).orderBy("first_ball")
-    return first.select(*INNINGS, "date", "batter", F.col("first_ball.over_number").alias("first_over"),
+    return first.select(*INNINGS, "date", "batter", F.floor(F.col("first_ball") / BALL_SPAN).cast("int").alias("first_over"),
                         F.row_number().over(w).alias("position"))
 
 

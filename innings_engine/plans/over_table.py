@@ -62,19 +62,13 @@ def overs_in_one_pass(log: DataFrame, groups: Iterable[str]) -> DataFrame:
         known = set(balls.columns)
         balls = balls.select("*", *lags)
         extra += [x for x in balls.columns if x not in known]
-    if "innings" in groups:
-        known = set(balls.columns)
-        balls = balls.select("*", *w.bowler_spell_columns())
-        extra += [x for x in balls.columns if x not in known]
     over = balls.groupBy(*OVER_KEY).agg(
         F.min_by(F.struct(*[x for x in BASE if x not in OVER_KEY], *extra), "ball_number").alias("s"),
         F.sum("runs_total").alias("runs"), F.sum("wicket").alias("wickets"), F.sum("boundary").alias("boundaries"),
         F.sum("six").alias("sixes"), *w.target_columns())
     targets = [x for x in over.columns if x.startswith("target_")]
     momentum = w.momentum_over_columns() if "momentum" in groups else []
-    rates = w.bowler_rate_columns() if "innings" in groups else []
-    flat = over.select(*OVER_KEY, "s.*", *targets, *momentum)
-    return described(flat.select("*", *rates) if rates else flat)
+    return described(over.select(*OVER_KEY, "s.*", *targets, *momentum))
 
 
 def usable(starts: DataFrame, league: DataFrame) -> DataFrame:

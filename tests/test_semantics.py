@@ -401,8 +401,9 @@ def test_live_request_matches_batch(spark, log):
 def test_target_over_does_not_change_features(spark):
     rows = [ball("a", "2020-01-01", over=v, ball_no=b, runs=1) for v in (1, 2) for b in range(1, 7)]
     bent = [dict(r, runs_batter=6, runs_total=6, wicket=1) if r["over_number"] == 2 else r for r in rows]
-    read = lambda r: [tuple(x) for x in ot.overs_in_one_pass(frame(spark, r), ["momentum", "lags", "innings"]).filter("over_number = 2").select(
-        "current_score", "current_wickets", "runs_last_1_overs", "runs_last_6_deliveries", "ball_minus_1_runs", "bowler_match_legal_balls").collect()]
+    read = lambda r: [tuple(x) for x in ot.overs_in_one_pass(frame(spark, r), ["momentum", "lags"]).join(w.innings_so_far(frame(spark, r)), ot.OVER_KEY)
+        .filter("over_number = 2").select("current_score", "current_wickets", "runs_last_1_overs", "runs_last_6_deliveries",
+                                          "ball_minus_1_runs", "bowler_match_legal_balls", "batter_innings_runs").collect()]
     assert read(rows) == read(bent)
 
 
