@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 from ..functions import cricket as k
 from ..operators import delivery as d, store as st, windows as w
 from ..plans import forecast as fc
-from ..sources.delivery_log import OVER_KEY, delivery_log
+from ..sources.delivery_log import OVER_KEY
 from .history_queries import _kind_sql, _measures, _sum
 from .log_queries import big, rounded, sql_big, sql_round
 from .metric_queries import r6
+from ..plans.forecast import staged_log
 from .registry import cte, query
 from ..functions.rates import MEASURES
 
@@ -23,7 +24,7 @@ GROUP BY 1, 2, 3, 4""")
 @query("in_over_state", f"SELECT match_id, {sql_big('innings', 'over_number', 'ball_number', *_IN_OVER)} FROM inover")
 def _in_over(spark, sf):
     cols = [v.alias(n) for n, v in d.in_over_columns().items()]
-    return delivery_log(spark, sf).select(*OVER_KEY, "ball_number", *cols).select(
+    return staged_log(spark, sf).select(*OVER_KEY, "ball_number", *cols).select(
         "match_id", *big("innings", "over_number", "ball_number", *_IN_OVER))
 
 
@@ -35,13 +36,13 @@ FROM fx a JOIN opening o ON o.match_id = a.match_id AND o.innings = a.innings AN
 LEFT JOIN fx b ON b.match_id = a.match_id AND b.innings = a.innings AND b.over_number = a.over_number AND b.ball_number < a.ball_number AND b.batter = a.batter
 GROUP BY 1, 2, 3, 4""")
 def _slots(spark, sf):
-    return d.rule_slots(delivery_log(spark, sf)).select(
+    return d.rule_slots(staged_log(spark, sf)).select(
         "match_id", "striker_slot", *big("innings", "over_number", "ball_number", "striker_live_runs", "striker_live_balls"))
 
 
 @query("striker_slot_tracked")
 def _tracked(spark, sf):
-    return d.tracked_slots(delivery_log(spark, sf))
+    return d.tracked_slots(staged_log(spark, sf))
 
 
 _CLS = ["target_runs", "target_extras", "target_legality", "target_wicket"]
@@ -59,7 +60,7 @@ SELECT s.match_id, CAST(s.innings AS BIGINT) AS innings, CAST(s.over_number AS B
 FROM smp s JOIN st f ON f.match_id = s.match_id AND f.innings = s.innings AND f.over_number = s.over_number
 JOIN inover i ON i.match_id = f.match_id AND i.innings = f.innings AND i.over_number = f.over_number AND i.ball_number = f.ball_number""")
 def _dataset(spark, sf):
-    out = d.delivery_dataset(fc.staged_log(spark, sf), fc.samples(spark, sf))
+    out = d.delivery_dataset(staged_log(spark, sf), fc.samples(spark, sf))
     return out.select("match_id", "striker", *big("innings", "over_number", "ball_number", *_IN_OVER, "live_score", "live_wickets", *_CLS),
                       *rounded(9, "live_current_run_rate", "live_required_run_rate", "batter_career_strike_rate", "bowler_career_economy"))
 
@@ -77,7 +78,7 @@ UNION ALL SELECT 'extras_given_wide', 0, round(avg(CASE WHEN runs_extras > 0 THE
 UNION ALL SELECT 'extras_given_noball', 0, round(avg(CASE WHEN runs_extras > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) FROM fx WHERE noballs > 0
 UNION ALL SELECT 'n_deliveries', 0, CAST(count(*) AS DOUBLE) FROM fx""")
 def _joint(spark, sf):
-    return r6(d.joint_structure(delivery_log(spark, sf)))
+    return r6(d.joint_structure(staged_log(spark, sf)))
 
 
 cte("ototal", "SELECT t.*, o.phase, o.season FROM tgt t JOIN opening o USING (match_id, innings, over_number)")
@@ -93,7 +94,7 @@ SELECT phase, count(*) AS draws, round(avg(target_next_over_runs), 6) AS expecte
     f"round(quantile_cont(target_next_over_runs, {q}), 6) AS {n}" for n, q in d.OUTCOME_QUANTILES.items())
     + " FROM ototal JOIN mo USING (phase) GROUP BY 1")
 def _distribution(spark, sf):
-    overs = w.over_targets(delivery_log(spark, sf)).withColumn("phase", k.phase(F.col("over_number")))
+    overs = w.over_targets(staged_log(spark, sf)).withColumn("phase", k.phase(F.col("over_number")))
     events = {e: F.col(f"target_{e}") == 1 for e in ("wicket", "boundary", "six")}
     return r6(d.distribution_summary(overs, ["phase"], fc.TARGET, events))
 
@@ -108,7 +109,7 @@ SELECT CAST(draws AS BIGINT) AS draws, round(p15_spread, 6) AS p15_spread, round
 def _spread(spark, sf):
     # The season stands for the number of draws, a third of the months for the seed.
     date = F.to_date(F.substring("match_id", 1, 10))
-    overs = w.over_targets(delivery_log(spark, sf))
+    overs = w.over_targets(staged_log(spark, sf))
     share = lambda t: F.avg((F.col(fc.TARGET) >= t).cast("double"))
     records = overs.groupBy(F.year(date).alias("draws"), k.phase(F.col("over_number")).alias("state"), (F.month(date) % 3).alias("seed")) \
         .agg(share(15).alias("p15"), share(20).alias("p20"))
@@ -119,7 +120,7 @@ def _spread(spark, sf):
 @query("store_matches", "SELECT match_id, CAST(min(date) AS VARCHAR) AS date, CAST(min(season) AS BIGINT) AS season, min(venue) AS venue, count(*) AS deliveries, "
        "CAST(sum(runs_total) AS BIGINT) AS runs, CAST(sum(wicket) AS BIGINT) AS wickets FROM fx GROUP BY 1")
 def _store_matches(spark, sf):
-    out = st.matches(delivery_log(spark, sf))
+    out = st.matches(staged_log(spark, sf))
     return out.select("match_id", F.col("date").cast("string").alias("date"), "venue", *big("season", "deliveries", "runs", "wickets"))
 
 
@@ -143,7 +144,7 @@ def _store_sql(tables):
 
 
 def _store(spark, sf, tables):
-    log = fc.staged_log(spark, sf)
+    log = staged_log(spark, sf)
     out = None
     for t in tables:
         kind, names, side = st.STATS[t]
@@ -177,7 +178,7 @@ def _store_form_sql():
 
 @query("store_form", _store_form_sql())
 def _store_form(spark, sf):
-    log = fc.staged_log(spark, sf)
+    log = staged_log(spark, sf)
     out = st.form_table(log, st.last_date(log))
     return out.select("role", "player_id", *big("match_index_from_oldest"), F.col("match_date").cast("string").alias("match_date"),
                       *big(*MEASURES), F.col("as_of").cast("string").alias("as_of"))

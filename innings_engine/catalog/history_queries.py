@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import MEASURES, shrunk_rates
 from ..operators import asof, history as h, windows as w
-from ..sources.delivery_log import OVER_KEY, delivery_log
+from ..sources.delivery_log import OVER_KEY
 from .log_queries import big, rounded, sql_big, sql_round
+from ..plans.forecast import staged_log
 from .registry import cte, query
 
 # Measures per ball: name -> SQL over fx, outs given per family.
@@ -68,7 +69,7 @@ def day(df):
 
 @query("asof_career", f"SELECT player, CAST(date AS VARCHAR) AS date, {', '.join(MEASURES)} FROM bat_career")
 def _asof_career(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     probes = bat_probes(log)
     facts = h.kind_facts(log, "bat").withColumnRenamed("batter", "player")
     totals = asof.asof_totals(facts, probes, ["player"], MEASURES)
@@ -80,7 +81,7 @@ def _asof_career(spark, sf):
        + ", ".join(f"round({e}, 9) AS {n}" for n, e in sql_shrunk().items())
        + " FROM bat_career JOIN league_asof USING (date)")
 def _shrunk_rates(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     probes = bat_probes(log)
     facts = h.kind_facts(log, "bat").withColumnRenamed("batter", "player")
     totals = asof.asof_totals(facts, probes, ["player"], MEASURES)
@@ -105,7 +106,7 @@ def _kind_sql(kind):
 
 @query("history_kinds", " UNION ALL ".join(_kind_sql(kind) for kind in h.KINDS))
 def _history_kinds(spark, sf):
-    return h.history_kinds(delivery_log(spark, sf)).select("kind", "key", *big(*MEASURES))
+    return h.history_kinds(staged_log(spark, sf)).select("kind", "key", *big(*MEASURES))
 
 
 @query("outs_attribution", """
@@ -114,7 +115,7 @@ SELECT player, CAST(sum(bat) AS BIGINT) AS batting_outs, CAST(sum(phase) AS BIGI
   SELECT dismissed_player AS player, 1 AS bat, 0 AS phase, 0 AS faced, 0 AS credited FROM fx WHERE dismissed_player <> ''
   UNION ALL SELECT batter, 0, 0, wicket, bowler_wicket FROM fx) GROUP BY 1""")
 def _outs_attribution(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     outs = h.kind_totals(log, "bat").select(F.col("batter").alias("player"), F.col("outs").alias("batting_outs"))
     phase = h.kind_totals(log, "bat_phase").groupBy(F.col("batter").alias("player")).agg(F.sum("outs").alias("phase_outs"))
     faced = log.groupBy(F.col("batter").alias("player")).agg(
@@ -134,7 +135,7 @@ _ERA_SQL = {
 @query("era_baseline", "SELECT CAST(date AS VARCHAR) AS date, season_balls AS era_balls_observed, "
        + ", ".join(f"round({e}, 9) AS {n}" for n, e in _ERA_SQL.items()) + " FROM league_asof")
 def _era_baseline(spark, sf):
-    return day(h.era_baseline(delivery_log(spark, sf))).select(
+    return day(h.era_baseline(staged_log(spark, sf))).select(
         "date", *big("era_balls_observed"), *rounded(9, *_ERA_SQL))
 
 
@@ -157,7 +158,7 @@ def _ctx_sql(kind):
 
 @query("context_rates", " UNION ALL ".join(_ctx_sql(kind) for kind in _CTX))
 def _context_rates(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     out = None
     for kind in _CTX:
         keys = h.CONTEXT_KINDS[kind]
@@ -176,7 +177,7 @@ SELECT CAST(p.date AS VARCHAR) AS date, CAST(max(f.date) AS VARCHAR) AS history_
   CAST(CASE WHEN max(f.date) >= p.date THEN 1 ELSE 0 END AS BIGINT) AS leaks
 FROM (SELECT DISTINCT date FROM fx) p LEFT JOIN (SELECT DISTINCT date FROM fx) f ON f.date < p.date GROUP BY p.date""")
 def _history_cutoff(spark, sf):
-    cut = asof.history_cutoff(delivery_log(spark, sf))
+    cut = asof.history_cutoff(staged_log(spark, sf))
     return cut.select(F.col("date").cast("string").alias("date"), F.col("history_through").cast("string").alias("history_through"),
                       F.when(F.col("history_through") >= F.col("date"), 1).otherwise(0).cast("bigint").alias("leaks"))
 
@@ -185,7 +186,7 @@ def _history_cutoff(spark, sf):
 SELECT CAST(o.date AS VARCHAR) AS date, count(*) AS overs_kept, max(l.league_balls) AS league_balls
 FROM opening o JOIN league_asof l ON l.date = o.date WHERE l.league_balls >= 1000 GROUP BY 1""")
 def _bootstrap_filter(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     ready = h.bootstrap_ready(h.league_asof(log))
     kept = h.join_league(w.over_starts(log).select("date"), ready)
     return day(kept.groupBy("date").agg(F.count(F.lit(1)).alias("overs_kept"), F.max("league_balls").alias("league_balls")))
@@ -207,7 +208,7 @@ def _roles_sql(template):
 
 
 def _form_roles(spark, sf, columns):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     out = None
     for role, probes in (("bat", bat_probes(log)), ("bowl", bowl_probes(log))):
         form = h.form_asof(log, probes, role)
@@ -266,7 +267,7 @@ SELECT p.player, CAST(p.date AS VARCHAR) AS date, count(f.position) AS innings_s
   round(count(CASE WHEN f.position >= 7 THEN 1 END) / CAST(greatest(count(f.position), 1) AS DOUBLE), 9) AS share_position_7_plus
 FROM bat_probe p LEFT JOIN faced f ON f.batter = p.player AND f.date < p.date GROUP BY p.player, p.date""")
 def _position_shares(spark, sf):
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     probes = bat_probes(log)
     totals = asof.asof_totals(h.position_facts(log), probes, ["player"], h.POSITION_SUMS)
     asked = totals.join(probes.distinct(), ["player", "date"], "left_semi")

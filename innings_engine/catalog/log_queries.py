@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import cricket as k
 from ..operators import windows as w
 from ..sources.delivery_log import OVER_KEY, delivery_log
+from ..plans.forecast import staged_log
 from .registry import cte, query
 
 
@@ -51,7 +52,7 @@ SELECT phase, CASE WHEN t >= 20 THEN 5 WHEN t >= 15 THEN 4 WHEN t >= 11 THEN 3 W
 FROM (SELECT match_id, innings, over_number, any_value(phase) AS phase, sum(runs_total) AS t
       FROM fx GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def _phase_bucket(spark, sf):
-    overs = w.over_totals(delivery_log(spark, sf))
+    overs = w.over_totals(staged_log(spark, sf))
     return overs.groupBy(k.phase(F.col("over_number")).alias("phase"), k.run_bucket(F.col("runs")).alias("bucket")) \
         .agg(F.count(F.lit(1)).alias("overs"), F.sum("runs").alias("runs"))
 
@@ -96,7 +97,7 @@ _MOMENTUM = [f"{m}_last_{n}_overs" for n in (1, 2, 3, 5) for m in ("runs", "wick
        + " FROM o a LEFT JOIN o b ON a.match_id = b.match_id AND a.innings = b.innings AND b.over_number < a.over_number "
          "GROUP BY 1, 2, 3")
 def _momentum_overs(spark, sf):
-    return w.momentum_overs(delivery_log(spark, sf)).select("match_id", *big("innings", "over_number", *_MOMENTUM))
+    return w.momentum_overs(staged_log(spark, sf)).select("match_id", *big("innings", "over_number", *_MOMENTUM))
 
 
 cte("numbered", """
@@ -112,7 +113,7 @@ SELECT *, row_number() OVER (PARTITION BY match_id, innings ORDER BY over_number
        + " FROM numbered a LEFT JOIN numbered b ON a.match_id = b.match_id AND a.innings = b.innings AND b.seq < a.seq "
          "AND b.seq >= a.seq - 24 WHERE a.ball_number = 1 GROUP BY 1, 2, 3")
 def _momentum_balls(spark, sf):
-    out = w.over_starts(w.with_momentum_balls(delivery_log(spark, sf)))
+    out = w.over_starts(w.with_momentum_balls(staged_log(spark, sf)))
     return out.select("match_id", *big("innings", "over_number", *[f"runs_last_{n}_deliveries" for n in (6, 12, 18, 24)]),
                       *rounded(9, *[f"dot_rate_last_{n}_deliveries" for n in (6, 12, 18, 24)]))
 
@@ -127,7 +128,7 @@ _LAGS = [(lag, name, col) for lag in range(1, 13)
     + " FROM numbered a LEFT JOIN numbered b ON a.match_id = b.match_id AND a.innings = b.innings AND b.seq < a.seq "
       "AND b.seq >= a.seq - 12 WHERE a.ball_number = 1 GROUP BY 1, 2, 3")
 def _ball_lags(spark, sf):
-    out = w.over_starts(delivery_log(spark, sf).select(*OVER_KEY, "ball_number", *w.ball_lag_columns()))
+    out = w.over_starts(staged_log(spark, sf).select(*OVER_KEY, "ball_number", *w.ball_lag_columns()))
     return out.select("match_id", *big("innings", "over_number", *[f"ball_minus_{lag}_{n}" for lag, n, _ in _LAGS]))
 
 
@@ -151,7 +152,7 @@ SELECT match_id, {sql_big('innings', 'over_number', 'batter_innings_runs', 'batt
   round(100.0 * non_striker_innings_runs / CAST(greatest(non_striker_innings_balls, 1) AS DOUBLE), 9) AS non_striker_innings_sr
 FROM insofar""")
 def _innings_so_far(spark, sf):
-    out = w.innings_so_far(delivery_log(spark, sf))
+    out = w.innings_so_far(staged_log(spark, sf))
     return out.select("match_id", *big("innings", "over_number", "batter_innings_runs", "batter_innings_balls",
                                        "non_striker_innings_runs", "non_striker_innings_balls"),
                       *rounded(9, "batter_innings_sr", "non_striker_innings_sr"))
@@ -164,7 +165,7 @@ SELECT match_id, {sql_big('innings', 'over_number', 'bowler_match_legal_balls',
   round(greatest(CAST(0 AS DOUBLE), 4 - bowler_match_legal_balls / CAST(6 AS DOUBLE)), 9) AS bowler_overs_remaining_quota
 FROM insofar""")
 def _bowler_so_far(spark, sf):
-    out = w.innings_so_far(delivery_log(spark, sf))
+    out = w.innings_so_far(staged_log(spark, sf))
     return out.select("match_id", *big("innings", "over_number", "bowler_match_legal_balls", "bowler_match_conceded",
                                        "bowler_match_wickets"),
                       *rounded(9, "bowler_match_economy", "bowler_overs_bowled_this_match", "bowler_overs_remaining_quota"))
@@ -179,7 +180,7 @@ FROM fx GROUP BY 1, 2, 3""")
 
 @query("batting_order", "SELECT match_id, CAST(innings AS BIGINT) AS innings, batter, CAST(position AS BIGINT) AS position FROM faced")
 def _batting_order(spark, sf):
-    return w.batting_order(delivery_log(spark, sf)).select("match_id", "batter", *big("innings", "position"))
+    return w.batting_order(staged_log(spark, sf)).select("match_id", "batter", *big("innings", "position"))
 
 
 cte("posnow", """
@@ -192,7 +193,7 @@ GROUP BY 1, 2, 3""")
 
 @query("position_now", f"SELECT match_id, {sql_big('innings', 'over_number', 'batter_position_now', 'non_striker_position_now')} FROM posnow")
 def _position_now(spark, sf):
-    return w.position_now(delivery_log(spark, sf)).select(
+    return w.position_now(staged_log(spark, sf)).select(
         "match_id", *big("innings", "over_number", "batter_position_now", "non_striker_position_now"))
 
 
@@ -215,7 +216,7 @@ SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT)
   round(coalesce(over_number - past_over, 0) / CAST(20 AS DOUBLE), 9) AS over_gap
 FROM slots LEFT JOIN p USING (match_id, innings, over_number, slot)""")
 def _sequence_window(spark, sf):
-    seq = w.sequence_windows(delivery_log(spark, sf))
+    seq = w.sequence_windows(staged_log(spark, sf))
     flat = seq.select("match_id", *big("innings", "over_number"), F.posexplode("sequence").alias("slot", "v"))
     return flat.select("match_id", "innings", "over_number", F.col("slot").cast("bigint").alias("slot"),
                        *[F.round(F.col("v")[i], 9).alias(n) for i, n in enumerate(w.CHANNELS)])
@@ -228,7 +229,7 @@ UNION ALL
 SELECT 'over', CAST(over_number AS BIGINT), count(*), CAST(sum(t) AS BIGINT) FROM
   (SELECT over_number, sum(runs_total) AS t FROM fx GROUP BY match_id, innings, over_number) GROUP BY 2""")
 def _run_histogram(spark, sf):
-    overs = w.over_totals(delivery_log(spark, sf))
+    overs = w.over_totals(staged_log(spark, sf))
     # Both groupings in one pass: key 'total' is the over's runs, key 'over' its number.
     keyed = overs.select("runs", F.explode(F.array(
         F.struct(F.lit("total").alias("kind"), F.col("runs").cast("bigint").alias("key")),

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from ..operators import blend as b, encode as e, logs as lg, metrics as m, split as s
 from ..operators.ordered import exact_quantiles
 from ..plans import forecast as fc, over_table as ot, probabilities as pb, segments as sg
-from ..sources.delivery_log import OVER_KEY, delivery_log, read_table
+from ..sources.delivery_log import OVER_KEY, read_table
 from .log_queries import big, rounded, sql_big, sql_round
 from .metric_queries import C, D, part, r6
+from ..plans.forecast import staged_log
 from .registry import cte, query
 
 FEATURES = ["batter_innings_balls", "batter_career_balls", "batter_matchup_balls", "venue_balls", "current_run_rate",
@@ -112,7 +113,7 @@ def _dedup_score(spark, sf):
 @query("table_fingerprint", """
 SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), batter, bowler, CAST(innings AS VARCHAR), match_id, CAST(over_number AS VARCHAR))), 1, 8) AS BIGINT)) AS VARCHAR) AS digest FROM opening""")
 def _fingerprint(spark, sf):
-    starts = delivery_log(spark, sf).filter("ball_number = 1").select(*OVER_KEY, "batter", "bowler")
+    starts = staged_log(spark, sf).filter("ball_number = 1").select(*OVER_KEY, "batter", "bowler")
     return e.table_fingerprint(starts).select("rows", F.col("digest").cast("string").alias("digest"))
 
 

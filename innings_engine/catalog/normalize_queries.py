@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from ..functions import cricket as k
 from ..functions.rules import all_failures, first_failure
 from ..operators import asof, normalize as n, validate as v, windows as w
-from ..sources.delivery_log import delivery_log, read_table
+from ..sources.delivery_log import read_table
 from ..sources.documents import documents_from_log, parse_documents
 from .log_queries import big, sql_big
+from ..plans.forecast import staged_log
 from .registry import cte, query
 
 TEAMS = {"T0": "T7"}
@@ -14,7 +15,7 @@ VENUES = {"V 11": "V 10"}
 
 
 def docs(spark, sf):
-    return parse_documents(documents_from_log(delivery_log(spark, sf)))
+    return parse_documents(documents_from_log(staged_log(spark, sf)))
 
 
 # The irregularity of a built document, from the match id.
@@ -140,7 +141,7 @@ def _canonical(spark, sf):
 SELECT CASE WHEN team_batting = 'T0' THEN 'T7' ELSE team_batting END AS team, count(*) AS balls, CAST(sum(runs_total) AS BIGINT) AS runs
 FROM fx GROUP BY 1""")
 def _team_alias(spark, sf):
-    log = delivery_log(spark, sf).withColumn("team", k.renamed(F.col("team_batting"), TEAMS))
+    log = staged_log(spark, sf).withColumn("team", k.renamed(F.col("team_batting"), TEAMS))
     return log.groupBy("team").agg(F.count(F.lit(1)).alias("balls"), F.sum("runs_total").alias("runs"))
 
 
@@ -151,7 +152,7 @@ SELECT CAST(CASE WHEN runs_batter IN (0,1,2,3,4) THEN runs_batter WHEN runs_batt
   CAST(CASE WHEN wicket > 0 THEN 1 ELSE 0 END AS BIGINT) AS wicket_class, count(*) AS n FROM fx GROUP BY 1, 2, 3, 4""")
 def _classes(spark, sf):
     c = F.col
-    log = delivery_log(spark, sf).select(
+    log = staged_log(spark, sf).select(
         k.run_class(c("runs_batter")).cast("bigint").alias("run_class"),
         k.extra_class(c("runs_extras")).cast("bigint").alias("extra_class"),
         k.legality_class(c("wides"), c("noballs")).cast("bigint").alias("legality_class"),
@@ -181,7 +182,7 @@ SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT)
     WHEN current_wickets >= 10 OR (target > 0 AND current_score >= target) THEN 'innings_complete' END AS reason
   FROM opening JOIN prior_date USING (date)) WHERE reason IS NOT NULL""")
 def _state_rejects(spark, sf):
-    judged = claimed_starts(delivery_log(spark, sf)).withColumn("reason", first_failure(v.state_rules()))
+    judged = claimed_starts(staged_log(spark, sf)).withColumn("reason", first_failure(v.state_rules()))
     return judged.filter(F.col("reason").isNotNull()).select("match_id", *big("innings", "over_number"), "reason")
 
 
@@ -200,7 +201,7 @@ def _delivery_rejects(spark, sf):
     c = F.col
     rule = (c("over_number") * 7 + c("ball_number") * 3 + c("innings")) % 29
     on = lambda r: F.when(rule == r, 1).otherwise(0)
-    log = delivery_log(spark, sf)
+    log = staged_log(spark, sf)
     bent = log.select(
         *[x for x in log.columns if x not in ("runs_total", "runs_extras", "legal", "bowler_conceded", "six", "bowler_wicket", "runs_batter", "byes")],
         F.lit(0).alias("penalty"),
@@ -226,7 +227,7 @@ SELECT reason, count(*) AS states FROM (
 WHERE reason IS NOT NULL GROUP BY 1""")
 def _live_state_rejects(spark, sf):
     c = F.col
-    states = v.live_states(w.running_state(delivery_log(spark, sf)))
+    states = v.live_states(w.running_state(staged_log(spark, sf)))
     rule = (c("over") * 5 + c("innings") * 3 + F.split("match_id", "-").getItem(3).cast("int")) % 13
     past = c("previous_deliveries")
     ball = F.struct(*[

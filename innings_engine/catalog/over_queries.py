@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from ..functions import cricket as k
 from ..operators import asof, history as h, split as s, windows as w
 from ..plans import forecast as fc, over_table as ot
-from ..sources.delivery_log import OVER_KEY, delivery_log
+from ..sources.delivery_log import OVER_KEY
 from .history_queries import day, sql_shrunk
 from .log_queries import big, rounded, sql_big, sql_round
+from ..plans.forecast import staged_log
 from .registry import cte, query
 
 # Fixed inputs of the chase arithmetic, in SQL.
@@ -31,7 +32,7 @@ _CHASE_FLOAT = ["current_run_rate", "required_run_rate", "required_minus_current
 
 @query("chase_features", f"SELECT match_id, {sql_big('innings', 'over_number', *_CHASE_INT)}, {sql_round(9, *_CHASE_FLOAT)} FROM chase")
 def _chase(spark, sf):
-    return ot.opening_states(delivery_log(spark, sf)).select(
+    return ot.opening_states(staged_log(spark, sf)).select(
         "match_id", *big("innings", "over_number", *_CHASE_INT), *rounded(9, *_CHASE_FLOAT))
 
 
@@ -158,7 +159,7 @@ SELECT phase, count(*) AS overs, round(avg(abs(y - batter_bowler_history)), 6) A
   round(avg(y), 6) AS mean_runs, round(avg(batter_bowler_history), 6) AS mean_forecast FROM pw GROUP BY 1""")
 def _flagship(spark, sf):
     """From the raw table to the error of the history forecast per phase."""
-    df = ot.over_samples(fc.staged_log(spark, sf), ("career",))
+    df = ot.over_samples(staged_log(spark, sf), ("career",))
     p = 3 * F.col("batter_career_strike_rate") / 100 + 0.5 * F.col("bowler_career_economy")
     y = F.col(fc.TARGET)
     return df.groupBy("phase").agg(

@@ -86,18 +86,25 @@ def live_state_rules() -> dict[str, Column]:
                | ~c("wickets").between(0, 9) | ~c("target").between(0, 501) | ~c("bowler_confirmed")
                | (F.size(past) > 400))
     bad_date = ~c("date").rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_date("date", "yyyy-MM-dd").isNull()
-    bad_ball = F.exists(past, lambda d: F.size(_broken(d)) > 0)
+    bad_ball = F.exists(past, _broken)
     key = lambda d: d["over_number"] * 1000 + d["ball_number"]
     keys = F.transform(past, key)
     ordered = F.array_sort(F.array_distinct(keys))
 
-    def complete(over: Column) -> Column:
-        rows = F.filter(past, lambda d: d["over_number"] == over)
-        legal = F.aggregate(rows, F.lit(0), lambda a, d: a + d["legal"])
-        return (legal == k.BALLS_PER_OVER) & ~F.exists(
-            F.transform(rows, lambda d, i: d["ball_number"] != i + 1), lambda bad: bad)
-
-    earlier = F.filter(F.sequence(F.lit(1), F.lit(20)), lambda o: o < c("over"))
+    # One pass over the prefix: every over starts at ball 1, counts up, holds six legal balls
+    # and is followed by the next over number.
+    def step(acc: Column, d: Column) -> Column:
+        same = d["over_number"] == acc["over"]
+        follows = F.when(same, d["ball_number"] == acc["ball"] + 1).otherwise(
+            (acc["legal"] == k.BALLS_PER_OVER) & (d["over_number"] == acc["over"] + 1) & (d["ball_number"] == 1))
+        return F.struct(d["over_number"].alias("over"), d["ball_number"].alias("ball"),
+                        F.when(same, acc["legal"] + d["legal"]).otherwise(d["legal"]).alias("legal"),
+                        (acc["ok"] & follows).alias("ok"))
+
+    start = F.struct(F.lit(0).alias("over"), F.lit(0).alias("ball"), F.lit(k.BALLS_PER_OVER).alias("legal"), F.lit(True).alias("ok"))
+    complete = F.aggregate(
+        F.filter(past, lambda d: d["over_number"] < c("over")), start, step,
+        lambda acc: acc["ok"] & (acc["legal"] == k.BALLS_PER_OVER) & (acc["over"] == c("over") - 1))
     return {
         "out_of_range": numbers | text,
         "invalid_date": bad_date,
@@ -105,11 +112,13 @@ def live_state_rules() -> dict[str, Column]:
         "not_distinct": (c("striker") == c("non_striker")) | (c("team_batting") == c("team_bowling")),
         "invalid_target": ((c("innings") == 1) & (c("target") != 0)) | ((c("innings") == 2) & (c("target") <= c("score"))),
         "not_ordered": keys != ordered,
-        "incomplete_over": F.exists(earlier, lambda o: ~complete(o)),
+        "incomplete_over": ~complete,
         "target_over_leak": F.exists(past, lambda d: d["over_number"] >= c("over")),
     }
 
 
 def _broken(delivery: Column) -> Column:
-    rules = delivery_rules(lambda name: delivery[name])
-    return F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(n)) for n, b in rules.items()]))
+    broken = F.lit(False)
+    for rule in delivery_rules(lambda name: delivery[name]).values():
+        broken = broken | rule
+    return F.coalesce(broken, F.lit(True))
