@@ -82,14 +82,14 @@ def _sample(spark, sf):
 
 
 @query("feature_selection", """
-WITH i AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, y) ** 2 AS importance FROM pw WHERE \"partition\" = 'validation'" for f in FEATURES) + f"""),
+WITH i AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CASE WHEN var_pop({f}) > 0 THEN corr({f}, y) ** 2 ELSE 0 END AS importance FROM pw WHERE \"partition\" = 'validation'" for f in FEATURES) + f"""),
 p AS (SELECT avg(d) > 2 * stddev_samp(d) / sqrt(count(*)) AS significant FROM (SELECT abs(y - {D}) - abs(y - {C}) AS d FROM pw WHERE "partition" = 'validation'))
 SELECT feature, round(importance, 6) AS mae_increase, CAST(CASE WHEN importance <= 0.001 THEN 1 ELSE 0 END AS BIGINT) AS dropped,
   CAST(significant AND (SELECT count(*) FROM i WHERE importance <= 0.001) > 0 AS BIGINT) AS adopt FROM i, p""")
 def _selection(spark, sf):
     val = part(spark, sf, "validation")
-    row = val.agg(*[F.corr(F.col(f).cast("double"), F.col("y").cast("double")).alias(f) for f in FEATURES])
-    importance = e.unpivot(row, [], FEATURES).select("feature", (F.col("value") * F.col("value")).alias("mae_increase"))
+    row = val.agg(*[e.explained_share(F.col(f).cast("double"), F.col("y").cast("double")).alias(f) for f in FEATURES])
+    importance = e.unpivot(row, [], FEATURES).select("feature", F.col("value").alias("mae_increase"))
     kept, dropped = e.drop_by_importance(importance, 0.001)
     significant = m.paired_test(val, [], D, C).agg(F.max("significant")).scalar()
     some = dropped.agg(F.count(F.lit(1)) > 0).scalar()

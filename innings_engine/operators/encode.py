@@ -88,6 +88,12 @@ def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataF
     return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).orderBy(*key)
 
 
+def explained_share(x: Column, y: Column) -> Column:
+    """Aggregate: squared correlation, 0 for a constant column."""
+    spread = F.var_pop(x) * F.var_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) * F.covar_pop(x, y) / spread).otherwise(0.0)
+
+
 def drop_by_importance(importance: DataFrame, threshold: float = 0.0):
     """(kept, dropped) features of a (feature, mae_increase) table."""
     dropped = importance.filter(F.col("mae_increase") <= threshold)
