@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SLICE = "_slice"
+KEY = "_slice_key"
 
 
 def sliced_prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str],
@@ -21,20 +22,19 @@ def sliced_prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str]
     ``df`` carries the column ``_slice``: a non-decreasing function of the order columns.
     With ``totals_too`` the group's whole sum comes along as ``<measure>_total``.
     """
-    keys = [*group, SLICE]
-    totals = df.groupBy(*keys).agg(*[F.sum(m).alias(f"_t_{o}") for m, o in sums.items()])
-    whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    before = whole.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    # One struct key serves the totals, the window and the join, so rows are shuffled once. A
+    # struct is never null itself and equal null fields match, so null groups keep their rows.
+    keyed = df.withColumn(KEY, F.struct(*group, SLICE))
+    totals = keyed.groupBy(KEY).agg(*[F.sum(m).alias(f"_t_{o}") for m, o in sums.items()])
+    whole = W.partitionBy(*[F.col(KEY)[g] for g in group]) if group else W.partitionBy(F.lit(0))
+    before = whole.orderBy(F.col(KEY)[SLICE]).rowsBetween(W.unboundedPreceding, -1)
     extra = [F.sum(f"_t_{o}").over(whole).alias(f"{m}_total") for m, o in sums.items()] if totals_too else []
-    offsets = totals.select(*keys, *[
+    offsets = totals.select(KEY, *[
         F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums.values()], *extra)
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = df.select("*", *[
+    inside = W.partitionBy(KEY).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = keyed.select("*", *[
         F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_l_{o}") for m, o in sums.items()])
-    # Null-safe on the group, so that a null group key keeps its rows.
-    right = offsets.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    joined = local.join(right, on)
+    joined = local.join(offsets, KEY)
     return joined.select(
         *[c for c in df.columns if c != SLICE],
         *[(F.col(f"_l_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums.values()],

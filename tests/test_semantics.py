@@ -64,6 +64,20 @@ def test_sliced_prefix_equals_window(spark):
             total += x
 
 
+def test_null_group_and_one_shuffle(spark):
+    df = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").alias("i"), F.lit(1).alias("v"))
+    sliced = df.withColumn(o.SLICE, F.floor(F.col("i") / 7))
+    rows = o.sliced_prefix_sums(sliced, ["g"], ["i"], {"v": "b"}).collect()
+    assert len(rows) == 40 and all(r["b"] == r["i"] // 2 for r in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = o.sliced_prefix_sums(sliced, ["g"], ["i"], {"v": "b"})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the rows themselves, the slice totals, the totals per group and back: no second shuffle of the rows
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
 @pytest.mark.parametrize("slices", [2, 5, 64])
 def test_quantiles_and_curves(spark, slices):
     rng = np.random.default_rng(5)
