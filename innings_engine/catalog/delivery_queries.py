@@ -5,8 +5,8 @@ from ..functions import cricket as k
 from ..operators import delivery as d, store as st, windows as w
 from ..plans import forecast as fc
 from ..sources.delivery_log import OVER_KEY
-from .history_queries import _kind_sql, _measures, _sum
-from .log_queries import big, rounded, sql_big, sql_round
+from .history_queries import _kind_sql
+from .log_queries import big, rounded, sql_big
 from .metric_queries import r6
 from ..plans.forecast import staged_log
 from .registry import cte, query

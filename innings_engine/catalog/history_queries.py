@@ -3,8 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import MEASURES, shrunk_rates
 from ..operators import asof, history as h, windows as w
-from ..sources.delivery_log import OVER_KEY
-from .log_queries import big, rounded, sql_big, sql_round
+from .log_queries import big, rounded
 from ..plans.forecast import staged_log
 from .registry import cte, query
 

@@ -3,7 +3,7 @@ from pyspark.sql import Column, functions as F
 
 from ..operators import metrics as m, ordered as o
 from ..plans import forecast as fc, probabilities as pb, segments as sg
-from .log_queries import big, rounded, sql_big, sql_round
+from .log_queries import big, rounded
 from .registry import cte, query
 
 C, D = fc.CANDIDATE, fc.CHAMPION

@@ -2,10 +2,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import blend as b, encode as e, logs as lg, metrics as m, split as s
-from ..operators.ordered import exact_quantiles
-from ..plans import forecast as fc, over_table as ot, probabilities as pb, segments as sg
+from ..plans import forecast as fc, probabilities as pb
 from ..sources.delivery_log import OVER_KEY, read_table
-from .log_queries import big, rounded, sql_big, sql_round
+from .log_queries import big, rounded, sql_round
 from .metric_queries import C, D, part, r6
 from ..plans.forecast import staged_log
 from .registry import cte, query

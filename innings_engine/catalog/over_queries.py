@@ -1,10 +1,8 @@
 """Over samples, splits and baselines."""
 from pyspark.sql import functions as F
 
-from ..functions import cricket as k
-from ..operators import asof, history as h, split as s, windows as w
+from ..operators import split as s
 from ..plans import forecast as fc, over_table as ot
-from ..sources.delivery_log import OVER_KEY
 from .history_queries import day, sql_shrunk
 from .log_queries import big, rounded, sql_big, sql_round
 from ..plans.forecast import staged_log

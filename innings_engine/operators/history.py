@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cricket as k
-from ..functions.rates import MEASURES, context_rates, era_rates, shrunk_rates
-from .asof import asof_latest, asof_totals, day_number
+from ..functions.rates import MEASURES, context_rates, era_rates
+from .asof import asof_latest, asof_totals
 from .windows import batting_order
 
 # Form is remembered for 25 matches; decay rates; calendar windows in days.

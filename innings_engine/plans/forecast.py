@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.split import FITTED, with_partition
+from ..operators.split import with_partition
 from ..sources.delivery_log import OVER_KEY, delivery_log
 from .over_table import over_samples
 from .staging import staged_once, staged_path
