@@ -1,17 +1,35 @@
 """One query per operator over its whole table; each takes (spark, sf_dir)."""
 from __future__ import annotations
 
-from . import repeats, simhash
+import public_tokenizers
+
+from . import decontaminate, lexicon, rans, repeats, simhash
 from .scratch import table
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
+
+
+def op1_token_output(spark, sf_dir):
+    return rans.read(*rans.write(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END_ID))
+
 
 def op2_substring_dedup(spark, sf_dir):
     return repeats.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe_round_trip(spark, sf_dir):
+    return lexicon.encoded(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op5_bpe_round_trip, op8_decontamination, op9_simhash_dedup)}
 SQL: dict[str, str] = {}
