@@ -7,10 +7,10 @@ For each symbol the parse carries its *context*, the words that alone decide its
 inside a window is found in every copy of that window.
 
 Every window takes as its anchor the symbol with the smallest name among those it decides by itself. Neighbouring windows
-mostly share an anchor, so one record (symbol, hash of the whole span of such windows) stands for about twenty windows. Spark
+mostly share an anchor, so one record (the symbol in its context, hash of the whole span of such windows) stands for about twenty windows. Spark
 then finds
 
-1. symbols that occur in two documents or more (grouped with partial sums, so a symbol of a third of all documents is no
+1. symbols whose context occurs in two documents or more (grouped with partial sums, so a symbol of a third of all documents is no
    hot task); all other records are dropped,
 2. equal spans: every window of a span repeats where the span's first document is smaller,
 3. for symbols with several spans (the ends of repeats), the single windows of one representative per distinct span,
@@ -133,8 +133,10 @@ def anchors(names: np.ndarray, docs: np.ndarray, window: int = WINDOW, rounds: i
     first, chosen = at[start], anchor[start]
     span = spans.of(first, first + count + window - 1)
     own = chosen < 0
-    inside = first - place[np.maximum(chosen, 0)]
-    key = np.where(own, span, symbol[np.maximum(chosen, 0)])
+    inside = first - place[np.maximum(chosen, 0)]  # the same in all copies of the span
+    chosen = np.maximum(chosen, 0)
+    context = spans.of(np.where(own, first, low[chosen]), np.where(own, first + window, high[chosen]))
+    key = wd.mix(context + np.where(own, np.uint64(0), symbol[chosen]))
     span = wd.mix(span + wd.mix(np.where(own, 0, inside).astype(np.uint64) + np.uint64(3)) + count.astype(np.uint64))
     return key, span, first, count
 
