@@ -244,6 +244,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
     cut = docs.select("doc_id", "text").join(found.where("not contaminated").select("doc_id", "spans"), "doc_id").mapInArrow(_without_spans, _CUT_SCHEMA)
     cut = keep(cut.dropDuplicates(["doc_id"]), "cut")
     verdict = found.where("contaminated").select("doc_id").withColumn("gone", F.lit(True)).join(cut, "doc_id", "full")
-    columns = [F.coalesce("verdict.clean_text", "d.text").alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns]
+    columns = [F.coalesce("verdict.clean_text", "d.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     d, v = docs.alias("d"), verdict.alias("verdict")
     return d.join(v, F.col("d.doc_id") == F.col("verdict.doc_id"), "left").where("verdict.gone is null").select(*columns)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, lexicon, rans, repeats, simhash
+from . import decontaminate, lexicon, outliers, rans, repeats, simhash, toxicity
 from .scratch import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,14 @@ def op5_bpe_round_trip(spark, sf_dir):
     return lexicon.encoded(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def op6_robust_outliers(spark, sf_dir):
+    return outliers.outlier_report(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,5 +39,5 @@ def op9_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op5_bpe_round_trip, op8_decontamination, op9_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op5_bpe_round_trip, op6_robust_outliers, op7_toxicity, op8_decontamination, op9_simhash_dedup)}
 SQL: dict[str, str] = {}
