@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, lexicon, outliers, rans, repeats, simhash, toxicity
+from . import decontaminate, derivatives, lexicon, outliers, rans, repeats, simhash, tool_calls, toxicity, url_lists
 from .scratch import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,15 @@ def op2_substring_dedup(spark, sf_dir):
     return repeats.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op3_tool_calls(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return tool_calls.linked(tool_calls.calls_of(turns), tool_calls.results_of(turns), tool_calls.schemas_of(spark))
+
+
+def op4_warc_derivatives(spark, sf_dir):
+    return derivatives.derivatives(derivatives.responses_of(table(spark, sf_dir, "pages")))
+
+
 def op5_bpe_round_trip(spark, sf_dir):
     return lexicon.encoded(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
@@ -39,5 +48,13 @@ def op9_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_substring_dedup, op5_bpe_round_trip, op6_robust_outliers, op7_toxicity, op8_decontamination, op9_simhash_dedup)}
-SQL: dict[str, str] = {}
+def op10_temporal_url_lists(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.judged(url_lists.captures_of(pages), url_lists.entries_of(pages))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_output, op2_substring_dedup, op3_tool_calls, op4_warc_derivatives, op5_bpe_round_trip, op6_robust_outliers, op7_toxicity, op8_decontamination,
+    op9_simhash_dedup, op10_temporal_url_lists)}
+#: The other queries are tested against brute force, as SQL can't express them or is too slow on whole tables.
+SQL = {"op3_tool_calls": tool_calls.SQL, "op10_temporal_url_lists": url_lists.SQL}
