@@ -118,8 +118,8 @@ def _ece(spark, sf):
     return r6(m.calibration_error(predicted(spark, sf), ["task"], "obs", "conf"))
 
 
-@query("reliability_table", "SELECT task, CAST(bin AS BIGINT) AS bin, round(avg(conf), 6) AS predicted, round(avg(obs), 6) AS observed, count(*) AS n FROM (SELECT *, CASE "
-       + " ".join(f"WHEN conf >= CAST({e!r} AS DOUBLE) AND conf < CAST({(e + 0.1)!r} AS DOUBLE) THEN {i}" for i, e in enumerate(_EDGES[:10]))
+@query("reliability_table", "SELECT task, CAST(bin AS BIGINT) AS bin, round(avg(conf), 6) AS predicted, round(avg(obs), 6) AS observed, count(*) AS n FROM (SELECT * REPLACE (least(greatest(conf, 1e-9), 1 - 1e-9) AS conf), CASE "
+       + " ".join(f"WHEN least(conf, 1 - 1e-9) >= CAST({e!r} AS DOUBLE) AND least(conf, 1 - 1e-9) < CAST({(e + 0.1)!r} AS DOUBLE) THEN {i}" for i, e in enumerate(_EDGES[:10]))
        + " END AS bin FROM confident) WHERE bin IS NOT NULL GROUP BY 1, 2")
 def _reliability(spark, sf):
     return r6(m.reliability_table(predicted(spark, sf), ["task"], "obs", "conf"))

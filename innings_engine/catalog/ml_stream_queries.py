@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..plans import forecast as fc, models as md
+from ..sources.delivery_log import read_table
 from ..streaming import live
 from .log_queries import big, sql_big
 from .model_queries import prediction_requests
@@ -46,43 +47,64 @@ def _components(spark, sf):
     return md.component_scores(md.model_table(spark, sf))
 
 
-def _linear(spark, sf):
+def _linear(spark, sf, *partitions):
     table = md.model_table(spark, sf)
     data = md.assembled(table, md.NUMERIC)
-    model = LinearRegression(labelCol=fc.TARGET, featuresCol="features", regParam=.1).fit(md.of(data, *md.FITTED))
+    model = LinearRegression(labelCol=fc.TARGET, featuresCol="features", regParam=.1).fit(md.of(data, *partitions))
     return table, md.linear_scorer(model, md.NUMERIC)
 
 
 @query("permutation_importance")
 def _permutation(spark, sf):
-    table, scorer = _linear(spark, sf)
-    return md.permutation_importance(md.of(table, "validation"), md.NUMERIC, fc.TARGET, scorer).orderBy(F.desc("mae_increase"))
+    table, scorer = _linear(spark, sf, "train")
+    key = ["match_id", "innings", "over_number"]
+    return md.permutation_importance(md.of(table, "validation"), md.NUMERIC, fc.TARGET, scorer, key).orderBy(F.desc("mae_increase"))
+
+
+@query("native_importance")
+def _native(spark, sf):
+    return md.native_importance(md.model_table(spark, sf))
 
 
 @query("scorer_hook")
 def _hook(spark, sf):
-    table, scorer = _linear(spark, sf)
+    table, scorer = _linear(spark, sf, *md.FITTED)
     scored = md.score_with(md.of(table, "test"), md.NUMERIC, scorer, ["match_id", "innings", "over_number", fc.TARGET])
     return scored.groupBy("innings").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(fc.TARGET) - F.col("p"))).alias("mae"))
 
 
 # --- streams --------------------------------------------------------------------------------
-@query("stream_dedup", "SELECT id, count(DISTINCT id) AS n FROM requests GROUP BY 1")
+# Every stream arrives in four deliveries that are not in order of time.
+_PARTS = 4
+
+
+def _events(spark, sf):
+    return read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_dedup", """
+SELECT id, count(*) AS arrivals, (min({'part': (event_id * 7) % 4, 'ts': ts, 'event_id': event_id})).event_id AS event_id FROM requests GROUP BY 1""")
 def _dedup(spark, sf):
-    requests = prediction_requests(live.event_stream(spark, sf)).select("id", "ts")
-    stored = live.run_append(live.deduplicated(requests), "dedup")
-    return stored.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    requests = prediction_requests(_events(spark, sf)).select("id", "ts", "event_id")
+    arrivals = live.deliveries(requests, F.col("event_id") * 7 % _PARTS, _PARTS, "dedup")
+    stored = live.append_new(arrivals, requests, "id", "ts", "dedup")
+    return stored.select("id", "event_id").join(requests.groupBy("id").agg(F.count("*").alias("arrivals")), "id")
 
 
 @query("stream_join", """
-SELECT p.event_id AS prediction_event, o.event_id AS outcome_event FROM events p JOIN events o ON p.user_id = o.user_id
-WHERE p.event_id % 3 = 0 AND o.event_id % 3 = 1 AND o.ts >= p.ts AND o.ts <= p.ts + INTERVAL 1 HOUR""")
+SELECT p.event_id AS prediction_event, o.outcome_event, CASE WHEN o.id IS NULL THEN 'awaiting' ELSE 'recorded' END AS status
+FROM events p LEFT JOIN (
+  SELECT event_id - 1 - event_id % 2 * 3 AS id, (min({'part': (event_id * 7) % 4, 'ts': ts, 'event_id': event_id})).event_id AS outcome_event
+  FROM events WHERE event_id % 3 = 1 AND event_id % 5 <> 0 GROUP BY 1) o ON o.id = p.event_id
+WHERE p.event_id % 3 = 0""")
 def _join(spark, sf):
-    side = lambda r: live.event_stream(spark, sf).filter(F.col("event_id") % 3 == r)
-    predictions = side(0).select("user_id", F.col("event_id").alias("prediction_event"), F.col("ts").alias("predicted_at"))
-    outcomes = side(1).select("user_id", F.col("event_id").alias("outcome_event"), F.col("ts").alias("observed_at"))
-    joined = live.predictions_with_outcomes(predictions, outcomes, "user_id")
-    return live.run_append(joined, "join").select("prediction_event", "outcome_event")
+    e, events = F.col("event_id"), _events(spark, sf)
+    # An outcome names the prediction it belongs to: that of its own triple of events or the one before.
+    predictions = events.where(e % 3 == 0).select(e.alias("id"), F.col("ts").alias("predicted_at"))
+    outcomes = events.where((e % 3 == 1) & (e % 5 != 0)).select((e - 1 - e % 2 * 3).alias("id"), "ts", e.alias("outcome_event"))
+    made = live.append_new(live.deliveries(predictions, F.col("id") * 7 % _PARTS, _PARTS, "predictions"), predictions, "id", "predicted_at", "predictions")
+    seen = live.append_new(live.deliveries(outcomes, F.col("outcome_event") * 7 % _PARTS, _PARTS, "outcomes"), outcomes, "id", "ts", "outcomes")
+    return live.with_outcomes(made.select("id"), seen.select("id", "outcome_event"), "id").select(F.col("id").alias("prediction_event"), "outcome_event", "status")
 
 
 @query("stream_running_state", f"""
@@ -95,10 +117,21 @@ def _running(spark, sf):
     return final.select("match_id", *big("innings", "score", "wickets", "legal_balls", "deliveries"))
 
 
-@query("stream_history_commit", """
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events
-WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2""")
+# Days of the middle, the end and the start of the month arrive one after the other; a tenth of all rows comes last.
+_PART_OF_DAY = "CASE WHEN event_id % 10 = 0 THEN 3 WHEN extract(day FROM ts) BETWEEN 11 AND 20 THEN 0 WHEN extract(day FROM ts) > 20 THEN 1 ELSE 2 END"
+_LATENESS = 3
+
+
+@query("stream_history_commit", f"""
+WITH arrived AS (SELECT *, CAST(ts AS DATE) AS day, {_PART_OF_DAY} AS part FROM events),
+marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM arrived GROUP BY part),
+judged AS (SELECT a.*, coalesce(a.day + {1 + _LATENESS} <= m.mark, FALSE) AS late FROM arrived a JOIN marks m USING (part))
+SELECT CAST(day AS VARCHAR) AS date, event_type, late, count(*) AS n, round(sum(value), 6) AS total FROM judged
+WHERE late OR day + {1 + _LATENESS} <= (SELECT max(ts) FROM events) GROUP BY 1, 2, 3""")
 def _commit(spark, sf):
-    facts = live.closed_day_facts(live.event_stream(spark, sf), ["event_type"], "value")
-    out = live.run_append(facts, "commit")
-    return out.select(F.col("date").cast("string").alias("date"), "event_type", "n", F.round("total", 6).alias("total"))
+    events = _events(spark, sf).select("event_id", "ts", "event_type", "value")
+    arrivals = live.deliveries(events, F.expr(_PART_OF_DAY), _PARTS, "commit")
+    facts, late = live.closed_day_facts(arrivals, events, "ts", ["event_type"], "value", _LATENESS, "commit")
+    apart = late.groupBy(F.col("ts").cast("date").alias("date"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = facts.withColumn("late", F.lit(False)).unionByName(apart.withColumn("late", F.lit(True)))
+    return out.select(F.col("date").cast("string").alias("date"), "event_type", "late", "n", F.round("total", 6).alias("total"))

@@ -315,7 +315,7 @@ def _monitoring(spark, sf):
     records = part(spark, sf).withColumn("row_key", fc.row_key()).select(
         "date", "row_key", version.alias("version"), F.when(c("over_number") != 7, c("y")).alias("y"), c(C).alias("p"),
         lo.alias("lower"), hi.alias("upper")).join(wicket, "row_key")
-    return r6(lg.monitoring(records, [F.desc("date"), F.desc("row_key")]))
+    return r6(lg.monitoring(records))
 
 
 @query("replay_last_matches", f"""

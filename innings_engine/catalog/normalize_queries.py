@@ -247,12 +247,16 @@ def _live_state_rejects(spark, sf):
 
 
 @query("dedup_first", """
-SELECT match_id, CAST(1 + CASE WHEN code IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM match_shape""")
+SELECT match_id, CAST(1 + CASE WHEN code IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM match_shape
+UNION ALL SELECT match_id || '-copy', 1 FROM match_shape WHERE code = 2""")
 def _dedup_first(spark, sf):
-    d = docs(spark, sf)
     from ..sources.documents import month_code
-    copies = d.filter(month_code(F.col("match_id")).isin(0, 3)).withColumn("match_id", F.concat("match_id", F.lit("-copy")))
-    marked = n.fingerprinted(d.unionByName(copies)).select("match_id", "fingerprint")
+    texts, code = documents_from_log(staged_log(spark, sf)), month_code(F.col("match_id"))
+    # A copy with its keys in another order, one with other data around the match, and one that differs in a field no column holds.
+    bent = (F.when(code == 0, F.to_json(F.parse_json("text"))).when(code == 3, F.concat(F.lit('{"meta":{"version":2},'), F.substring(F.col("text"), F.lit(2), F.length("text"))))
+            .when(code == 2, F.replace("text", F.lit('"info":{'), F.lit('"info":{"officials":["x"],'))))
+    copies = texts.filter(code.isin(0, 2, 3)).select(F.concat("match_id", F.lit("-copy")).alias("match_id"), bent.alias("text"))
+    marked = n.fingerprinted(texts.unionByName(copies)).select("match_id", "fingerprint")
     return n.first_of_duplicates(marked, "fingerprint", "match_id").select("match_id", "copies")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cricket as k
 from ..sources.delivery_log import OVER_KEY
+from .metrics import same_group
 from .ordered import exact_quantiles
 from .windows import running_state, with_opening_pair
 
@@ -170,7 +171,7 @@ def distribution_summary(df: DataFrame, group: list[str], value: str, events: Ma
         *[share(c).alias(f"{n}_probability") for n, c in (events or {}).items()])
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     mode = counts.groupBy(*group).agg(F.max_by(v, F.struct("_n", -v)).alias("mode_runs"))
-    return main.join(mode, group).join(exact_quantiles(df, group, value, OUTCOME_QUANTILES), group)
+    return same_group(same_group(main, mode, group), exact_quantiles(df, group, value, OUTCOME_QUANTILES), group)
 
 
 def spread_convergence(records: DataFrame, watched: list[str], tolerance: float) -> DataFrame:

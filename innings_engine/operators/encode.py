@@ -101,9 +101,10 @@ def drop_by_importance(importance: DataFrame, threshold: float = 0.0):
 
 
 def distinct_score_join(df: DataFrame, state: Sequence[str], score: Mapping[str, Column]) -> DataFrame:
-    """Score each distinct state once and join the result back to every row."""
-    scored = df.select(*state).distinct().select("*", *[c.alias(n) for n, c in score.items()])
-    return df.join(scored, list(state))
+    """Score each distinct state once and join the result back to every row, rows with null state columns included."""
+    key = F.struct(*state)  # nulls inside a struct are equal to each other
+    scored = df.select(*state).distinct().select(key.alias("_state"), *[c.alias(n) for n, c in score.items()])
+    return df.withColumn("_state", key).join(scored, "_state").drop("_state")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

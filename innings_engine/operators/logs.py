@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .metrics import error_columns
 
-MAX_AGE_SECONDS, MAX_AHEAD_SECONDS, NEWEST_RECORDS = 30, 5, 1000
+MAX_AGE_SECONDS, MAX_AHEAD_SECONDS = 30, 5
 
 
 def freshness_reason(age_seconds: Column, match: Column, expected: Column) -> Column:
@@ -35,14 +35,18 @@ def reconcile_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str, va
                                                 F.when(status == "recorded", F.col("low")).alias(value))
 
 
-def monitoring(records: DataFrame, order: list[Column]) -> DataFrame:
-    """Metrics per model version over the newest thousand records that have an outcome.
+def newest_records(records: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` records in ``order``: a view of its own for a caller who asks for one."""
+    return records.orderBy(*order).limit(n)
+
+
+def monitoring(records: DataFrame) -> DataFrame:
+    """Metrics per model version over all records that have an outcome.
 
     ``records``: version, y (null while awaited), p, lower, upper, wicket, wicket_p. A version
     with a single outcome reports its error only.
     """
-    newest = records.orderBy(*order).limit(NEWEST_RECORDS)
-    done = newest.filter(F.col("y").isNotNull())
+    done = records.filter(F.col("y").isNotNull())
     inside = ((F.col("y") >= F.col("lower")) & (F.col("y") <= F.col("upper"))).cast("double")
     base = error_columns()
     gap = F.col("wicket_p") - F.col("wicket")

@@ -31,6 +31,13 @@ def error_columns(y: str = "y", p: str = "p") -> dict[str, Column]:
     }
 
 
+def same_group(left: DataFrame, right: DataFrame, group: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables with one row per group; a null group is a group like any other."""
+    key = F.struct(F.lit(0).alias("_"), *group)  # nulls inside a struct are equal; no column: one row each
+    marked = right.select(key.alias("_group"), *[c for c in right.columns if c not in group])
+    return left.withColumn("_group", key).join(marked, "_group", how).drop("_group")
+
+
 def regression_metrics(df: DataFrame, group: Sequence[str], y: str = "y", p: str = "p",
                        median: bool = True) -> DataFrame:
     """MAE, RMSE, R2, shares within 1-4 and the exact median absolute error per group."""
@@ -38,7 +45,7 @@ def regression_metrics(df: DataFrame, group: Sequence[str], y: str = "y", p: str
     if not median:
         return main
     errors = df.select(*group, F.abs(F.col(y) - F.col(p)).alias("_e"))
-    return main.join(exact_quantiles(errors, group, "_e", {"median_ae": .5}), list(group), "left")
+    return same_group(main, exact_quantiles(errors, group, "_e", {"median_ae": .5}), group, "left")
 
 
 def tolerance_table(df: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -75,7 +82,8 @@ def calibration_error(df: DataFrame, group: Sequence[str], y: str = "y", p: str
 
 
 def reliability_table(df: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Mean probability and observed rate per half-open bin of width 0.1 (1.0 falls outside)."""
+    """Mean probability and observed rate per half-open bin of width 0.1; probabilities are clipped as scores are."""
+    df = df.withColumn(p, F.least(F.greatest(F.col(p), F.lit(CLIP)), F.lit(1 - CLIP)))
     index = F
     for i in range(BINS):
         low = i * BIN_WIDTH
@@ -143,7 +151,7 @@ def classification_metrics(counts: DataFrame, group: Sequence[str], binary: Colu
     hits = counts.groupBy(*group).agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    return hits.join(averaged, list(group))
+    return same_group(hits, averaged, group)
 
 
 def probabilistic_scores(df: DataFrame, group: Sequence[str], y: str = "y", probs: str = "probs") -> DataFrame:
@@ -253,7 +261,7 @@ def interval_coverage(df: DataFrame, group: Sequence[str], lower: str, upper: st
         (F.sum("_hits") / F.sum("_n") - F.lit(target)).alias("coverage_error"),
         (F.sum("_w") / F.sum("_n")).alias("mean_width"),
         F.avg(F.col("_all").cast("double")).alias("simultaneous_coverage"))
-    return main.join(exact_quantiles(marked, group, "_width", {"median_width": .5}), list(group))
+    return same_group(main, exact_quantiles(marked, group, "_width", {"median_width": .5}), group)
 
 
 # --- comparisons ------------------------------------------------------------------------
@@ -280,16 +288,14 @@ def bootstrap_ci(df: DataFrame, value: Column, draws: int = 5000, seed: int = 20
     import pandas as pd
 
     def partial(batches):
-        from pyspark import TaskContext
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         total, weight = np.zeros(draws), np.zeros(draws)
         for batch in batches:
             v, n = batch["v"].to_numpy(), batch["n"].to_numpy()
-            step = max(1, 4_000_000 // draws)
-            for i in range(0, len(v), step):
-                drawn = rng.poisson(n[i:i + step], size=(draws, len(v[i:i + step])))
-                total += drawn @ v[i:i + step]
-                weight += drawn.sum(axis=1)
+            # Each distinct value has a generator of its own, so draws don't depend on where a row is.
+            for value, bits, times in zip(v, v.view(np.uint64).tolist(), n):
+                drawn = np.random.default_rng([seed, bits]).poisson(times, draws)
+                total += drawn * value
+                weight += drawn
         yield pd.DataFrame({"draw": np.arange(draws), "total": total, "weight": weight})
 
     values = df.groupBy(value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))

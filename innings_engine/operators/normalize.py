@@ -23,7 +23,8 @@ def exclusion_reason(doc: Column) -> Column:
     irregular = F.exists(played(doc["innings"]), lambda i: (
         F.coalesce(i["penalty_runs"] != 0, F.lit(False)) | F.coalesce(i["miscounted_overs"] != "", F.lit(False))
         | (F.coalesce(i["target"]["overs"], F.lit(20)) != 20)))
-    return (F.when((F.coalesce(info["match_type"], F.lit("")) != "T20")
+    return (F.when(info.isNull(), "malformed_document")
+            .when((F.coalesce(info["match_type"], F.lit("")) != "T20")
                    | (F.coalesce(info["balls_per_over"], F.lit(6)) != 6), "unsupported_format")
             .when(F.coalesce(info["outcome"]["method"] != "", F.lit(False)), "revised_target_or_rain_method")
             .when(info["outcome"]["result"] == "no result", "no_result")
@@ -124,13 +125,11 @@ def identity_rules() -> dict[str, Column]:
     return {"unregistered_player": F.size("unknown_names") > 0}
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """sha256 of the parsed body, whose field order is fixed by the schema and map keys sorted."""
-    doc = F.col("doc")
-    people = F.map_from_entries(F.array_sort(F.map_entries(doc["info"]["registry"]["people"])))
-    body = F.to_json(F.struct(doc["info"].withField("registry.people", people).alias("info"),
-                              doc["innings"].alias("innings")))
-    return docs.withColumn("fingerprint", F.sha2(body, 256))
+def fingerprinted(texts: DataFrame, text: str = "text") -> DataFrame:
+    """sha256 of the whole (info, innings) of each raw text, all keys sorted; malformed text stands for itself."""
+    value = F.try_parse_json(text)
+    part = lambda name: F.variant_get(value, f"$.{name}", "variant").alias(name)
+    return texts.withColumn("fingerprint", F.sha2(F.coalesce(F.to_json(F.when(value.isNotNull(), F.struct(part("info"), part("innings")))), text), 256))
 
 
 def first_of_duplicates(df: DataFrame, key: str, name: str) -> DataFrame:

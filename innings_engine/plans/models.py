@@ -3,12 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators import metrics as m
 from ..operators.blend import COMPONENTS, reconcile
@@ -91,6 +93,12 @@ def fit_and_score(df: DataFrame) -> tuple[DataFrame, dict]:
     return scored, fitted
 
 
+def native_importance(df: DataFrame) -> DataFrame:
+    """Importance table of the forest fitted before the calibration blocks."""
+    data = assembled(df)
+    return importances(df.sparkSession, regressors()["forest"].fit(of(data, *FITTED)))
+
+
 def importances(spark, model, columns: Sequence[str] = tuple(NUMERIC + CODES)) -> DataFrame:
     """Native importance per feature, largest first."""
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
@@ -110,7 +118,8 @@ def grid_search(df: DataFrame) -> DataFrame:
         rows = model.transform(validation).agg(F.avg(F.abs(F.col(TARGET) - F.col("prediction"))).alias("mae")).select(
             F.lit(values["maxDepth"]).alias("max_depth"), F.lit(values["stepSize"]).alias("step_size"), "mae")
         out = rows if out is None else out.unionByName(rows)
-    return out.orderBy("mae")
+    order = ["mae", "max_depth", "step_size"]
+    return out.withColumn("chosen", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) == 1).orderBy(*order)     # a row per setting
 
 
 def log_probabilities(column: str = "probability") -> Column:
@@ -135,7 +144,7 @@ def calibrated_classifier(data: DataFrame, task: str, classes: int):
                                     family="binomial" if classes == 2 else "multinomial",
                                     probabilityCol="calibrated", rawPredictionCol="calibrated_raw",
                                     predictionCol="calibrated_prediction").fit(block)
-    if calibrator.numClasses != classes:
+    if block.select(label).distinct().count() != classes:
         raise ValueError("a class is missing from the calibration block")
     test = model.transform(of(data, "test")).select(
         "match_id", "innings", "over_number", F.col(label).cast("bigint").alias("y"), "probability", log_probabilities().alias("log_p"))
@@ -191,39 +200,36 @@ def linear_scorer(model, columns: Sequence[str]) -> Callable:
     return lambda pdf: pdf[names].to_numpy(dtype=float) @ weights + intercept
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], y: str, scorer: Callable, repeats: int = 3,
-                           seed: int = SEED) -> DataFrame:
-    """Mean and deviation of the error increase when one feature's values are shuffled.
+#: Rows that exchange values with each other.
+PERMUTED_TOGETHER = 2000
 
-    Rows are spread at random over partitions first, so shuffling inside Arrow batches is a
-    random exchange between rows; each task returns only error sums.
-    """
-    import numpy as np
-    import pandas as pd
 
-    names = list(features)
+def permutation_importance(df: DataFrame, features: Sequence[str], y: str, scorer: Callable, key: Sequence[str],
+                           repeats: int = 3, seed: int = SEED) -> DataFrame:
+    """Mean and deviation of the error increase when one feature's values change hands.
 
-    def partial(batches):
-        from pyspark import TaskContext
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        sums = np.zeros((len(names), repeats))
-        base, n = 0.0, 0
-        for pdf in batches:
-            truth = pdf[y].to_numpy(dtype=float)
-            x = pdf[names].copy()
-            base += np.abs(truth - scorer(x)).sum()
-            n += len(truth)
-            for i, name in enumerate(names):
-                original = x[name].to_numpy(copy=True)
-                for r in range(repeats):
-                    x[name] = rng.permutation(original)
-                    sums[i, r] += np.abs(truth - scorer(x)).sum()
-                x[name] = original
-        if n:
-            yield pd.DataFrame([(name, r, sums[i, r], base, n) for i, name in enumerate(names) for r in range(repeats)],
-                               columns=["feature", "repeat", "shuffled", "base", "n"])
-
-    spread = df.select(y, *names).repartition(F.xxhash64(*names, F.lit(seed)))
-    sums = spread.mapInPandas(partial, "feature string, repeat int, shuffled double, base double, n bigint")
+    Hashes of the row key deal the rows into groups of bounded size and order each group anew for every feature and
+    repeat, so the exchange is the same however the table is partitioned. A group returns only error sums.
+    """
+    names, keys = list(features), list(key)
+    groups = max(1, df.count() // PERMUTED_TOGETHER)
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", kind="stable")
+        truth, x = pdf[y].to_numpy(dtype=float), pdf[names].copy()
+        base, out = np.abs(truth - scorer(x)).sum(), []
+        marks = pdf["_h"].to_numpy()
+        for i, name in enumerate(names):
+            original = x[name].to_numpy(copy=True)
+            for r in range(repeats):
+                order = pd.util.hash_array(marks ^ np.int64(1 + i * repeats + r)).argsort(kind="stable")
+                x[name] = original[order]
+                out.append((name, r, np.abs(truth - scorer(x)).sum(), base, len(truth)))
+            x[name] = original
+        return pd.DataFrame(out, columns=["feature", "repeat", "shuffled", "base", "n"])
+
+    marked = df.select(y, *names, F.xxhash64(*keys, F.lit(seed)).alias("_h"))
+    sums = marked.groupBy(F.pmod(F.xxhash64("_h"), F.lit(groups)).alias("_g")).applyInPandas(
+        lambda pdf: partial(pdf), "feature string, repeat int, shuffled double, base double, n bigint")
     per = sums.groupBy("feature", "repeat").agg(((F.sum("shuffled") - F.sum("base")) / F.sum("n")).alias("d"))
     return per.groupBy("feature").agg(F.avg("d").alias("mae_increase"), F.stddev_pop("d").alias("std"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cricket import RUN_BUCKET_NAMES, SHRINK_BALLS
 from ..operators.asof import asof_totals
+from ..operators.metrics import same_group
 from .forecast import row_key, samples
 from .staging import staged_once
 
@@ -18,7 +19,7 @@ def event_rates(df: DataFrame) -> DataFrame:
     names = ["n", *EVENTS]
     own = asof_totals(facts, None, ["bowler"], names)
     league = asof_totals(facts, None, [], names).withColumnsRenamed({m: f"all_{m}" for m in names})
-    joined = df.join(own, ["bowler", "date"]).join(F.broadcast(league), "date")     # league: one row per day
+    joined = same_group(df, own, ["bowler", "date"]).join(F.broadcast(league), "date")     # league: one row per day
     rate = lambda e: (F.col(e) + SHRINK_BALLS * F.col(f"all_{e}") / F.greatest(F.col("all_n"), F.lit(1))) \
         / (F.col("n") + SHRINK_BALLS)
     tasks = F.array(*[F.struct(F.lit(e).alias("task"), F.col(f"target_{e}").alias("y"), rate(e).alias("p")) for e in EVENTS])
@@ -34,7 +35,7 @@ def bucket_rates(df: DataFrame) -> DataFrame:
     seen = asof_totals(facts, None, ["phase"], names)
     total = sum((F.col(n) for n in names), F.lit(0))
     probs = F.array(*[(F.col(n) + 1) / (total + CLASSES) for n in names])
-    return df.join(seen, ["phase", "date"]).select(
+    return same_group(df, seen, ["phase", "date"]).select(
         row_key().alias("row_key"), "match_id", "partition", "phase", bucket.alias("y"), probs.alias("probs"))
 
 

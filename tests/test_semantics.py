@@ -132,7 +132,7 @@ def test_calibration_bins(spark):
     df = spark.createDataFrame([(1, 1.0), (0, 0.30000000000000004), (1, .05)], "y int, p double")
     bins = df.select(m.equal_bin(F.col("p")).alias("b")).collect()
     assert [r["b"] for r in bins] == [9, 3, 0]
-    assert one(m.reliability_table(df, []).agg(F.sum("n").alias("n")))["n"] == 2      # 1.0 lies outside the half-open bins
+    assert one(m.reliability_table(df, []).agg(F.sum("n").alias("n")))["n"] == 3      # 1.0 is clipped into the last bin
 
 
 def test_classification_labels_present_only(spark):
@@ -318,10 +318,12 @@ def test_exclusion_priority_and_flags(spark):
 
 
 def test_duplicates_keep_the_first_name(spark):
-    text = json.dumps(document())
-    texts = spark.createDataFrame([("b", text), ("a", text), ("c", json.dumps(document(venue="H")))], "match_id string, text string")
-    kept, dropped = n.drop_duplicates_first(n.fingerprinted(docs.parse_documents(texts)), "fingerprint", "match_id")
-    assert sorted(r["match_id"] for r in kept.collect()) == ["a", "c"] and [r["match_id"] for r in dropped.collect()] == ["b"]
+    text, turned = json.dumps(document()), json.dumps(dict(reversed(document().items())))
+    other = document()
+    other["innings"][0]["overs"][0]["deliveries"][0]["fielders"] = ["z"]
+    texts = spark.createDataFrame([("b", text), ("a", turned), ("c", json.dumps(document(venue="H"))), ("d", json.dumps(other))], "match_id string, text string")
+    kept, dropped = n.drop_duplicates_first(n.fingerprinted(texts), "fingerprint", "match_id")
+    assert sorted(r["match_id"] for r in kept.collect()) == ["a", "c", "d"] and [r["match_id"] for r in dropped.collect()] == ["b"]
 
 
 def test_sinks(spark, log, tmp_path):
@@ -389,15 +391,16 @@ def test_blend_and_reconcile(spark):
 def test_permutation_finds_the_signal(spark):
     rng = np.random.default_rng(9)
     x, z = rng.normal(size=2000), rng.normal(size=2000)
-    df = spark.createDataFrame(pd.DataFrame({"y": 3 * x, "x": x, "z": z}))
-    got = {r["feature"]: r["mae_increase"] for r in md.permutation_importance(df, ["x", "z"], "y", lambda p: 3 * p["x"].to_numpy()).collect()}
-    assert got["x"] > 2 and got["z"] == 0
+    df = spark.createDataFrame(pd.DataFrame({"y": 3 * x, "x": x, "z": z, "id": range(len(x))}))
+    found = [{r["feature"]: r["mae_increase"] for r in md.permutation_importance(d, ["x", "z"], "y", lambda p: 3 * p["x"].to_numpy(), ["id"]).collect()}
+             for d in (df.repartition(2), df.repartition(7, "z"))]
+    assert found[0]["x"] > 2 and found[0]["z"] == 0 and abs(found[0]["x"] - found[1]["x"]) < 1e-9
 
 
 def test_monitoring_single_outcome(spark):
     rows = [("v1", 10.0, 8.0, 5, 12, 1, .4), ("v1", 2.0, 8.0, 5, 12, 0, .4), ("v2", 9.0, 8.0, 5, 12, 0, .2), ("v2", None, 8.0, 5, 12, 0, .2)]
     df = spark.createDataFrame(rows, "version string, y double, p double, lower int, upper int, wicket int, wicket_p double")
-    got = {r["version"]: r for r in logs.monitoring(df, [F.desc("y")]).collect()}
+    got = {r["version"]: r for r in logs.monitoring(df).collect()}
     assert got["v2"]["mae"] == 1 and got["v2"]["rmse"] is None and got["v1"]["rmse"] is not None and got["v1"]["interval_coverage"] == .5
 
 
