@@ -120,11 +120,11 @@ class Coder:
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, n_ids, ids): ids of the whole text and the end id, two bytes each (little-endian)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = un.load(path)
-        known = un._LOADED.setdefault(("words", path), un.Remembered(
-            lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]))
+        if ("words", path) not in un._LOADED:
+            un._LOADED["words", path] = un.Remembered(un.WordEncoder(un.load(path)))
+        known = un._LOADED["words", path]
         for batch in batches:
-            for part in wd.slices(batch):
+            for part in wd.slices(batch, size=2 * wd.SLICE_BYTES):
                 # White space is dropped by this tokenizer and ends every word, so words are encoded on their own.
                 cut = wd.cut(part.column("text"))
                 ids, edges = np.empty(0, np.uint16), np.zeros(part.num_rows + 1, np.int64)

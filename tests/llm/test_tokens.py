@@ -101,3 +101,21 @@ def test_units_cover_the_text():
     own = pa.array(texts())
     cut = units.spaced_units(own)
     assert cut.lengths.sum() == sum(len((t or "").encode()) for t in texts())
+
+
+def test_encoders_and_memory():
+    rng = random.Random(6)
+    pool = [w for t in texts() if t for w in t.split()] + ["İstanbul", "DŽ", "ﬁn.", "don't", "a1b2", "e\u0301t\u0301e", "naïve,", "..", "x!?", "日本", "ß", "'s", "ABC", "ŉa"]
+    words = sorted({w.encode() for w in pool if "\u3000" not in w} | {("".join(rng.choice("abcdeé") for _ in range(5)) + rng.choice(["", ".", ","])).encode() for _ in range(2000)})
+    spaced = sorted({rng.choice([b" ", b"", b"\n\n ", b"  "]) + w + rng.choice([b"", b"", b" "]) for w in words})
+    for path, units_, make in ((WORDS, words, units.WordEncoder), (BYTES, spaced, None)):
+        t = units.load(path)
+        encode = make(t) if make else lexicon.Codec(path, lexicon.build([], path)).rest.encode
+        rng.shuffle(units_)
+        want = {u: t.encode(u.decode(), add_special_tokens=False).ids for u in units_}
+        memory = units.Remembered(encode, most=700)
+        for _ in range(12):
+            ask = list(dict.fromkeys(rng.choices(units_, k=400)))
+            flat, start, size = memory.of(ask)
+            assert [flat[a:a + n].tolist() for a, n in zip(start, size)] == [want[u] for u in ask]
+        assert len(memory.known) < 1500
