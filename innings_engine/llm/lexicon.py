@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import units as un
 from . import words as wd
+from .scratch import keep
 
 LEXICON_WORDS = 65_536
 #: White space of Unicode that is not ASCII.
@@ -165,9 +166,16 @@ def _units_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def frequent_units(docs: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` most frequent units of all texts (a bounded list), ties by bytes."""
-    counted = docs.select("text").mapInArrow(_units_counted, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [bytes(r.unit) for r in counted.where("n > 1").orderBy(F.desc("n"), "unit").limit(most).collect()]
+    """At most ``most`` of the most frequent units of all texts: those above a count that so many reach."""
+    counted = docs.select("text").mapInArrow(_units_counted, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = keep(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "units")
+    room, least = most, 1 << 30
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 16 rows per doubling of the count
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    return [bytes(r.unit) for r in counted.where(F.col("step") >= least).select("unit").collect()]
 
 
 def build(units: list[bytes], path: str) -> Lexicon:
@@ -190,7 +198,6 @@ class Codec:
     def __init__(self, path: str, lexicon: Lexicon):
         self.tokenizer, self.lexicon = un.load(path), lexicon
         self.encode_all = lambda texts: [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        self.rest = un.Remembered(self.encode_all)
         self.odd = _odd(self.tokenizer)
         table = _byte_of()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -198,6 +205,7 @@ class Codec:
         self.piece = np.frombuffer(b"".join(pieces), np.uint8)
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.begin = np.cumsum(self.length) - self.length
+        self.rest = un.Remembered(un.SpacedEncoder(self.tokenizer, self.length))
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = un.spaced_units(texts)
