@@ -42,6 +42,8 @@ FLOORS = (0.2, 0.15, 0.05, 0.06, 0.12)
 UNIT = 1024  # statistics are whole numbers of 1 / UNIT
 BIN = 32  # distance bins per doubling
 DIM = len(FLOORS)
+#: Words of five letters added to each text before its word length is taken, which in few words is mostly chance.
+SHORT = 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _REPEAT = 8
@@ -114,7 +116,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 def vectors() -> list[Column]:
     """Transformed statistics in whole units."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    raw = [F.log(n), F.least(chars / n, F.lit(1000.0)), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    raw = [F.log(n), F.least((chars + SHORT * 5) / (n + SHORT), F.lit(1000.0)), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
     return [F.round(x * UNIT).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 

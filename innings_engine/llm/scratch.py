@@ -4,18 +4,31 @@ They are parquet in the shared folder: a lost executor costs only the tasks it r
 """
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
 
 _WRITTEN: list[str] = []
+#: Folder that holds the package.
+_HOME = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it; a cluster without it there ships it as usual."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_HOME, *filter(None, paths)])
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under a fresh name and read it back."""
     spark = df.sparkSession
+    importable(spark)
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
@@ -29,14 +42,7 @@ def drop_written(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete single kept tables that no later pass reads."""
-    for frame in frames:
-        for path in [p for p in _WRITTEN if any(f"{p.rpartition('/')[2]}/" in f for f in frame.inputFiles()[:1])]:
-            _WRITTEN.remove(path)
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; also makes the package importable for the workers."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
