@@ -40,9 +40,29 @@ def _slots(spark, sf):
         "match_id", "striker_slot", *big("innings", "over_number", "ball_number", "striker_live_runs", "striker_live_balls"))
 
 
-@query("striker_slot_tracked")
+_STAYS, _TURNS = "b.batter IS NOT DISTINCT FROM w.on_name", "b.batter IS NOT DISTINCT FROM w.off_name"
+
+
+@query("striker_slot_tracked", f"""
+WITH RECURSIVE b AS (SELECT match_id, innings, over_number, ball_number, batter, non_striker, runs_batter, batter_ball,
+    row_number() OVER (PARTITION BY match_id, innings, over_number ORDER BY ball_number) AS k FROM fx),
+w AS (
+  SELECT b.*, batter AS on_name, 'batter' AS slot, CAST(0 AS BIGINT) AS on_runs, CAST(0 AS BIGINT) AS on_balls, non_striker AS off_name,
+    'non_striker' AS off_slot, CAST(0 AS BIGINT) AS off_runs, CAST(0 AS BIGINT) AS off_balls FROM b WHERE k = 1
+  UNION ALL
+  SELECT b.*, b.batter, CASE WHEN {_STAYS} THEN w.slot WHEN {_TURNS} THEN w.off_slot ELSE 'replacement' END,
+    CASE WHEN {_STAYS} THEN w.on_runs + w.runs_batter WHEN {_TURNS} THEN w.off_runs ELSE 0 END,
+    CASE WHEN {_STAYS} THEN w.on_balls + w.batter_ball WHEN {_TURNS} THEN w.off_balls ELSE 0 END,
+    CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_name ELSE w.off_name END, CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.slot ELSE w.off_slot END,
+    CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_runs + w.runs_batter ELSE w.off_runs END,
+    CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_balls + w.batter_ball ELSE w.off_balls END
+  FROM w JOIN b ON b.match_id = w.match_id AND b.innings = w.innings AND b.over_number = w.over_number AND b.k = w.k + 1)
+SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT) AS over_number, CAST(ball_number AS BIGINT) AS ball_number, batter,
+  slot AS striker_slot, on_runs AS striker_live_runs, on_balls AS striker_live_balls, off_runs AS other_live_runs, off_balls AS other_live_balls FROM w""")
 def _tracked(spark, sf):
-    return d.tracked_slots(staged_log(spark, sf))
+    out = d.tracked_slots(staged_log(spark, sf))
+    return out.select("match_id", "batter", "striker_slot", *big("innings", "over_number", "ball_number", "striker_live_runs", "striker_live_balls",
+                                                                 "other_live_runs", "other_live_balls"))
 
 
 _CLS = ["target_runs", "target_extras", "target_legality", "target_wicket"]

@@ -3,6 +3,7 @@ from pyspark.sql import Column, functions as F
 
 from ..operators import metrics as m, ordered as o
 from ..plans import forecast as fc, probabilities as pb, segments as sg
+from ..plans.staging import staged_once
 from .log_queries import big, rounded
 from .registry import cte, query
 
@@ -232,12 +233,21 @@ def _event_scores(spark, sf):
 
 # --- intervals ---------------------------------------------------------------------------
 def radii(spark, sf):
-    """Radius rows (kind, alpha, radius) of the candidate on the interval block."""
+    """Radius rows (kind, n, rank, radius) per over of the candidate on the interval block, written once."""
+    return staged_once(spark, ("radii", sf), lambda: _radii(spark, sf)[0])
+
+
+def block_radius(spark, sf):
+    """The same for whole matches."""
+    return staged_once(spark, ("block_radius", sf), lambda: _radii(spark, sf)[1])
+
+
+def _radii(spark, sf):
     cal = part(spark, sf, "interval_calibration").select("match_id", "y", F.col(C).alias("p"))
     r80 = m.conformal_radius(cal, [], .2).select(F.lit("over_80").alias("kind"), "n", "rank", "radius")
     r95 = m.conformal_radius(cal, [], .05).select(F.lit("over_95").alias("kind"), "n", "rank", "radius")
     block = m.conformal_block_radius(cal, [], "match_id", .2).select(F.lit("match_80").alias("kind"), "n", "rank", "radius")
-    return r80, r95, block
+    return r80.unionByName(r95).coalesce(1), block
 
 
 _KINDS = [("over_80", 0.2, 0.8), ("over_95", 0.05, 0.95)]
@@ -251,13 +261,12 @@ cte("radius", " UNION ALL ".join(
 
 @query("conformal_radius", "SELECT kind, n, rank, round(radius, 9) AS radius FROM radius WHERE kind <> 'match_80'")
 def _conformal(spark, sf):
-    r80, r95, _ = radii(spark, sf)
-    return r80.unionByName(r95).select("kind", *big("n", "rank"), F.round("radius", 9).alias("radius"))
+    return radii(spark, sf).select("kind", *big("n", "rank"), F.round("radius", 9).alias("radius"))
 
 
 @query("conformal_block", "SELECT n, rank, round(radius, 9) AS radius FROM radius WHERE kind = 'match_80'")
 def _conformal_block(spark, sf):
-    return radii(spark, sf)[2].select(*big("n", "rank"), F.round("radius", 9).alias("radius"))
+    return block_radius(spark, sf).select(*big("n", "rank"), F.round("radius", 9).alias("radius"))
 
 
 cte("intervals", f"""
@@ -273,8 +282,9 @@ def with_intervals(spark, sf):
     """Test rows x interval kind, bounds included."""
     test = part(spark, sf)
     bounds = []
-    for (kind, target), rows in zip((("over_80", .8), ("over_95", .95), ("match_80", .8)), radii(spark, sf)):
-        lo, hi = m.interval_columns(F.col(C), rows.agg(F.max("radius")).scalar())
+    found = radii(spark, sf).unionByName(block_radius(spark, sf))
+    for kind, target in (("over_80", .8), ("over_95", .95), ("match_80", .8)):
+        lo, hi = m.interval_columns(F.col(C), found.filter(F.col("kind") == kind).agg(F.max("radius")).scalar())
         bounds.append(F.struct(F.lit(kind).alias("kind"), F.lit(target).alias("target"),
                                lo.cast("double").alias("lower"), hi.cast("double").alias("upper")))
     return test.select("match_id", "y", F.col(C).alias("p"), sg.support().alias("support"),
@@ -449,7 +459,7 @@ SELECT label, count(*) AS n, round(avg(abs(y - {C})), 6) AS mae, round(avg(ceil(
 FROM labelled, (SELECT radius FROM radius WHERE kind = 'over_80') r GROUP BY 1""")
 def _label_audit(spark, sf):
     from ..operators import reliability as rl
-    radius = radii(spark, sf)[0].agg(F.max("radius")).scalar()
+    radius = radii(spark, sf).filter("kind = 'over_80'").agg(F.max("radius")).scalar()
     lo, hi = m.interval_columns(F.col(C), radius)
     rows = labelled_test(spark, sf).select("label", "y", F.col(C).alias("p"), lo.cast("double").alias("lower"), hi.cast("double").alias("upper"))
     return r6(rl.audit(rows))

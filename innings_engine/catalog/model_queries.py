@@ -75,9 +75,12 @@ def _top(spark, sf):
     return top.select("row_key", "feature", F.col("rank").cast("bigint").alias("rank"), F.round("value", 6).alias("contribution"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"""
+SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT) AS over_number, CAST({fc.TARGET} AS BIGINT) AS {fc.TARGET} FROM smp
+ORDER BY md5(concat_ws('/', match_id, innings, over_number, '20260907')), match_id, innings, over_number LIMIT 200""")
 def _sample(spark, sf):
-    return e.seeded_sample(fc.samples(spark, sf).select(*OVER_KEY, fc.TARGET), OVER_KEY, 200, 20260907)
+    out = e.seeded_sample(fc.samples(spark, sf).select(*OVER_KEY, fc.TARGET), OVER_KEY, 200, 20260907)
+    return out.select("match_id", *big("innings", "over_number", fc.TARGET))
 
 
 @query("feature_selection", """

@@ -267,3 +267,26 @@ SELECT name AS player_id, 'Player ' || name AS display_name, CAST(1 AS BIGINT) A
 def _store_players(spark, sf):
     from ..operators.store import players
     return players(n.player_aliases(docs(spark, sf)))
+
+
+@query("prepare_pipeline", """
+SELECT 'log' AS part, match_id AS key, count(*) AS n, CAST(sum(runs_total) AS BIGINT) AS runs FROM coded JOIN reasons USING (match_id)
+WHERE reason IS NULL AND NOT (code = 0 AND bowler = 'P7') GROUP BY match_id
+UNION ALL SELECT 'quarantine', 'unregistered_player', count(*), CAST(sum(runs_total) AS BIGINT) FROM coded JOIN reasons USING (match_id)
+WHERE reason IS NULL AND code = 0 AND bowler = 'P7' HAVING count(*) > 0
+UNION ALL SELECT 'duplicate', match_id || '-copy', 1, 0 FROM match_shape WHERE code IN (0, 3)
+UNION ALL SELECT 'excluded', reason, count(*), 0 FROM (SELECT reason FROM reasons WHERE reason IS NOT NULL
+  UNION ALL SELECT 'malformed_document' FROM match_shape WHERE code = 9) GROUP BY 2""")
+def _prepare(spark, sf):
+    from ..plans.prepare import prepare
+    from ..sources.documents import month_code
+    texts, code = documents_from_log(staged_log(spark, sf)), month_code(F.col("match_id"))
+    # Copies with their keys in another order, and documents that were cut off.
+    copies = texts.filter(code.isin(0, 3)).select(F.concat("match_id", F.lit("-copy")).alias("match_id"), F.to_json(F.parse_json("text")).alias("text"))
+    torn = texts.filter(code == 9).select(F.concat("match_id", F.lit("-torn")).alias("match_id"), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2)).alias("text"))
+    done = prepare(texts.unionByName(copies).unionByName(torn), VENUES, TEAMS)
+    count, zero = F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("runs")
+    part = lambda name, df, key: df.groupBy(F.lit(name).alias("part"), F.col(key).alias("key"))
+    runs = F.sum("runs_total").cast("bigint").alias("runs")
+    return (part("log", done.log, "match_id").agg(count, runs).unionByName(part("quarantine", done.quarantine, "reject_reason").agg(count, runs))
+            .unionByName(part("duplicate", done.duplicates, "match_id").agg(count, zero)).unionByName(part("excluded", done.exclusions, "reason").agg(count, zero)))

@@ -30,6 +30,8 @@ def with_ctes(select: str) -> str:
     visit(select)
     parts = [f"{name} AS MATERIALIZED (\n{body}\n)" for name, body in CTES.items() if name in needed]
     select = select.strip()
+    if parts and select.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + select[15:]
     if parts and select.startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + select[5:]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select

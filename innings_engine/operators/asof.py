@@ -51,8 +51,3 @@ def history_cutoff(log: DataFrame) -> DataFrame:
     dates = log.select("date").distinct()           # one row per day
     return dates.select("date", F.lag("date").over(W.partitionBy(F.lit(0)).orderBy("date"))
                         .alias("history_through"))
-
-
-def closed_dates(log: DataFrame, through) -> DataFrame:
-    """Rows whose date is complete, i.e. not later than ``through``."""
-    return log.filter(F.col("date") <= F.lit(through))

@@ -43,63 +43,31 @@ def rule_slots(log: DataFrame) -> DataFrame:
         F.coalesce(F.sum("batter_ball").over(w), F.lit(0)).alias("striker_live_balls"))
 
 
-SLOT_SCHEMA = ("match_id string, innings int, over_number int, ball_number int, batter string, striker_slot string, "
-               "striker_live_runs bigint, striker_live_balls bigint, other_live_runs bigint, other_live_balls bigint")
-
-
-def _walk_overs(rows):
-    """Follow both ends ball by ball. ``rows`` are the balls of whole overs, sorted."""
-    over = None
-    out = []
-    for key, ball, batter, partner, runs, faced in rows:
-        if key != over:
-            over = key
-            on, off = [batter, "batter", 0, 0], [partner, "non_striker", 0, 0]
-        if batter != on[0]:
-            if batter == off[0]:
-                on, off = off, on
-            else:
-                on = [batter, "replacement", 0, 0]
-        out.append((*key, ball, batter, on[1], on[2], on[3], off[2], off[3]))
-        on[2] += runs
-        on[3] += faced
-    return out
-
-
 def tracked_slots(log: DataFrame) -> DataFrame:
     """Striker slot and live tallies by the ordered rule, ends tracked by name.
 
-    Sequential by nature, so it runs in Python on sorted Arrow batches. Only overs in which a
-    third batter appears need it; an over is a handful of balls and never split or grown.
+    A fold over the balls of each over, which are a handful: the end on strike, the other end, and the rows so far.
     """
-    import pandas as pd
-
-    columns = [f.split()[0] for f in SLOT_SCHEMA.split(", ")]
-
-    def walk(batches):
-        # Overs are contiguous after the sort but may straddle two batches: hold the last one back.
-        held = None
-        for batch in batches:
-            pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf[OVER_KEY].iloc[-1]
-            tail = (pdf[OVER_KEY] == last).all(axis=1)
-            held = pdf[tail]
-            yield _slots_of(pdf[~tail], columns)
-        if held is not None:
-            yield _slots_of(held, columns)
-
-    balls = log.select(*OVER_KEY, "ball_number", "batter", "non_striker", "runs_batter", "batter_ball")
-    sorted_balls = balls.repartition("match_id").sortWithinPartitions(*OVER_KEY, "ball_number")
-    return sorted_balls.mapInPandas(walk, SLOT_SCHEMA)
-
-
-def _slots_of(pdf, columns):
-    import pandas as pd
-    keys = list(zip(pdf["match_id"], pdf["innings"], pdf["over_number"]))
-    rows = zip(keys, pdf["ball_number"], pdf["batter"], pdf["non_striker"], pdf["runs_batter"], pdf["batter_ball"])
-    return pd.DataFrame(_walk_overs(rows), columns=columns)
+    end = "struct<name:string,slot:string,runs:bigint,balls:bigint>"
+    row = ("struct<ball_number:int,batter:string,striker_slot:string,striker_live_runs:bigint,striker_live_balls:bigint,"
+           "other_live_runs:bigint,other_live_balls:bigint>")
+    balls = log.groupBy(*OVER_KEY).agg(F.array_sort(F.collect_list(
+        F.struct("ball_number", "batter", "non_striker", "runs_batter", "batter_ball"))).alias("balls"))
+    first = F.element_at("balls", 1)
+    fresh = lambda name, slot: F.struct(name.alias("name"), F.lit(slot).alias("slot"), F.lit(0).cast("bigint").alias("runs"),
+                                        F.lit(0).cast("bigint").alias("balls")).cast(end)
+
+    def step(acc: Column, ball: Column) -> Column:
+        stays, turns = ball["batter"].eqNullSafe(acc["on"]["name"]), ball["batter"].eqNullSafe(acc["off"]["name"])
+        on = F.when(stays, acc["on"]).when(turns, acc["off"]).otherwise(fresh(ball["batter"], "replacement"))
+        off = F.when(~stays & turns, acc["on"]).otherwise(acc["off"])
+        seen = F.struct(ball["ball_number"], ball["batter"], on["slot"], on["runs"], on["balls"], off["runs"], off["balls"]).cast(row)
+        after = F.struct(on["name"], on["slot"], on["runs"] + ball["runs_batter"], on["balls"] + ball["batter_ball"]).cast(end)
+        return F.struct(after.alias("on"), off.alias("off"), F.concat(acc["rows"], F.array(seen)).alias("rows"))
+
+    start = F.struct(fresh(first["batter"], "batter").alias("on"), fresh(first["non_striker"], "non_striker").alias("off"),
+                     F.array().cast(f"array<{row}>").alias("rows"))
+    return balls.select(*OVER_KEY, F.inline(F.aggregate("balls", start, step, lambda acc: acc["rows"])))
 
 
 def delivery_dataset(log: DataFrame, overs: DataFrame) -> DataFrame:

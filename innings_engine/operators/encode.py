@@ -84,8 +84,9 @@ def top_contributions(long: DataFrame, key: Sequence[str], k: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n rows chosen by a hash of their key, returned in key order; repeatable."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n).orderBy(*key)
+    """n rows chosen by a hash of their key and the seed, returned in key order; repeatable."""
+    mark = F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary"))
+    return df.orderBy(mark, *key).limit(n).orderBy(*key)
 
 
 def explained_share(x: Column, y: Column) -> Column:

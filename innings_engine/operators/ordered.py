@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import written
+
 SLICE = "_slice"
 KEY = "_slice_key"
 
@@ -63,7 +65,8 @@ def distribution(df: DataFrame, group: Sequence[str], value: str,
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     key = F.col(value).cast("double")
-    counts = counts.withColumn("_key", -key if descending else key)
+    # Written once: slice edges, slice totals and the window inside slices all read it.
+    counts = written(counts.withColumn("_key", -key if descending else key), "counts")
     sliced = value_slices(counts, "_key", slices)
     return sliced_prefix_sums(sliced, group, ["_key"], {m: f"{m}_before" for m in ["n", *sums]},
                               totals_too=True).drop("_key")

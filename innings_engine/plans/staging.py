@@ -14,17 +14,6 @@ from ..session import shared_folder
 _WRITTEN: dict[tuple, str] = {}
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once and read it back from storage, cutting its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _readable(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "innings-engine", master: str | None = None) -> SparkSession:
@@ -43,3 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("innings.scratch.dir", folder)
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back from storage, cutting its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .documents import parse_documents
 
 
 def write_log(log: DataFrame, path: str) -> None:
@@ -49,21 +48,3 @@ def write_store(tables: Mapping[str, DataFrame], path: str | None = None, jdbc_u
             table.write.mode("overwrite").parquet(f"{path}/{name}")
         if jdbc_url:
             table.write.mode("overwrite").jdbc(jdbc_url, name, properties=dict(properties or {}))
-
-
-def read_zipped_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Documents inside zip archives, one task per archive, one document at a time."""
-    def unzip(batches):
-        import io
-        import zipfile
-        import pandas as pd
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if name.endswith(".json"):
-                            stem = name.rsplit("/", 1)[-1][:-len(".json")]
-                            yield pd.DataFrame({"match_id": [stem], "text": [archive.read(name).decode("utf-8")]})
-
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    return parse_documents(raw.mapInPandas(unzip, "match_id string, text string"))

@@ -2,7 +2,6 @@
 import json
 import math
 import random
-import zipfile
 
 import numpy as np
 import pandas as pd
@@ -289,10 +288,6 @@ def test_documents_round_trip(spark, log, tmp_path):
     import hashlib
     name = f"{some[0]['match_id']}.json"
     assert listing[name]["sha256"] == hashlib.sha256(some[0]["text"].encode()).hexdigest()
-    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
-        for r in some:
-            z.writestr(f"{r['match_id']}.json", r["text"])
-    assert files.read_zipped_matches(spark, str(tmp_path)).count() == 3
 
 
 def document(**info):
