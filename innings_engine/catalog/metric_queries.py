@@ -195,14 +195,23 @@ def _prauc(spark, sf):
     return r6(m.pr_auc(binary(spark, sf), ["task"]))
 
 
+cte("bin_cal", "SELECT * FROM ev_p WHERE \"partition\" = 'probability_calibration'")
+
+
 @query("best_f1_threshold", """
-SELECT task, round(arg_max(p, f * 1e6 - p), 6) AS threshold, round(max(f), 6) AS f1, CAST(arg_max(flagged, f * 1e6 - p) AS BIGINT) AS flagged,
-  round(arg_max(hits / CAST(flagged AS DOUBLE), f * 1e6 - p), 6) AS precision, round(arg_max(hits / CAST(tp_all AS DOUBLE), f * 1e6 - p), 6) AS recall FROM (
+WITH t AS (SELECT task, arg_max(p, f * 1e6 - p) AS threshold, max(f) AS calibration_f1 FROM (
   SELECT *, 2 * hits / CAST(flagged + tp_all AS DOUBLE) AS f FROM (
   SELECT task, p, sum(pos) OVER w AS hits, sum(n) OVER w AS flagged, sum(pos) OVER (PARTITION BY task) AS tp_all FROM (
-    SELECT task, p, count(*) AS n, sum(y) AS pos FROM bin_test GROUP BY task, p) WINDOW w AS (PARTITION BY task ORDER BY p DESC))) GROUP BY 1""")
+    SELECT task, p, count(*) AS n, sum(y) AS pos FROM bin_cal GROUP BY task, p) WINDOW w AS (PARTITION BY task ORDER BY p DESC))) GROUP BY 1),
+m AS (SELECT b.task, threshold, calibration_f1, count(CASE WHEN p >= threshold THEN 1 END) AS flagged, count(CASE WHEN p >= threshold AND y = 1 THEN 1 END) AS hits,
+  sum(y) AS pos FROM bin_test b JOIN t USING (task) GROUP BY 1, 2, 3)
+SELECT task, round(threshold, 6) AS threshold, round(calibration_f1, 6) AS calibration_f1, flagged,
+  round(CASE WHEN flagged > 0 THEN hits / CAST(flagged AS DOUBLE) ELSE 0 END, 6) AS precision, round(CASE WHEN pos > 0 THEN hits / CAST(pos AS DOUBLE) ELSE 0 END, 6) AS recall,
+  round(CASE WHEN flagged + pos > 0 THEN 2 * hits / CAST(flagged + pos AS DOUBLE) ELSE 0 END, 6) AS f1 FROM m""")
 def _f1(spark, sf):
-    return r6(m.best_f1_threshold(binary(spark, sf), ["task"]))
+    chosen = m.best_f1_threshold(pb.event_table(spark, sf).filter("partition = 'probability_calibration'"), ["task"])
+    scored = m.at_threshold(binary(spark, sf), chosen, ["task"])
+    return r6(scored.join(chosen.select("task", F.col("f1").alias("calibration_f1")), "task"))
 
 
 @query("class_support", """
@@ -342,17 +351,25 @@ _SEGMENT_SQL = {
     "low_required_rate_chase": "required_run_rate < 8 AND innings = 2", "actual_15_plus": "y >= 15", "actual_20_plus": "y >= 20", "actual_under_5": "y < 5"}
 
 
+_SEGMENT_ERR = f"count(*) AS n, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in {
+    "mae": f"avg(abs(y - {C}))", "rmse": f"sqrt(avg((y - {C}) * (y - {C})))",
+    "r2": f"CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - {C}) * (y - {C})) / (var_pop(y) * count(*)) WHEN sum((y - {C}) * (y - {C})) = 0 THEN 1 ELSE 0 END",
+    **{f"within_{t}": f"avg(CASE WHEN abs(y - {C}) <= {t} THEN CAST(1 AS DOUBLE) ELSE 0 END)" for t in (1, 2, 3, 4)},
+    "mean_actual": "avg(y)", "mean_predicted": f"avg({C})"}.items())
+_VALUE_SEGMENTS = {"venue": "venue", "phase": "phase", "innings": "CAST(innings AS VARCHAR)"}
+
+
 @query("segment_metrics", " UNION ALL ".join(
-    f"SELECT '{n}' AS segment, count(*) AS n, round(avg(abs(y - {C})), 6) AS mae, round(avg(y), 6) AS mean_actual, round(avg({C}), 6) AS mean_predicted "
-    f"FROM test_wide WHERE {cond} HAVING count(*) >= 2" for n, cond in _SEGMENT_SQL.items())
-    + f" UNION ALL SELECT 'venue=' || venue, count(*), round(avg(abs(y - {C})), 6), round(avg(y), 6), round(avg({C}), 6) FROM test_wide GROUP BY venue HAVING count(*) >= 2")
+    [f"SELECT '{n}' AS segment, {_SEGMENT_ERR} FROM test_wide WHERE {cond} HAVING count(*) >= 2" for n, cond in _SEGMENT_SQL.items()]
+    + [f"SELECT '{n}=' || {x} AS segment, {_SEGMENT_ERR} FROM test_wide GROUP BY 1 HAVING count(*) >= 2" for n, x in _VALUE_SEGMENTS.items()]))
 def _segments(spark, sf):
     test = part(spark, sf).withColumn("p", F.col(C))
     named = m.segment_metrics(test, {**sg.audit_segments(), **sg.report_segments()})
-    venues = test.groupBy(F.concat(F.lit("venue="), "venue").alias("segment")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"),
-        F.avg("y").alias("mean_actual"), F.avg("p").alias("mean_predicted")).filter("n >= 2")
-    return r6(named.unionByName(venues))
+    # Segments by value: one row per (row, column) in the same pass.
+    values = test.select("y", "p", F.explode(F.array(*[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in _VALUE_SEGMENTS])).alias("segment"))
+    by_value = values.groupBy("segment").agg(
+        *[c.alias(n) for n, c in m.error_columns().items()], F.avg("y").alias("mean_actual"), F.avg("p").alias("mean_predicted")).filter("n >= 2")
+    return r6(named.unionByName(by_value))
 
 
 cte("worst", f"SELECT *, abs(y - {C}) AS e FROM test_wide ORDER BY e DESC, row_key LIMIT 100")
@@ -376,6 +393,14 @@ _COND_SQL = {
     "second_innings_chase": "innings = 2", "cold_start_player": "support = 0", "sparse_venue": "venue_balls < 1500"}
 
 
+@query("worst_error_summary", f"""
+SELECT count(*) AS n, round(avg(e), 6) AS worst_mae, round(sum(e) / (SELECT sum(abs(y - {C})) FROM test_wide), 6) AS share_of_total_error,
+  round(avg(CASE WHEN {C} < y THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS under_prediction_share FROM worst""")
+def _worst_summary(spark, sf):
+    test = part(spark, sf).withColumns({"p": F.col(C), "row_key": fc.row_key()}).withColumn("absolute_error", F.abs(F.col("y") - F.col(C)))
+    return r6(m.worst_summary(test, m.worst_n(test, 100, ["row_key"])))
+
+
 @query("error_lift", " UNION ALL ".join(f"""
 SELECT '{n}' AS condition, count(CASE WHEN {c} THEN 1 END) AS n, round(avg(CASE WHEN {c} THEN 1 ELSE 0 END), 6) AS share,
   round(avg(CASE WHEN {c} THEN abs(y - {C}) END), 6) AS mae_when_true, round(avg(CASE WHEN NOT ({c}) THEN abs(y - {C}) END), 6) AS mae_when_false,

@@ -219,6 +219,17 @@ def best_f1_threshold(df: DataFrame, group: Sequence[str], y: str = "y", p: str
                       keep(F.col("b.f1")).alias("f1"))
 
 
+def at_threshold(df: DataFrame, thresholds: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Precision, recall and F1 of ``p >= threshold``, the thresholds (one per group) chosen on other rows."""
+    hit = (F.col(p) >= F.col("threshold")).cast("bigint")
+    per = same_group(df, thresholds.select(*group, "threshold"), group).groupBy(*group, "threshold").agg(
+        F.sum(hit).alias("flagged"), F.sum(hit * F.col(y)).alias("_hits"), F.sum(y).alias("_pos"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    c = F.col
+    return per.select(*group, "threshold", "flagged", ratio(c("_hits"), c("flagged")).alias("precision"),
+                      ratio(c("_hits"), c("_pos")).alias("recall"), ratio(2 * c("_hits"), c("flagged") + c("_pos")).alias("f1"))
+
+
 # --- conformal intervals ----------------------------------------------------------------
 
 def conformal_rank(alpha: float) -> Column:
@@ -315,9 +326,10 @@ def segment_rows(df: DataFrame, segments: Mapping[str, Column], keep: Sequence[s
 
 
 def segment_metrics(df: DataFrame, segments: Mapping[str, Column], y: str = "y", p: str = "p", least: int = 2) -> DataFrame:
+    """The regression block and the two means of each segment with at least ``least`` rows."""
     rows = segment_rows(df, segments, [y, p])
     return rows.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col(p))).alias("mae"),
+        *[c.alias(n) for n, c in error_columns(y, p).items()],
         F.avg(y).alias("mean_actual"), F.avg(p).alias("mean_predicted")).filter(F.col("n") >= least)
 
 
@@ -346,6 +358,14 @@ def error_lift(df: DataFrame, worst: DataFrame, conditions: Mapping[str, Column]
         "lift", F.when(F.col("share") > 0, F.col("share_of_worst") / F.col("share")))
 
 
+def worst_summary(df: DataFrame, worst: DataFrame, error: str = "absolute_error", y: str = "y", p: str = "p") -> DataFrame:
+    """Size, mean error, share of all error and share of forecasts that were too low among the worst rows (one row)."""
+    total = df.agg(F.sum(error).alias("t")).scalar()
+    return worst.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("worst_mae"), F.sum(error).alias("_e"),
+                     F.avg((F.col(p) < F.col(y)).cast("double")).alias("under_prediction_share")).select(
+        "n", "worst_mae", (F.col("_e") / total).alias("share_of_total_error"), "under_prediction_share")
+
+
 def gain_attribution(df: DataFrame, group: str, reference: str, challenger: str, y: str = "y") -> DataFrame:
     """Share of the total improvement that each group contributes."""
     gain = F.abs(F.col(y) - F.col(reference)) - F.abs(F.col(y) - F.col(challenger))
