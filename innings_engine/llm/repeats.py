@@ -18,7 +18,7 @@ then finds
 
 Windows that decide no symbol (inside long runs) are their own anchor, so the result is exact. Words are those of
 ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and lose nothing; texts shorter than a window lose nothing;
-a document never loses words to itself. Repeated doc_ids are not supported (doc_id is the key of ``documents``).
+a document never loses words to itself. Rows that repeat a doc_id must be equal; each gives its own row. Extra columns stay.
 """
 from __future__ import annotations
 
@@ -220,10 +220,11 @@ def removals(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     parsed = keep(docs.mapInArrow(_parsed(window, rounds), _PARSED), "parsed")
     records = parsed.select("doc_id", F.inline("records"))
     shared = records.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("symbol")
-    seen = keep(records.join(shared, "symbol"), "shared")
-    spans = seen.groupBy("symbol", "span").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    # Kept first: a join of two plain exchanges is split where a symbol is hot, one of an aggregate is not.
+    seen = keep(records.join(keep(shared, "symbols"), "symbol"), "shared")
+    spans = keep(seen.groupBy("symbol", "span").agg(F.min("doc_id").alias("first_doc")), "spans")
     several = spans.groupBy("symbol").agg(F.count("*").alias("kinds")).where("kinds > 1").select("symbol", F.lit(True).alias("mixed"))
-    spans = keep(spans.join(several, "symbol", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "spans")
+    spans = keep(spans.join(keep(several, "symbols"), "symbol", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "spans")
     seen = keep(seen.join(spans, ["symbol", "span"]), "known")
 
     # Texts of every document that shares a symbol; records of which single windows are compared ride along.
@@ -233,7 +234,7 @@ def removals(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     single = texts.where(F.size("records") > 0).mapInArrow(_windows(window), "symbol long, span long, step int, win long, doc_id long")
     single = keep(single, "windows")
     met = single.groupBy("symbol", "win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("top")).where("source < top").drop("top")
-    verdict = single.join(met, ["symbol", "win"]).groupBy("symbol", "span").agg(F.collect_set(F.struct("step", "source")).alias("steps"))
+    verdict = single.join(keep(met, "met"), ["symbol", "win"]).groupBy("symbol", "span").agg(F.collect_set(F.struct("step", "source")).alias("steps"))
 
     whole = seen.where(~F.col("mixed") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", F.array(F.struct("at", "n")).alias("gone"))
     whole = whole.union(seen.where(F.col("mixed") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", F.array(F.struct("at", "n"))))
@@ -248,14 +249,14 @@ def removals(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tup
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the kept words as text where words were removed, and the text unchanged elsewhere."""
     _, lost = removals(docs, window)
-    lost = lost.select("doc_id", "kept_text")
-    columns = [F.coalesce("kept_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return docs.join(lost, "doc_id", "left").select(*columns)
+    lost = lost.select("doc_id", "kept_text").dropDuplicates(["doc_id"]).alias("lost")
+    columns = [F.coalesce("lost.kept_text", "d.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    return docs.alias("d").join(lost, F.col("d.doc_id") == F.col("lost.doc_id"), "left").select(*columns)
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     every, lost = removals(docs, window)
-    lost = lost.select("doc_id", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("sha"))
+    lost = lost.select("doc_id", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("sha")).dropDuplicates(["doc_id"])
     return every.join(lost, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
