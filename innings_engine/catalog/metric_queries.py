@@ -460,15 +460,17 @@ def labelled_test(spark, sf):
     return rl.apply(df.filter(F.col("partition") == "test"), rule)
 
 
-@query("reliability_labels", """
-SELECT row_key, label, CAST(support AS BIGINT) AS support, round(spread, 6) AS spread,
-  CASE label WHEN 'LOW' THEN 'Wider than usual uncertainty: ' || concat_ws(' and ',
-      CASE WHEN support < support_low THEN 'least-seen player has ' || CAST(support AS VARCHAR) || ' balls of history' END,
-      CASE WHEN spread > spread_high THEN 'models disagree' END)
-    WHEN 'HIGH' THEN 'Models agree and every player has history'
-    ELSE 'Ordinary support: ' || coalesce(nullif(concat_ws('; ', CASE WHEN spread > spread_low THEN 'models disagree' END,
-      CASE WHEN batter_matchup_balls = 0 THEN 'pair has no shared history' END, CASE WHEN support < support_high THEN 'thin player history' END), ''), 'ordering not verified') END AS reason
-FROM labelled""")
+_DIFFER = "'models differ by ' || CAST(CAST(round(spread, 2) AS DECIMAL(20, 2)) AS VARCHAR) || ' runs'"
+_SEEN = "'least-seen player has ' || CAST(CAST(support AS BIGINT) AS VARCHAR) || ' balls of history'"
+_REASON = f"""CASE label WHEN 'LOW' THEN 'Wider than usual uncertainty: ' || concat_ws(' and ',
+      CASE WHEN support < support_low THEN {_SEEN} END, CASE WHEN spread > spread_high THEN {_DIFFER} END)
+    WHEN 'HIGH' THEN 'Every player has history, ' || {_DIFFER} || ' and the batter has faced this bowler for ' || CAST(CAST(batter_matchup_balls AS BIGINT) AS VARCHAR) || ' balls'
+    ELSE 'Ordinary support: ' || coalesce(nullif(concat_ws('; ', CASE WHEN spread > spread_low THEN {_DIFFER} END,
+      CASE WHEN batter_matchup_balls = 0 THEN 'the batter has not faced this bowler' END, CASE WHEN support < support_high THEN {_SEEN} END), ''), 'ordering not verified') END"""
+
+
+@query("reliability_labels", f"""
+SELECT row_key, label, CAST(support AS BIGINT) AS support, round(spread, 6) AS spread, {_REASON} AS reason FROM labelled""")
 def _labels(spark, sf):
     from ..operators import reliability as rl
     out = labelled_test(spark, sf)

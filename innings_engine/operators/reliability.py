@@ -56,18 +56,20 @@ def apply(df: DataFrame, rule: dict[str, DataFrame]) -> DataFrame:
 
 
 def reason() -> Column:
-    """Plain-language reason of a label."""
+    """Plain-language reason of a label, with the figures behind it."""
     c = F.col
+    differ = F.concat(F.lit("models differ by "), F.round("spread", 2).cast("decimal(20,2)").cast("string"), F.lit(" runs"))
     thin, apart = c("support") < c("support_low"), c("spread") > c("spread_high")
     low = F.concat_ws(" and ", F.when(thin, F.concat(F.lit("least-seen player has "), c("support").cast("string"),
                                                      F.lit(" balls of history"))),
-                      F.when(apart, F.lit("models disagree")))
-    causes = F.concat_ws("; ", F.when(c("spread") > c("spread_low"), F.lit("models disagree")),
-                         F.when(c("batter_matchup_balls") == 0, F.lit("pair has no shared history")),
-                         F.when(c("support") < c("support_high"), F.lit("thin player history")))
+                      F.when(apart, differ))
+    causes = F.concat_ws("; ", F.when(c("spread") > c("spread_low"), differ),
+                         F.when(c("batter_matchup_balls") == 0, F.lit("the batter has not faced this bowler")),
+                         F.when(c("support") < c("support_high"), F.concat(F.lit("least-seen player has "), c("support").cast("string"), F.lit(" balls of history"))))
     causes = F.when(causes == "", "ordering not verified").otherwise(causes)
     return (F.when(c("label") == "LOW", F.concat(F.lit("Wider than usual uncertainty: "), low))
-            .when(c("label") == "HIGH", "Models agree and every player has history")
+            .when(c("label") == "HIGH", F.concat(F.lit("Every player has history, "), differ, F.lit(" and the batter has faced this bowler for "),
+                                                 c("batter_matchup_balls").cast("bigint").cast("string"), F.lit(" balls")))
             .otherwise(F.concat(F.lit("Ordinary support: "), causes)))
 
 
