@@ -462,7 +462,7 @@ def labelled_test(spark, sf):
 
 _DIFFER = "'models differ by ' || CAST(CAST(round(spread, 2) AS DECIMAL(20, 2)) AS VARCHAR) || ' runs'"
 _SEEN = "'least-seen player has ' || CAST(CAST(support AS BIGINT) AS VARCHAR) || ' balls of history'"
-_REASON = f"""CASE label WHEN 'LOW' THEN 'Wider than usual uncertainty: ' || concat_ws(' and ',
+REASON_SQL = f"""CASE label WHEN 'LOW' THEN 'Wider than usual uncertainty: ' || concat_ws(' and ',
       CASE WHEN support < support_low THEN {_SEEN} END, CASE WHEN spread > spread_high THEN {_DIFFER} END)
     WHEN 'HIGH' THEN 'Every player has history, ' || {_DIFFER} || ' and the batter has faced this bowler for ' || CAST(CAST(batter_matchup_balls AS BIGINT) AS VARCHAR) || ' balls'
     ELSE 'Ordinary support: ' || coalesce(nullif(concat_ws('; ', CASE WHEN spread > spread_low THEN {_DIFFER} END,
@@ -470,7 +470,7 @@ _REASON = f"""CASE label WHEN 'LOW' THEN 'Wider than usual uncertainty: ' || con
 
 
 @query("reliability_labels", f"""
-SELECT row_key, label, CAST(support AS BIGINT) AS support, round(spread, 6) AS spread, {_REASON} AS reason FROM labelled""")
+SELECT row_key, label, CAST(support AS BIGINT) AS support, round(spread, 6) AS spread, {REASON_SQL} AS reason FROM labelled""")
 def _labels(spark, sf):
     from ..operators import reliability as rl
     out = labelled_test(spark, sf)

@@ -5,7 +5,7 @@ from ..operators import blend as b, encode as e, logs as lg, metrics as m, split
 from ..plans import forecast as fc, probabilities as pb
 from ..sources.delivery_log import OVER_KEY, read_table
 from .log_queries import big, rounded, sql_round
-from .metric_queries import C, D, part, r6
+from .metric_queries import REASON_SQL, C, D, block_radius, labelled_test, part, r6, radii
 from ..plans.forecast import staged_log
 from .registry import cte, query
 
@@ -169,10 +169,13 @@ _SUM4 = "(c_batter_runs + c_non_striker_runs + c_extras + c_other_batters)"
 def with_components(spark, sf, partition):
     """Component means per over number (at most twenty rows) joined to one partition."""
     df = fc.predictions(spark, sf)
+    return df.filter(F.col("partition") == partition).join(F.broadcast(component_means(spark, sf)), "over_number")
+
+
+def component_means(spark, sf):
     rate = F.avg(F.col("target_batter_runs") / F.greatest(F.col("target_batter_balls"), F.lit(1))).alias("c_rate")
-    means = df.filter(F.col("partition") == "train").groupBy("over_number").agg(
+    return fc.predictions(spark, sf).filter(F.col("partition") == "train").groupBy("over_number").agg(
         *[F.avg(t).alias(f"c_{n}") for n, t in _PARTS.items()], rate)
-    return df.filter(F.col("partition") == partition).join(F.broadcast(means), "over_number")
 
 
 @query("reconcile_components", f"""
@@ -185,6 +188,31 @@ def _reconcile(spark, sf):
     return df.select(fc.row_key().alias("row_key"), *[F.round(c, 6).alias(n) for n, c in out.items()])
 
 
+_R6 = lambda x, n: f"round({x}, 6) AS {n}"
+_KIND_SUFFIX = {"over_80": "80", "over_95": "95", "match_80": "match"}
+
+
+@query("forecast_rows", f"""
+WITH ev AS (SELECT row_key, {', '.join(f"max(CASE WHEN task = '{t}' THEN p END) AS {t}_probability" for t in pb.EVENTS)} FROM bin_test GROUP BY 1),
+bk AS (SELECT row_key, {', '.join(f"max(CASE WHEN k = {i} THEN p END) AS bucket_{i}_probability" for i in range(pb.CLASSES))} FROM prk WHERE task = 'run_bucket' GROUP BY 1),
+rd AS (SELECT {', '.join(f"max(CASE WHEN kind = '{k}' THEN radius END) AS r_{x}" for k, x in _KIND_SUFFIX.items())} FROM radius)
+SELECT row_key, {_R6(C, 'expected_runs')},
+  {', '.join(f"CAST(greatest(0, floor({C} - r_{x})) AS DOUBLE) AS lower_{x}, CAST(ceil({C} + r_{x}) AS DOUBLE) AS upper_{x}" for x in _KIND_SUFFIX.values())},
+  {', '.join(_R6(f"CASE WHEN {_SUM4} <= 1e-9 THEN {C if n == 'other_batters' else '0'} ELSE c_{n} * {C} / greatest({_SUM4}, 1e-9) END", f'expected_{n}') for n in b.COMPONENTS)},
+  {_R6(f'least(c_bowler_conceded, {C})', 'expected_bowler_conceded')}, label, {REASON_SQL} AS reason,
+  {', '.join(_R6(f'{t}_probability', f'{t}_probability') for t in pb.EVENTS)}, {', '.join(_R6(f'bucket_{i}_probability', f'bucket_{i}_probability') for i in range(pb.CLASSES))}
+FROM labelled JOIN comp USING (over_number) JOIN ev USING (row_key) JOIN bk USING (row_key), rd""")
+def _forecast_rows(spark, sf):
+    from ..plans.forecast_row import forecast_rows, wide_events
+    means = component_means(spark, sf)
+    rows = labelled_test(spark, sf).join(F.broadcast(means), "over_number").withColumn("row_key", fc.row_key())     # at most twenty rows
+    found = radii(spark, sf).unionByName(block_radius(spark, sf))
+    by_kind = {x: found.filter(F.col("kind") == k).agg(F.max("radius")).scalar() for k, x in _KIND_SUFFIX.items()}
+    events = wide_events(pb.event_table(spark, sf).filter("partition = 'test'"), pb.EVENTS)
+    buckets = pb.probability_table(spark, sf).filter("task = 'run_bucket'")
+    return r6(forecast_rows(rows, F.col(C), by_kind, events, buckets, pb.CLASSES))
+
+
 @query("batter_mode", f"""
 WITH r AS (SELECT target_batter_runs AS y, c_batter_runs * over_number_mean / {_SUM4} AS direct,
   c_balls * c_rate * over_number_mean / (c_balls * c_rate + c_non_striker_runs + c_extras + c_other_batters) AS staged FROM val JOIN comp USING (over_number))

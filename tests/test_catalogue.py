@@ -6,7 +6,7 @@ from tests.compare import compare, oracle_connection
 
 QUERIES, SQL = load()
 # A match-block rank needs more calibration matches than the smallest tables hold.
-LARGER = {"conformal_block", "interval_coverage", "promotion_checks"}
+LARGER = {"forecast_rows", "conformal_block", "interval_coverage", "promotion_checks"}
 
 
 @pytest.fixture(scope="module")
