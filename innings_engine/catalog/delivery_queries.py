@@ -104,6 +104,9 @@ def _joint(spark, sf):
 cte("ototal", "SELECT t.*, o.phase, o.season FROM tgt t JOIN opening o USING (match_id, innings, over_number)")
 
 
+_MEANS = {"batter_runs": "target_batter_runs", "extras": "target_extras", "wickets": "target_wicket", "deliveries": "balls"}
+
+
 @query("distribution_summary", """
 WITH mc AS (SELECT phase, target_next_over_runs AS v, count(*) AS n FROM ototal GROUP BY 1, 2),
 mo AS (SELECT phase, v AS mode_runs FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY n DESC, v) AS r FROM mc) WHERE r = 1)
@@ -112,11 +115,14 @@ SELECT phase, count(*) AS draws, round(avg(target_next_over_runs), 6) AS expecte
     f"round(avg(CASE WHEN target_next_over_runs >= {t} THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS probability_{t}_plus" for t in (10, 15, 20)) + ", " + ", ".join(
     f"round(avg(target_{e}), 6) AS {e}_probability" for e in ("wicket", "boundary", "six")) + ", " + ", ".join(
     f"round(quantile_cont(target_next_over_runs, {q}), 6) AS {n}" for n, q in d.OUTCOME_QUANTILES.items())
-    + " FROM ototal JOIN mo USING (phase) GROUP BY 1")
+    + ", " + ", ".join(f"round(avg({x}), 6) AS expected_{n}" for n, x in _MEANS.items())
+    + " FROM ototal JOIN mo USING (phase) JOIN (SELECT match_id, innings, over_number, count(*) AS balls FROM fx GROUP BY 1, 2, 3) USING (match_id, innings, over_number) GROUP BY 1")
 def _distribution(spark, sf):
-    overs = w.over_targets(staged_log(spark, sf)).withColumn("phase", k.phase(F.col("over_number")))
+    log = staged_log(spark, sf)
+    balls = log.groupBy(*OVER_KEY).agg(F.count(F.lit(1)).alias("balls"))
+    overs = w.over_targets(log).join(balls, OVER_KEY).withColumn("phase", k.phase(F.col("over_number")))
     events = {e: F.col(f"target_{e}") == 1 for e in ("wicket", "boundary", "six")}
-    return r6(d.distribution_summary(overs, ["phase"], fc.TARGET, events))
+    return r6(d.distribution_summary(overs, ["phase"], fc.TARGET, events, {n: F.col(x) for n, x in _MEANS.items()}))
 
 
 @query("spread_convergence", """

@@ -97,6 +97,16 @@ def _partition_summary(spark, sf):
                       F.col("end").cast("string").alias("end_date"), "matches", "overs")
 
 
+@query("recorded_windows", """
+WITH w AS (SELECT "partition" AS part, min(date) AS a, max(date) AS b FROM smp GROUP BY 1)
+SELECT part, count(DISTINCT match_id) AS matches, count(*) AS deliveries FROM fx JOIN w ON date BETWEEN a AND b GROUP BY 1""")
+def _recorded_windows(spark, sf):
+    # The windows of the over samples, on every delivery of the raw log.
+    log = s.by_windows(staged_log(spark, sf), s.recorded_windows(fc.samples(spark, sf)))
+    per_match = log.groupBy(F.col("partition").alias("part"), "match_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_match.groupBy("part").agg(F.count(F.lit(1)).alias("matches"), F.sum("n").alias("deliveries"))
+
+
 @query("partition_overlap", "SELECT match_id, min(\"partition\") AS first_partition, max(\"partition\") AS last_partition FROM smp GROUP BY 1 HAVING min(\"partition\") <> max(\"partition\")")
 def _partition_overlap(spark, sf):
     return s.partition_overlap(fc.samples(spark, sf))

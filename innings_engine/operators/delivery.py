@@ -127,7 +127,8 @@ def joint_structure(log: DataFrame) -> DataFrame:
     return rows.unionByName(flat)
 
 
-def distribution_summary(df: DataFrame, group: list[str], value: str, events: Mapping[str, Column] | None = None) -> DataFrame:
+def distribution_summary(df: DataFrame, group: list[str], value: str, events: Mapping[str, Column] | None = None,
+                         means: Mapping[str, Column] | None = None) -> DataFrame:
     """Mean, mode, quantiles, bucket and tail probabilities of a table of outcomes per group."""
     v = F.col(value)
     share = lambda cond: F.avg(cond.cast("double"))
@@ -136,7 +137,8 @@ def distribution_summary(df: DataFrame, group: list[str], value: str, events: Ma
         F.count(F.lit(1)).alias("draws"), F.avg(v).alias("expected_runs"),
         *[share(bucket == i).alias(f"bucket_{i}") for i in range(len(k.RUN_BUCKET_NAMES))],
         *[share(v >= t).alias(f"probability_{t}_plus") for t in (10, 15, 20)],
-        *[share(c).alias(f"{n}_probability") for n, c in (events or {}).items()])
+        *[share(c).alias(f"{n}_probability") for n, c in (events or {}).items()],
+        *[F.avg(c).alias(f"expected_{n}") for n, c in (means or {}).items()])
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     mode = counts.groupBy(*group).agg(F.max_by(v, F.struct("_n", -v)).alias("mode_runs"))
     return same_group(same_group(main, mode, group), exact_quantiles(df, group, value, OUTCOME_QUANTILES), group)

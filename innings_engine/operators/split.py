@@ -108,3 +108,31 @@ def partition_overlap(df: DataFrame) -> DataFrame:
     return df.groupBy("match_id").agg(
         F.min("partition").alias("first_partition"), F.max("partition").alias("last_partition")) \
         .filter(F.col("first_partition") != F.col("last_partition"))
+
+
+def require_partitions(df: DataFrame, expected: Sequence[str] = PARTITIONS) -> DataFrame:
+    """``df`` as it is, after failing on an empty partition, partitions that share dates, or a match in two of them."""
+    found = {r["partition"]: r for r in partition_summary(df).collect()}          # one row per partition
+    missing = [p for p in expected if p not in found]
+    if missing:
+        raise ValueError(f"empty partitions: {', '.join(missing)}")
+    ordered = sorted(found.values(), key=lambda r: (r["start"], r["end"]))
+    shared = [f"{a['partition']} and {b['partition']}" for a, b in zip(ordered, ordered[1:]) if b["start"] <= a["end"]]
+    if shared:
+        raise ValueError(f"partitions share dates: {'; '.join(shared)}")
+    if partition_overlap(df).limit(1).count():
+        raise ValueError("a match is in two partitions")
+    return df
+
+
+def recorded_windows(df: DataFrame) -> DataFrame:
+    """(partition, start, end): the date windows of a split, to be used on another data set."""
+    return partition_summary(df).select("partition", "start", "end")
+
+
+def by_windows(df: DataFrame, windows: DataFrame) -> DataFrame:
+    """Label the rows of another data set by recorded windows; rows of dates outside all windows are left out."""
+    label = F.lit(None).cast("string")
+    for r in windows.collect():                                                     # one row per partition
+        label = F.when(F.col("date").between(F.lit(r["start"]), F.lit(r["end"])), r["partition"]).otherwise(label)
+    return df.withColumn("partition", label).filter(F.col("partition").isNotNull())

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.split import with_partition
+from ..operators.split import require_partitions, with_partition
 from ..sources.delivery_log import OVER_KEY, delivery_log
 from .over_table import over_samples
 from .staging import staged_once, staged_path
@@ -54,7 +54,7 @@ def predictions(spark, sf_dir: str) -> DataFrame:
     Written once per session: every metric reads this table.
     """
     def build():
-        df = samples(spark, sf_dir)
+        df = require_partitions(samples(spark, sf_dir))
         return baselines(df, df.filter(F.col("partition") == "train")).withColumn("y", F.col(TARGET))
     return staged_once(spark, ("predictions", sf_dir), build)
 

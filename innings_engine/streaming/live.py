@@ -120,12 +120,12 @@ def closed_day_facts(streams: Iterator[DataFrame], shape: DataFrame, at: str, ke
         before = mark_before(session, epoch) if epoch else None
         late = closed(F.lit(before)) if before is not None else F.lit(False)
         batch.where(late).write.mode("overwrite").parquet(f"{base}/late/epoch={epoch}")
-        part = batch.where(~late | F.col(at).isNull()).groupBy(day.alias("date"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        part = batch.where(~late | F.col(at).isNull()).groupBy(day.alias("date"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("double").alias("total"))
         part.write.mode("overwrite").parquet(f"{base}/facts/epoch={epoch}")
 
     _run(streams, f"{base}/checkpoint", write)
     kinds = {f.name: f.dataType.simpleString() for f in shape.schema.fields}
-    facts = spark.read.schema(f"date date, {', '.join(f'{k} {kinds[k]}' for k in keys)}, n long, total double, epoch int").parquet(f"{base}/facts")
+    facts = spark.read.schema(", ".join(["date date", *[f"{k} {kinds[k]}" for k in keys], "n long, total double, epoch int"])).parquet(f"{base}/facts")
     mark = spark.read.schema(marks).parquet(f"{base}/marks").agg(F.max("mark")).first()[0]
     done = facts.where(F.date_add("date", 1 + lateness_days) <= F.lit(mark)).groupBy("date", *keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return done, spark.read.schema(f"{shape.schema.toDDL()}, epoch int").parquet(f"{base}/late")

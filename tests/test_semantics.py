@@ -435,3 +435,27 @@ def test_strict_accounting(spark):
     unknown = document(registry={"people": {"p": "1", "r": "3"}})
     flat = n.flatten(docs.parse_documents(spark.createDataFrame([("a", json.dumps(unknown))], "match_id string, text string")))
     assert one(flat)["unknown_names"] == ["q"]
+
+
+def test_partitions_must_be_whole_and_apart(spark):
+    from innings_engine.operators import split as sp
+    rows = [(f"m{i}", f"2020-01-{i + 1:02d}", p) for i, p in enumerate(sp.PARTITIONS)]
+    table = lambda r: spark.createDataFrame(r, "match_id string, date string, partition string").withColumn("date", F.col("date").cast("date"))
+    assert sp.require_partitions(table(rows)).count() == len(rows)
+    for bad, said in ((rows[1:], "empty"), (rows + [("x", "2020-01-03", "train")], "share dates"), (rows + [("m1", "2020-01-01", "train")], "two")):
+        with pytest.raises(ValueError, match=said):
+            sp.require_partitions(table(bad))
+    other = table([("z", "2020-01-02", None), ("y", "2021-01-01", None)]).drop("partition")
+    assert [tuple(r) for r in sp.by_windows(other, sp.recorded_windows(table(rows))).select("match_id", "partition").collect()] == [("z", "validation")]
+
+
+def test_late_rows_are_listed(spark):
+    """Days arrive out of order: facts of closed days and late rows together are all rows of closed days."""
+    from innings_engine.streaming import live
+    rows = [("2024-01-05 10:00:00", 1, 0), ("2024-01-06 10:00:00", 2, 0), ("2024-01-03 10:00:00", 3, 1), ("2024-01-09 10:00:00", 4, 1),
+            ("2024-01-08 10:00:00", 5, 2), ("2024-01-10 10:00:00", 6, 3), ("2024-01-09 11:00:00", 7, 3)]
+    table = spark.createDataFrame(rows, "ts string, v int, part int").withColumn("ts", F.col("ts").cast("timestamp"))
+    streams = live.deliveries(table, F.col("part"), 4, "late-test")
+    facts, late = live.closed_day_facts(streams, table, "ts", [], "v", 1, "late-test")
+    assert {str(r["date"]): r["total"] for r in facts.collect()} == {"2024-01-05": 1, "2024-01-06": 2, "2024-01-08": 5}
+    assert [r["v"] for r in late.collect()] == [3]
