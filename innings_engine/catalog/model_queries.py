@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import blend as b, encode as e, logs as lg, metrics as m, split as s
-from ..plans import forecast as fc, probabilities as pb
+from ..plans import forecast as fc, over_table as ot, probabilities as pb
 from ..sources.delivery_log import OVER_KEY, read_table
 from .log_queries import big, rounded, sql_round
 from .metric_queries import REASON_SQL, C, D, block_radius, labelled_test, part, r6, radii
@@ -13,14 +13,21 @@ FEATURES = ["batter_innings_balls", "batter_career_balls", "batter_matchup_balls
             "required_minus_current_rate", "balls_per_wicket_remaining"]
 
 
+_FAMILY_OF = {"batter_innings_balls": "player", "batter_career_balls": "player", "batter_career_strike_rate": "player", "non_striker_career_balls": "player",
+              "bowler_career_balls": "player", "bowler_career_economy": "player", "batter_matchup_balls": "matchup", "venue_balls": "venue_team",
+              "current_run_rate": "base", "current_score": "base", "current_wickets": "base", "over_number": "base", "required_run_rate": "base",
+              "required_minus_current_rate": "pressure", "balls_per_wicket_remaining": "pressure"}
+
+
 @query("feature_families", """
-WITH f AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM smp" for f in FEATURES) + """)
-SELECT feature, CASE """ + " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in e.FAMILIES.items()) + """ ELSE 'base' END AS family,
+WITH f AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM smp" for f in _FAMILY_OF) + """)
+SELECT feature, CASE """ + " ".join(f"WHEN feature = '{f}' THEN '{n}'" for f, n in _FAMILY_OF.items()) + """ ELSE 'base' END AS family,
   count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY 1, 2""")
 def _families(spark, sf):
-    long = e.unpivot(fc.samples(spark, sf), [], FEATURES)
+    long = e.unpivot(fc.samples(spark, sf), [], list(_FAMILY_OF))
     per = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
-    return r6(per.withColumn("family", e.family(F.col("feature"))))
+    families = ot.feature_families(staged_log(spark, sf))
+    return r6(per.withColumn("family", e.family(F.col("feature"), families)))
 
 
 @query("categorical_fill", "SELECT coalesce(nullif(venue, 'V3'), 'unknown') AS venue, count(*) AS n, round(avg(target_next_over_runs), 6) AS mean_runs FROM smp GROUP BY 1")

@@ -171,6 +171,39 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [x for x in df.columns if x not in skip and not x.startswith(("target_", *EXCLUDED_PREFIXES))]
 
 
+#: Family of the columns that each group of the table adds.
+GROUP_FAMILY = {"momentum": "momentum", "lags": "lags", "innings": "player", "career": "player", "players": "player", "form": "player",
+                "positions": "position", "matchup": "matchup", "venue": "venue_team", "context": "venue_team", "era": "era"}
+#: Chase arithmetic of the opening state that measures pressure.
+PRESSURE = ("required_minus_current_rate", "required_runs_per_wicket", "balls_per_wicket_remaining", "pressure_bucket")
+
+
+#: Columns whose family is not that of the group that adds them.
+OWN_FAMILY = {"team_batting": "venue_team", "team_bowling": "venue_team", "batter_innings_seen": "player", "non_striker_innings_seen": "player",
+              **dict.fromkeys(["bowler_match_legal_balls", "bowler_match_conceded", "bowler_match_wickets", "bowler_match_economy",
+                               "bowler_overs_bowled_this_match", "bowler_overs_remaining_quota"], "base")}
+
+
+def feature_families(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> dict[str, str]:
+    """Family of every feature column: that of the group which adds it, ``base`` for the opening state.
+
+    Only schemas are compared; no job runs.
+    """
+    groups = [g for g in groups if g in GROUP_FAMILY]
+    plain = over_samples(log, ())
+    out = {x: "pressure" if x in PRESSURE else "base" for x in feature_columns(plain)}
+    for g in groups:
+        for x in feature_columns(over_samples(log, (g,))):
+            out.setdefault(x, GROUP_FAMILY[g])
+    # Ratios to the era need two groups; decayed and calendar form are a family of their own.
+    smooth = {*h.decayed_columns(""), *h.calendar_columns("")}
+    for x in feature_columns(over_samples(log, groups)):
+        out.setdefault(x, "era")
+        if any(x == f"{role}_{name}" for role in ROLES for name in smooth):
+            out[x] = "ewma"
+    return {x: OWN_FAMILY.get(x, name) for x, name in out.items()}
+
+
 def require_columns(df: DataFrame, needed: Iterable[str]) -> None:
     """Fail before any job when a table lacks columns a model needs."""
     missing = [x for x in needed if x not in df.columns]

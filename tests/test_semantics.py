@@ -459,3 +459,11 @@ def test_late_rows_are_listed(spark):
     facts, late = live.closed_day_facts(streams, table, "ts", [], "v", 1, "late-test")
     assert {str(r["date"]): r["total"] for r in facts.collect()} == {"2024-01-05": 1, "2024-01-06": 2, "2024-01-08": 5}
     assert [r["v"] for r in late.collect()] == [3]
+
+
+def test_every_feature_has_the_family_of_its_group(log):
+    found = ot.feature_families(log)
+    assert set(found) == set(ot.feature_columns(ot.over_samples(log))) and len(found) == 236
+    for name, family in {"runs_last_3_overs": "momentum", "batter_career_balls": "player", "bowler_ewma_10_economy": "ewma", "batter_matchup_balls": "matchup",
+                         "head_to_head_run_rate": "venue_team", "bowler_economy_vs_era": "era", "pressure_bucket": "pressure", "batter_innings_seen": "player", "current_score": "base"}.items():
+        assert found.get(name, family) == family
