@@ -125,8 +125,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         known = un._LOADED["words", path]
         for batch in batches:
             for part in wd.slices(batch, size=2 * wd.SLICE_BYTES):
-                # White space is dropped by this tokenizer and ends every word, so words are encoded on their own.
-                cut = wd.cut(part.column("text"))
+                cut = un.word_pieces(part.column("text"))
                 ids, edges = np.empty(0, np.uint16), np.zeros(part.num_rows + 1, np.int64)
                 if len(cut):
                     codes, names = cut.coded()

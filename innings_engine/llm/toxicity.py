@@ -200,7 +200,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> D
     """(text, toxic) of at most ``most`` labelled rows that aren't held out, near copies once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(known, "doc_id").mapInArrow(_minhashed, "doc_id long, text string, toxic int, m0 long, m1 long, m2 long, m3 long")
+    # At most ``most`` rows of two numbers go to every task, so texts stay where they are.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_minhashed, "doc_id long, text string, toxic int, m0 long, m1 long, m2 long, m3 long")
     rows = keep(rows, "labelled")
     first = lambda rows, c: rows.groupBy(c, "toxic").agg(F.min_by(F.struct(*rows.columns), F.struct("doc_id", "m0", "m1")).alias("r")).select("r.*")
     slim = rows.drop("text")

@@ -188,6 +188,22 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndar
     return flat[wd.ragged(start[codes], n)], edges[docs]
 
 
+_LETTERS, _SIGNS = np.zeros(256, bool), np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_SIGNS[list(b".,;:!?")] = True
+
+
+def word_pieces(texts: pa.Array) -> wd.Words:
+    """Pieces that a lower-casing vocabulary with word ends encodes on their own.
+
+    It drops white space, and splits between a letter and a sign; A-Z are lower-cased here so that fewer pieces differ,
+    unless the texts have what might be a special token, which is told by its case.
+    """
+    body, _ = wd.text_bytes(texts)
+    special = bool(((body[:-1] == 0x3C) & (body[1:] == 0x7C)).any())
+    return wd.cut(texts, lower=not special, parting=(_LETTERS, _SIGNS))
+
+
 def spaced_units(texts: pa.Array) -> wd.Words:
     """A text as units of an ASCII white space run and what follows up to the next one; nothing is left out."""
     body, offsets = wd.text_bytes(texts)

@@ -97,8 +97,11 @@ class Words:
         return out.tobytes(), begins
 
 
-def cut(texts: pa.Array, ends: np.ndarray = SPACES, lower: bool = False) -> Words:
-    """Words of each text; ``ends`` marks the bytes that are in no word."""
+def cut(texts: pa.Array, ends: np.ndarray = SPACES, lower: bool = False, parting: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of each text; ``ends`` marks the bytes that are in no word.
+
+    ``parting`` cuts words further, between a byte of its first table and one of its second.
+    """
     body, offsets = text_bytes(texts)
     if lower:
         body = _LOWER[body]
@@ -107,6 +110,8 @@ def cut(texts: pa.Array, ends: np.ndarray = SPACES, lower: bool = False) -> Word
     edge[offsets] = True
     before = np.empty(len(body) + 1, bool)
     before[0], before[1:] = False, inside
+    if parting is not None and len(body):
+        edge[1:-1] |= parting[0][body[:-1]] & parting[1][body[1:]]
     starts = np.flatnonzero(inside & (~before[:-1] | edge[:-1]))
     after = np.empty(len(body), bool)
     after[:-1], after[-1:] = inside[1:], False
