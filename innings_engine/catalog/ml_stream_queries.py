@@ -49,16 +49,16 @@ def _components(spark, sf):
 
 def _linear(spark, sf, partition):
     table = md.model_table(spark, sf)
-    data = md.assembled(table, md.NUMERIC)
+    data = md.assembled(table, md.numbers_of(table))
     model = LinearRegression(labelCol=fc.TARGET, featuresCol="features", regParam=.1).fit(md.of(data, partition))
-    return table, md.linear_scorer(model, md.NUMERIC)
+    return table, md.linear_scorer(model, md.numbers_of(table))
 
 
 @query("permutation_importance")
 def _permutation(spark, sf):
     table, scorer = _linear(spark, sf, "train")
     key = ["match_id", "innings", "over_number"]
-    return md.permutation_importance(md.of(table, "validation"), md.NUMERIC, fc.TARGET, scorer, key).orderBy(F.desc("mae_increase"))
+    return md.permutation_importance(md.of(table, "validation"), md.numbers_of(table), fc.TARGET, scorer, key).orderBy(F.desc("mae_increase"))
 
 
 @query("native_importance")

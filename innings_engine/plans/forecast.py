@@ -11,7 +11,6 @@ from .staging import staged_once, staged_path
 MODELS = ["league_mean", "over_number_mean", "recent_run_rate", "batter_bowler_history"]
 CHAMPION, CANDIDATE = "over_number_mean", "batter_bowler_history"
 TARGET = "target_next_over_runs"
-FORECAST_GROUPS = ("targets", "innings", "career", "matchup", "venue", "momentum")
 
 
 def staged_log_path(spark, sf_dir: str) -> str:
@@ -26,7 +25,7 @@ def staged_log(spark, sf_dir: str) -> DataFrame:
 def samples(spark, sf_dir: str) -> DataFrame:
     """Partition-labelled over samples; the unlabelled table is written once per session."""
     def build():
-        return over_samples(staged_log(spark, sf_dir), FORECAST_GROUPS)
+        return over_samples(staged_log(spark, sf_dir))
     return with_partition(staged_once(spark, ("samples", sf_dir), build))
 
 

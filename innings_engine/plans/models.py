@@ -17,40 +17,46 @@ from ..operators.blend import COMPONENTS, reconcile
 from ..operators.encode import ordinal_codes, ordinal_encode
 from ..operators.split import FITTED
 from .forecast import TARGET, samples
-from .over_table import require_columns
+from .over_table import CATEGORICAL, feature_columns, require_columns
 from .staging import staged_once
 
 SEED = 20260907
-NUMERIC = ["innings", "over_number", "current_score", "current_wickets", "balls_remaining", "current_run_rate",
-           "required_run_rate", "required_minus_current_rate", "balls_per_wicket_remaining", "batter_innings_balls",
-           "batter_innings_sr", "bowler_match_legal_balls", "bowler_match_economy", "batter_career_balls",
-           "batter_career_strike_rate", "batter_career_boundary_rate", "non_striker_career_strike_rate",
-           "bowler_career_balls", "bowler_career_economy", "bowler_career_dot_rate", "batter_matchup_balls",
-           "batter_matchup_strike_rate", "venue_run_rate", "venue_balls", "runs_last_1_overs", "runs_last_3_overs",
-           "runs_last_12_deliveries", "dot_rate_last_12_deliveries"]
-CATEGORIES = ["venue", "batter", "bowler"]
-CODES = [f"{c}_code" for c in CATEGORIES]
 TARGETS = [TARGET, "target_wicket", "target_boundary", "target_six", "target_ten_plus", "target_run_bucket",
            "target_batter_runs", "target_non_striker_runs", "target_extras", "target_other_batters", "target_bowler_conceded"]
+KEYS = ["match_id", "innings", "over_number", "date", "partition"]
+#: What a chosen model needs to be there; the table has every feature.
+NEEDED = ["innings", "over_number", "current_score", "current_wickets", "batter_career_strike_rate", "bowler_career_economy"]
 
 
 def model_table(spark, sf_dir: str) -> DataFrame:
-    """Encoded features, targets and partition, written once per session."""
+    """Keys, targets and every feature of the over table: numbers as doubles, categories as codes. Written once per session."""
     def build():
         df = samples(spark, sf_dir)
-        require_columns(df, NUMERIC)
+        require_columns(df, NEEDED)
+        features = feature_columns(df)
+        categories = [c for c in CATEGORICAL if c in features]
         train = df.filter(F.col("partition") == "train")
-        for c in CATEGORIES:
+        for c in categories:
             # One code per distinct category: a dimension-sized table.
             df = ordinal_encode(df, ordinal_codes(train, c), c, f"{c}_code")
-        return df.select("match_id", "innings", "over_number", "date", "partition", *[x for x in TARGETS],
-                         *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in NUMERIC if n not in ("innings", "over_number")],
-                         *[F.col(c).cast("double").alias(c) for c in CODES])
+        text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+        numbers = [x for x in features if x not in text and x not in KEYS]
+        return df.select(*KEYS, *TARGETS, *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in numbers],
+                         *[F.col(f"{c}_code").cast("double").alias(f"{c}_code") for c in categories])
     return staged_once(spark, ("model_table", sf_dir), build)
 
 
-def assembled(df: DataFrame, columns: Sequence[str] = tuple(NUMERIC + CODES)) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
+def features_of(table: DataFrame) -> list[str]:
+    """Feature columns of a model table, the two position keys included."""
+    return ["innings", "over_number", *[c for c in table.columns if c not in {*KEYS, *TARGETS, "held_out"}]]
+
+
+def numbers_of(table: DataFrame) -> list[str]:
+    return [c for c in features_of(table) if not c.endswith("_code")]
+
+
+def assembled(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    return VectorAssembler(inputCols=list(columns or features_of(df)), outputCol="features").transform(df)
 
 
 def of(df: DataFrame, *partitions: str) -> DataFrame:
@@ -96,10 +102,10 @@ def fit_and_score(df: DataFrame) -> tuple[DataFrame, dict]:
 def native_importance(df: DataFrame) -> DataFrame:
     """Importance table of the forest fitted before the calibration blocks."""
     data = assembled(df)
-    return importances(df.sparkSession, regressors()["forest"].fit(of(data, *FITTED)))
+    return importances(df.sparkSession, regressors()["forest"].fit(of(data, *FITTED)), features_of(df))
 
 
-def importances(spark, model, columns: Sequence[str] = tuple(NUMERIC + CODES)) -> DataFrame:
+def importances(spark, model, columns: Sequence[str]) -> DataFrame:
     """Native importance per feature, largest first."""
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
