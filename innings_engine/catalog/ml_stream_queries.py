@@ -2,7 +2,7 @@
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from ..operators import metrics as m
+from ..operators import logs as lg, metrics as m
 from ..plans import forecast as fc, models as md
 from ..sources.delivery_log import read_table
 from ..streaming import live
@@ -61,6 +61,16 @@ def _permutation(spark, sf):
     return md.permutation_importance(md.of(table, "validation"), md.numbers_of(table), fc.TARGET, scorer, key).orderBy(F.desc("mae_increase"))
 
 
+@query("recency_arms")
+def _recency_arms(spark, sf):
+    return m.regression_metrics(md.recency_arms(md.model_table(spark, sf)), ["arm"], median=False)
+
+
+@query("feature_removal")
+def _removal(spark, sf):
+    return md.feature_removal(md.model_table(spark, sf))
+
+
 @query("native_importance")
 def _native(spark, sf):
     return md.native_importance(md.model_table(spark, sf))
@@ -95,6 +105,19 @@ def _dedup(spark, sf):
     return stored.select("id", "event_id").join(requests.groupBy("id").agg(F.count("*").alias("arrivals")), "id")
 
 
+@query("stream_gate", """
+SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM (
+  SELECT CASE WHEN event_id * 13 % 80 - 20 > 30 THEN 'stale' WHEN event_id * 13 % 80 - 20 < -5 THEN 'future' WHEN user_id % 7 <> event_id % 7 THEN 'different_match' END AS reason
+  FROM events) GROUP BY 1""")
+def _gate(spark, sf):
+    # Age of an observation in seconds, and the match it claims, from the numbers of the event.
+    states = _events(spark, sf).select("event_id", "user_id")
+    reason = lg.freshness_reason(F.col("event_id") * 13 % 80 - 20, F.col("user_id") % 7, F.col("event_id") % 7)
+    accepted, rejected = live.gated(live.deliveries(states, F.col("event_id") * 7 % _PARTS, _PARTS, "gate"), states, reason, "gate")
+    rows = accepted.select(F.lit("accepted").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome")))
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_join", """
 SELECT p.event_id AS prediction_event, o.outcome_event, CASE WHEN o.id IS NULL THEN 'awaiting' ELSE 'recorded' END AS status
 FROM events p LEFT JOIN (

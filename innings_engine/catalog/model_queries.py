@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..operators import blend as b, encode as e, logs as lg, metrics as m, split as s
 from ..plans import forecast as fc, over_table as ot, probabilities as pb
 from ..sources.delivery_log import OVER_KEY, read_table
+from ..streaming.live import with_outcomes
 from .log_queries import big, rounded, sql_round
 from .metric_queries import REASON_SQL, C, D, block_radius, labelled_test, part, r6, radii
 from ..plans.forecast import staged_log
@@ -350,9 +351,11 @@ def _monitoring(spark, sf):
     wicket = pb.event_table(spark, sf).filter(c("task") == "wicket").select("row_key", c("y").alias("wicket"), c("p").alias("wicket_p"))
     lo, hi = m.interval_columns(c(C), F.lit(6.0))
     version = F.when((c("over_number") == 20) & (c("innings") == 2), "v2").when(c("over_number") % 2 == 0, "v0").otherwise("v1")
-    records = part(spark, sf).withColumn("row_key", fc.row_key()).select(
-        "date", "row_key", version.alias("version"), F.when(c("over_number") != 7, c("y")).alias("y"), c(C).alias("p"),
-        lo.alias("lower"), hi.alias("upper")).join(wicket, "row_key")
+    rows = part(spark, sf).withColumn("row_key", fc.row_key())
+    # Two logs: every prediction, and the outcomes reported so far; predictions without one await it.
+    predictions = rows.select("row_key", version.alias("version"), c(C).alias("p"), lo.alias("lower"), hi.alias("upper")).join(wicket, "row_key")
+    outcomes = rows.filter(c("over_number") != 7).select("row_key", "y")
+    records = with_outcomes(predictions, outcomes, "row_key")
     return r6(lg.monitoring(records))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators import metrics as m
 from ..operators.blend import COMPONENTS, reconcile
-from ..operators.encode import ordinal_codes, ordinal_encode
+from ..operators.encode import HALF_LIVES, drop_by_importance, ordinal_codes, ordinal_encode, recency_weight
 from ..operators.split import FITTED
 from .forecast import TARGET, samples
 from .over_table import CATEGORICAL, feature_columns, require_columns
@@ -128,6 +128,51 @@ def grid_search(df: DataFrame) -> DataFrame:
     return out.withColumn("chosen", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)) == 1).orderBy(*order)     # a row per setting
 
 
+def _linear_rows(data: DataFrame, fit_on: DataFrame, partitions: Sequence[str], **settings) -> DataFrame:
+    """Rows of the partitions with the forecast ``p`` of a linear model."""
+    model = LinearRegression(labelCol=TARGET, featuresCol="features", regParam=.1, **settings).fit(fit_on)
+    return model.transform(of(data, *partitions)).select("match_id", "innings", "over_number", "partition", F.col(TARGET).alias("y"),
+                                                         F.greatest(F.lit(0.0), F.col("prediction")).alias("p"))
+
+
+def recency_arms(df: DataFrame, half_lives: Sequence[int] = tuple(HALF_LIVES)) -> DataFrame:
+    """(arm, rows...): linear models fitted on everything before the calibration blocks, plain and weighted by recency."""
+    data = assembled(df)
+    fitted = of(data, *FITTED)
+    newest = fitted.agg(F.max("date")).scalar()
+    out = None
+    for half_life in (None, *half_lives):
+        weight = F.lit(1.0) if half_life is None else recency_weight(F.col("date"), newest, half_life)
+        rows = _linear_rows(data, fitted.withColumn("weight", weight), ["test"], weightCol="weight").select(
+            F.lit("plain" if half_life is None else f"half_life_{half_life}").alias("arm"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def feature_removal(df: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Importance, drop, refit, paired test: one row.
+
+    A model fitted on the training rows is judged on validation by permutation; features that don't raise its error go. Both sets are
+    fitted again before the calibration blocks and compared on the same test rows; the smaller set is adopted unless it is
+    worse by two standard errors.
+    """
+    names = numbers_of(df)
+    data = assembled(df, names)
+    model = LinearRegression(labelCol=TARGET, featuresCol="features", regParam=.1).fit(of(data, "train"))
+    importance = permutation_importance(of(df, "validation"), names, TARGET, linear_scorer(model, names), ["match_id", "innings", "over_number"])
+    kept, _ = drop_by_importance(importance, threshold)
+    chosen = sorted(r["feature"] for r in kept.select("feature").collect()) or names[:1]      # one row per feature
+    key = ["match_id", "innings", "over_number", "y"]
+    smaller = assembled(df, chosen)
+    full = _linear_rows(data, of(data, *FITTED), ["test"]).select(*key, F.col("p").alias("full"))
+    small = _linear_rows(smaller, of(smaller, *FITTED), ["test"]).select(*key[:3], F.col("p").alias("small"))
+    both = full.join(small, key[:3])
+    tested = m.paired_test(both, [], "small", "full")
+    errors = both.agg(F.avg(F.abs(F.col("y") - F.col("full"))).alias("mae_full"), F.avg(F.abs(F.col("y") - F.col("small"))).alias("mae_small"))
+    return m.same_group(errors, tested, []).withColumns({
+        "features": F.lit(len(names)), "kept": F.lit(len(chosen)), "adopt": F.lit(len(chosen) < len(names)) & ~F.col("significant").cast("boolean")})
+
+
 def log_probabilities(column: str = "probability") -> Column:
     """log(p) as a vector, p kept away from zero."""
     return array_to_vector(F.transform(vector_to_array(column), lambda p: F.log(F.greatest(p, F.lit(1e-9)))))

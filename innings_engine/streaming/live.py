@@ -83,6 +83,21 @@ def append_new(streams: Iterator[DataFrame], shape: DataFrame, key: str, at: str
     return spark.read.schema(schema).parquet(f"{base}/data")
 
 
+def gated(streams: Iterator[DataFrame], shape: DataFrame, reason: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected rows with ``reason``): every arrival is in one of two sinks; ``reason`` is null for a good row."""
+    spark, base = shape.sparkSession, _folder(shape.sparkSession, name)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        judged = batch.withColumn("reason", reason)
+        judged.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(f"{base}/accepted/epoch={epoch}")
+        judged.where("reason IS NOT NULL").write.mode("overwrite").parquet(f"{base}/rejected/epoch={epoch}")
+
+    _run(streams, f"{base}/checkpoint", write)
+    schema = shape.schema.toDDL()
+    return (spark.read.schema(f"{schema}, epoch int").parquet(f"{base}/accepted"),
+            spark.read.schema(f"{schema}, reason string, epoch int").parquet(f"{base}/rejected"))
+
+
 def with_outcomes(predictions: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
     """Every stored prediction with the stored outcome of its id; ``awaiting`` until there is one. Both logs have unique ids."""
     known = outcomes.withColumn("_seen", F.lit(True))
