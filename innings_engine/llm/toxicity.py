@@ -1,13 +1,14 @@
 """Toxicity by Levenshtein automata intersected with a trie of learned terms.
 
-Terms (words or stems) are learned from labelled rows: a prefix of 4 to 9 letters, or a whole shorter word, enters the lexicon
-if its documents are toxic far more often than chance allows over all prefixes tested. The lexicon becomes a trie. A
+Terms are learned from labelled rows: whole words of up to four letters, stems of 4 to 9 letters, and stems that need a further
+letter. A term enters the lexicon if its documents are toxic far more often than chance allows over all terms tested; of terms
+that begin alike the most telling one does. Its weight is the log of its odds. The lexicon becomes a trie. A
 word's automaton of up to one edit (two for long terms; a swap of neighbours is one) runs through the trie's nodes; the
 intersection is determinised as words arrive, so a word costs one look-up a letter. A word matches exactly or misspelled.
 
 Every match is read in a window of words around it. Inside quotation marks, or beside a word that reports speech, it is a
-quotation; the others are abuse. The counts of the four kinds, and their share of the text, are the inputs of a logistic
-regression. Labels, language, source and doc_id are no inputs.
+quotation; the others are abuse. The weights of the four kinds of matches, and their share of the text, are the inputs of a
+logistic regression. Labels, language, source and doc_id are no inputs.
 
 Terms and weights are fitted on at most ``FIT_ROWS`` labelled rows (those with the smallest hashes of doc_id); near copies
 count once there, by four min-hashes of word 5-grams. All texts are scored whole. Null and empty texts have no matches and get
@@ -39,7 +40,11 @@ PREFIXES = range(4, 10)
 MOST_TERMS = 2000
 #: Log-likelihood ratio by which a term must beat chance, beyond the log of the number of terms tested.
 MARGIN = 3.0
-PURITY = 0.97
+#: Toxic documents a term must have to be tested at all.
+LEAST = 5
+PURITY = 0.6
+#: Kinds of terms.
+WHOLE, STEM, OPEN = 0, 1, 2
 #: Letters from which a term may be one or two edits away.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words that report speech.
@@ -47,16 +52,20 @@ REPORTING = frozenset("said says wrote quoted called quote dijo dice escribió d
 _MEMO = 400_000
 
 
+_NONE = (9, 0.0)
+
+
 class Matcher:
     """Trie of terms, and the words within their edit distance (as prefixes for stems)."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        """terms: (letters, whole); a term that isn't whole matches every word that begins like it."""
+    def __init__(self, terms: list[tuple[str, int, float]]):
+        """terms: (letters, kind, weight); a stem matches every word that begins like it, an open one needs a further letter."""
         self.child: list[dict[str, int]] = [{}]
-        self.end: list[int] = [0]  # 0 none, 1 whole word, 2 stem
+        self.end: list[int] = [-1]  # kind of the term that ends here
+        self.weight: list[float] = [0.0]
         self.most: list[int] = [0]  # edits allowed to any term below
         self.allowed: list[int] = [0]  # edits allowed to the term that ends here
-        for letters, whole in terms:
+        for letters, kind, weight in terms:
             edits = 2 if len(letters) >= TWO_EDITS else 1 if len(letters) >= ONE_EDIT else 0
             node = 0
             self.most[0] = max(self.most[0], edits)
@@ -64,16 +73,17 @@ class Matcher:
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
-                    self.end.append(0)
+                    self.end.append(-1)
+                    self.weight.append(0.0)
                     self.most.append(0)
                     self.allowed.append(0)
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], edits)
-            self.end[node], self.allowed[node] = (1 if whole else 2), edits
+            self.end[node], self.weight[node], self.allowed[node] = kind, weight, edits
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.verdicts: list[tuple[int, int]] = []  # edits of a stem met so far, of a whole word ending here; 9 none
+        self.verdicts: list[tuple] = []  # by kind: (edits, -weight) of the best term that ends here
         self.start = self._state(self._closed({(0, 0, "")}))
 
     def _closed(self, points: set) -> frozenset:
@@ -98,8 +108,8 @@ class Matcher:
             self.states[points] = len(self.sets)
             self.sets.append(points)
             self.moves.append({})
-            done = [(self.end[n], e) for n, e, s in points if not s and self.end[n] and e <= self.allowed[n]]
-            self.verdicts.append((min((e for k, e in done if k == 2), default=9), min((e for _, e in done), default=9)))
+            done = [(self.end[n], (e, -self.weight[n])) for n, e, s in points if not s and self.end[n] >= 0 and e <= self.allowed[n]]
+            self.verdicts.append(tuple(min((v for k, v in done if k == kind), default=_NONE) for kind in (WHOLE, STEM, OPEN)))
         return self.states[points]
 
     def _move(self, state: int, c: str) -> int:
@@ -121,22 +131,22 @@ class Matcher:
         self.moves[state][c] = new = self._state(self._closed(out))
         return new
 
-    def kind(self, word: str) -> int:
-        """0 no match, 1 exact, 2 misspelled."""
+    def match(self, word: str) -> tuple[int, float]:
+        """(0, 0) no match, (1, weight) exact, (2, weight) misspelled."""
         if len(self.sets) > _MEMO:
             self.states, self.sets, self.moves, self.verdicts = {}, [], [], []
             self.start = self._state(self._closed({(0, 0, "")}))
-        state, stem = self.start, 9
+        state, stem, pending = self.start, _NONE, _NONE
         for c in word:
+            stem = min(stem, pending)  # a further letter is there
             state = self.moves[state].get(c, -1) if c in self.moves[state] else self._move(state, c)
             if not self.sets[state]:
                 break
-            stem = min(stem, self.verdicts[state][0])
-            if not stem:
-                return 1
-        whole = self.verdicts[state][1] if self.sets[state] else 9
-        best = min(stem, whole)
-        return 0 if best == 9 else 1 if best == 0 else 2
+            stem, pending = min(stem, self.verdicts[state][STEM]), min(pending, self.verdicts[state][OPEN])
+            if not stem[0]:
+                break
+        best = stem if not stem[0] or not self.sets[state] else min(stem, self.verdicts[state][WHOLE])
+        return (0, 0.0) if best == _NONE else (1 if best[0] == 0 else 2, -best[1])
 
 
 _OPEN = re.compile("(?:^|[\\s(])[\"']|[“„«‘]")
@@ -153,29 +163,32 @@ def _quoted(before: str, after: str) -> bool:
 class Scorer:
     """Inputs of the regression for Arrow columns of texts, in a worker."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, int, float]]):
         self.matcher, self.known = Matcher(terms), {}
 
-    def kinds(self, names: list[bytes]) -> np.ndarray:
+    def matches(self, names: list[bytes]) -> tuple[np.ndarray, dict[int, float]]:
+        """Kind of match of each word, and the weights of those that match."""
         if len(self.known) > _MEMO:
             self.known = {}
-        known, kind = self.known, self.matcher.kind
-        out = np.empty(len(names), np.int8)
+        known, match = self.known, self.matcher.match
+        kinds, weights = np.zeros(len(names), np.int8), {}
         for i, w in enumerate(names):
-            k = known.get(w)
-            if k is None:
-                k = known[w] = kind(w.decode())
-            out[i] = k
-        return out
+            found = known.get(w)
+            if found is None:
+                found = known[w] = match(w.decode())
+            if found[0]:
+                kinds[i], weights[i] = found
+        return kinds, weights
 
     def inputs(self, texts: pa.Array) -> np.ndarray:
-        """Rows: a constant, logs of exact and misspelled abuse and quotation, and the share of abusive words."""
+        """Rows: a constant, logs of the weights of exact and misspelled abuse and quotation, and the share of abuse."""
         cut = wd.cut(texts, wd.SYMBOLS, lower=True)
         counts = np.zeros((len(texts), 4))
         if len(cut):
             codes, names = cut.coded()
             names = names.to_pylist()
-            kinds = self.kinds(names)[codes]
+            by_name, weights = self.matches(names)
+            kinds = by_name[codes]
             body, _ = wd.text_bytes(texts)
             hits = np.flatnonzero(kinds)
             docs = np.searchsorted(cut.docs, hits, "right") - 1
@@ -187,9 +200,9 @@ class Scorer:
                     left = int(cut.starts[a - 1] + cut.lengths[a - 1]) if a > cut.docs[d] else int(cut.starts[a])
                     right = int(cut.starts[b]) if b < cut.docs[d + 1] else int(cut.starts[b - 1] + cut.lengths[b - 1]) + 2
                     quoted = _quoted(body[max(0, left - 1):first].tobytes().decode("utf-8", "replace"), body[last:right].tobytes().decode("utf-8", "replace"))
-                counts[d, 2 * quoted + kinds[i] - 1] += 1
+                counts[d, 2 * quoted + kinds[i] - 1] += weights[int(codes[i])]
         share = (counts[:, 0] + counts[:, 1]) / np.sqrt(np.maximum(cut.counts, 1))
-        return np.column_stack([np.ones(len(texts)), np.log1p(counts), np.minimum(share, 3.0)])
+        return np.column_stack([np.ones(len(texts)), np.log1p(counts), np.minimum(share, 10.0)])
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -227,7 +240,7 @@ def _minhashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[str, bool], list[int]] = {}
+    total: dict[tuple[str, int], list[int]] = {}
     for batch in batches:
         for part in wd.slices(batch):
             cut = wd.cut(part.column("text"), wd.SYMBOLS, lower=True)
@@ -237,45 +250,41 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [n.decode() for n in names.to_pylist()]
             toxic = part.column("toxic").to_numpy()
             doc = np.repeat(np.arange(part.num_rows), cut.counts)
-            for size in (0, *PREFIXES):
-                # Size 0: whole words of fewer letters than the smallest prefix has, or as many.
+            for size, kind in [(0, WHOLE), *((size, kind) for size in PREFIXES for kind in (STEM, OPEN))]:
+                fits = (lambda n: len(n) <= PREFIXES[0]) if kind == WHOLE else (lambda n: len(n) >= size) if kind == STEM else (lambda n: len(n) > size)  # noqa: B023
                 terms: dict[str, int] = {}
-                of = np.array([terms.setdefault(n[:size] if size else n, len(terms)) if (len(n) >= size if size else len(n) <= PREFIXES[0]) else -1 for n in names], np.int64)
+                of = np.array([terms.setdefault(n[:size] if size else n, len(terms)) if fits(n) else -1 for n in names], np.int64)
                 here = of[codes]
                 pairs = np.unique(here[here >= 0] * part.num_rows + doc[here >= 0])
                 term, own = pairs // part.num_rows, toxic[pairs % part.num_rows]
                 pos, n = np.bincount(term[own > 0], minlength=len(terms)), np.bincount(term, minlength=len(terms))
-                for t, k in terms.items():
-                    if pos[k]:
-                        x = total.setdefault((t, not size), [0, 0])
-                        x[0] += int(pos[k])
-                        x[1] += int(n[k] - pos[k])
-                    elif n[k] and (t, not size) in total:
-                        total[t, not size][1] += int(n[k])
-                    elif n[k]:
-                        total[t, not size] = [0, int(n[k])]
+                for (t, k), a in zip(terms.items(), pos.tolist()):
+                    x = total.setdefault((t, kind), [0, 0])
+                    x[0] += a
+                    x[1] += int(n[k]) - a
     if total:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in total], pa.string()), pa.array([w for _, w in total], pa.bool_()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())],
-            ["term", "whole", "pos", "neg"])
+            [pa.array([t for t, _ in total], pa.string()), pa.array([k for _, k in total], pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1] for x in total.values()], pa.int64())],
+            ["term", "kind", "pos", "neg"])
 
 
-def lexicon(rows: DataFrame, most: int = MOST_TERMS) -> list[tuple[str, bool]]:
-    """Terms of toxic rows, at most ``most``, the shortest stem of those that say the same."""
+def lexicon(rows: DataFrame, most: int = MOST_TERMS) -> list[tuple[str, int, float]]:
+    """Terms of toxic rows with kind and weight, at most ``most`` are looked at; no term begins like another."""
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     if not n.pos or n.pos == n.n:
         return []
     base = n.pos / n.n
-    found = keep(rows.mapInArrow(_term_counts, "term string, whole boolean, pos long, neg long").groupBy("term", "whole").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "terms")
-    tested = found.where("pos > 0").count()
+    found = keep(rows.mapInArrow(_term_counts, "term string, kind int, pos long, neg long").groupBy("term", "kind").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "terms")
+    found = found.where(F.col("pos") >= LEAST)
+    tested = found.count()
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
     gain = F.col("pos") * F.log(share / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     good = found.where((share >= PURITY) & (gain >= MARGIN + math.log(max(1, tested)))).withColumn("gain", gain)
-    terms: dict[str, bool] = {}
-    for r in sorted(good.orderBy(F.desc("gain"), "term", "whole").limit(most).collect(), key=lambda r: (len(r.term), not r.whole, r.term)):
-        if not any(not terms.get(r.term[:k], True) for k in range(1, len(r.term) + 1)):
-            terms[r.term] = r.whole
-    return sorted(terms.items())
+    chosen: dict[str, tuple[int, float]] = {}
+    for r in good.orderBy(F.desc("gain"), F.length("term"), "term", "kind").limit(most).collect():
+        if not any(t.startswith(r.term) or r.term.startswith(t) for t in chosen):
+            chosen[r.term] = (r.kind, math.log((r.pos + 0.5) / (r.neg + 0.5)))
+    return sorted((t, *v) for t, v in chosen.items())
 
 
 def _inputs(terms):
@@ -302,7 +311,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[tuple[str, bool]], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[tuple[str, int, float]], list[float]]:
     """Terms and weights from at most ``most`` labelled rows."""
     rows = keep(training_rows(docs, labels, most), "training")
     terms = lexicon(rows)

@@ -21,17 +21,17 @@ def slow_edits(a, b):
 
 def slow_kind(terms, word):
     best = 9
-    for t, whole in terms:
+    for t, kind in terms:
         allowed = 2 if len(t) >= tx.TWO_EDITS else 1 if len(t) >= tx.ONE_EDIT else 0
-        e = min(slow_edits(t, word[:k]) for k in ([len(word)] if whole else range(len(word) + 1)))
+        e = min(slow_edits(t, word[:k]) for k in ([len(word)] if kind == 0 else range(len(word) + 2 - kind))) if kind < 2 or word else 9
         if e <= allowed:
             best = min(best, e)
     return 0 if best == 9 else 1 if best == 0 else 2
 
 
 @pytest.mark.parametrize("terms", [
-    [("idiot", False), ("scum", True), ("worthless", False), ("lowei", False), ("vile", True)],
-    [("abcab", True), ("abbab", False), ("ab", True), ("aabbaabba", True)]])
+    [("idiot", 1), ("scum", 0), ("worthless", 1), ("lowei", 2), ("vile", 0)],
+    [("abcab", 0), ("abbab", 1), ("ab", 0), ("aabbaabba", 0), ("cab", 2), ("bbacab", 2)]])
 def test_kinds_against_edit_distance(terms):
     rng = random.Random(11)
     letters = "".join(sorted({c for t, _ in terms for c in t})) + "x"
@@ -42,12 +42,12 @@ def test_kinds_against_edit_distance(terms):
             k = rng.randrange(len(w) + 1)
             w[k:k + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
         words.append("".join(w) + rng.choice(["", "", "xx", "b"]))
-    m = tx.Matcher(terms)
-    assert [(w, m.kind(w)) for w in words] == [(w, slow_kind(terms, w)) for w in words]
+    m = tx.Matcher([(*t, 1.5) for t in terms])
+    assert [(w, m.match(w)[0]) for w in words] == [(w, slow_kind(terms, w)) for w in words]
 
 
 def test_quotation_and_abuse():
-    s = tx.Scorer([("idiot", False)])
+    s = tx.Scorer([("idiot", 1, 2.0)])
     texts = pa.array(["you idiot", 'he told me "you idiot, go" and left', "« quel idiot »", 'an "old" idiot "here"', "she said idiot", "idoit", None, ""])
     x = s.inputs(texts)
     assert [r[1] > 0 for r in x.tolist()] == [True, False, False, True, False, False, False, False]
@@ -76,7 +76,7 @@ def test_held_out_labels(spark, make_docs):
     texts, labels = corpus()
     docs, table = make_docs(texts), spark.createDataFrame(labels, "doc_id long, toxic int")
     terms, _ = tx.fit(docs, table)
-    assert {"zwor", "zscu", "zlow"} <= {t[:4] for t, _ in terms} and len(terms) < 8
+    assert {"zwor", "zscu", "zlow"} <= {t[:4] for t, *_ in terms} and len(terms) < 8
     got = {r.doc_id: r for r in tx.scores(docs, table).collect()}
     truth = dict(labels)
     assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
