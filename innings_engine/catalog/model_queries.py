@@ -120,11 +120,15 @@ def _dedup_score(spark, sf):
     return out.select(fc.row_key().alias("row_key"), F.round("score", 6).alias("score"))
 
 
-@query("table_fingerprint", """
-SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws(chr(31), batter, bowler, CAST(innings AS VARCHAR), match_id, CAST(over_number AS VARCHAR))), 1, 8) AS BIGINT)) AS VARCHAR) AS digest FROM opening""")
+_LOG_COLUMNS = sorted(["match_id", "date", "season", "innings", "over_number", "ball_number", "venue", "team_batting", "team_bowling", "batter", "non_striker", "bowler", "wides",
+                       "noballs", "legbyes", "byes", "wicket", "bowler_wicket", "dismissed_player", "dismissal_type", "runs_batter", "legal", "batter_ball", "runs_extras",
+                       "runs_total", "bowler_conceded", "boundary", "six"])
+
+
+@query("table_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', " + ", ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _LOG_COLUMNS) + ")), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM fx")
 def _fingerprint(spark, sf):
-    starts = staged_log(spark, sf).filter("ball_number = 1").select(*OVER_KEY, "batter", "bowler")
-    return e.table_fingerprint(starts).select("rows", F.col("digest").cast("string").alias("digest"))
+    return e.table_fingerprint(staged_log(spark, sf)).select("rows", F.col("digest").cast("string").alias("digest"))
 
 
 # --- blends ----------------------------------------------------------------------------

@@ -96,9 +96,13 @@ def distinct_score_join(df: DataFrame, state: Sequence[str], score: Mapping[str,
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-insensitive content mark: row count and the sum of per-row sha256 heads."""
-    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(df.columns)])
-    head = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("decimal(38,0)")
+    """Order-insensitive content mark: row count and the sum of 60-bit heads of each row's sha256.
+
+    Every value carries its length and a null is a mark of its own, so no two different rows read alike.
+    """
+    value = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    text = F.concat_ws("|", *[value(F.col(c)) for c in sorted(df.columns)])
+    head = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(head).alias("digest"))
 
 

@@ -19,9 +19,16 @@ def _readable(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def _version(spark: SparkSession, folder: str) -> int:
+    """Newest change of the tables in an input folder, so that a rewritten input is a new stage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max([0, *(s.getModificationTime() for s in system.listStatus(path))]) if system.exists(path) else 0
+
+
 def staged_path(spark: SparkSession, key: tuple, build) -> str:
-    """Folder of the stage ``key`` in this application, written by ``build()`` when absent."""
-    full = (spark.sparkContext.applicationId, *key)
+    """Folder of the stage ``key`` (name, input folder) in this application, written by ``build()`` when absent."""
+    full = (spark.sparkContext.applicationId, *key, _version(spark, key[1]))
     path = _WRITTEN.get(full)
     if path is None or not _readable(spark, path):
         path = f"{shared_folder(spark)}/stage-{key[0]}-{uuid.uuid4().hex}"
