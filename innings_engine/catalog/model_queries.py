@@ -341,7 +341,7 @@ def _outcome(spark, sf):
 cte("records", f"""
 SELECT t.date, t.row_key, CASE WHEN t.over_number = 20 AND t.innings = 2 THEN 'v2' WHEN t.over_number % 2 = 0 THEN 'v0' ELSE 'v1' END AS version,
   CASE WHEN t.over_number <> 7 THEN t.y END AS y, t.{C} AS p, greatest(0, floor(t.{C} - 6)) AS lo, ceil(t.{C} + 6) AS hi, e.y AS wicket, e.p AS wicket_p
-FROM test_wide t JOIN ev_p e ON e.row_key = t.row_key AND e.task = 'wicket' ORDER BY t.date DESC, t.row_key DESC LIMIT 1000""")
+FROM test_wide t JOIN ev_p e ON e.row_key = t.row_key AND e.task = 'wicket'""")
 
 
 @query("monitoring_by_version", """

@@ -16,8 +16,9 @@ DOCUMENT = f"struct<info:{INFO},innings:array<{INNINGS}>>"
 
 
 def parse_documents(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``match_id`` and the parsed document."""
-    return texts.select("match_id", F.from_json(text, DOCUMENT).alias("doc"))
+    """``match_id`` and the parsed document; null for text that is not JSON as a whole, of which nothing is kept."""
+    whole = F.try_parse_json(text).isNotNull()
+    return texts.select("match_id", F.when(whole, F.from_json(text, DOCUMENT)).alias("doc"))
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:

@@ -467,3 +467,11 @@ def test_every_feature_has_the_family_of_its_group(log):
     for name, family in {"runs_last_3_overs": "momentum", "batter_career_balls": "player", "bowler_ewma_10_economy": "ewma", "batter_matchup_balls": "matchup",
                          "head_to_head_run_rate": "venue_team", "bowler_economy_vs_era": "era", "pressure_bucket": "pressure", "batter_innings_seen": "player", "current_score": "base"}.items():
         assert found.get(name, family) == family
+
+
+def test_torn_documents_are_malformed(spark):
+    text = json.dumps(document())
+    cuts = [text[:k] for k in range(1, len(text), 7)] + ["", "{}", "[1]"]
+    texts = spark.createDataFrame([(str(i), t) for i, t in enumerate(cuts)], "match_id string, text string")
+    judged = n.judge(docs.parse_documents(texts))
+    assert {r["reason"] for r in n.exclusions(judged).collect()} == {"malformed_document"} and judged.count() == len(cuts)
