@@ -28,6 +28,8 @@ from . import words as wd
 from .scratch import keep
 
 LEXICON_WORDS = 65_536
+#: Units a worker counts or remembers at a time, beside what earlier stages left in its memory.
+HELD_UNITS = 200_000
 #: White space of Unicode that is not ASCII.
 _WIDE = "\u0085   -     　"
 
@@ -158,7 +160,7 @@ def _units_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             codes, names = cut.coded()
             for u, n in zip(names.to_pylist(), np.bincount(codes, minlength=len(names)).tolist()):
                 total[u] = total.get(u, 0) + n
-            if len(total) > un.REMEMBERED:
+            if len(total) > HELD_UNITS:
                 yield out()
                 total = {}
     if total:
@@ -205,7 +207,7 @@ class Codec:
         self.piece = np.frombuffer(b"".join(pieces), np.uint8)
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.begin = np.cumsum(self.length) - self.length
-        self.rest = un.Remembered(un.SpacedEncoder(self.tokenizer, self.length))
+        self.rest = un.Remembered(un.SpacedEncoder(self.tokenizer, self.length), HELD_UNITS)
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = un.spaced_units(texts)
@@ -253,7 +255,7 @@ def _round_trip(path: str, sent, with_text: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, sent)
         for batch in batches:
-            for part in wd.slices(batch):
+            for part in wd.slices(batch, size=wd.SLICE_BYTES // 2):
                 ids, edges = codec.encode(part.column("text"))
                 body, marks = codec.decode(ids, edges)
                 wide = memoryview(ids.astype("<u4")).cast("B")
