@@ -10,7 +10,8 @@ chi-square distribution of the finest of its three groups that has ``LEAST`` row
 
 A step is one aggregation by (group, distance bin): map-side sums of counts and moments in whole numbers, so that results are the
 same however rows are dealt, and a hot source costs no more than another. The nearest rows are whole bins up to the
-share. A floor is added to each variance, as a statistic may be constant in most rows.
+share. Each group's own scatter decides: a floor of one unit (``FLOORS``) is added to each standard deviation only so that the scatter
+can be inverted. Where a statistic is constant in a group's core, any row that differs in it lies off the core and is rejected.
 
 Null texts are empty; documents failing the base rules are not kept and not part of any estimate; null languages and sources are
 values of their own; repeated rows count as often as they appear.
@@ -36,10 +37,10 @@ STEPS = 4
 #: Rows from which a group has estimates of its own.
 LEAST = 100
 #: Probability up to which the reweighting step and the verdict accept a distance.
-REWEIGHT, TAIL = 0.975, 0.99999
-#: Added standard deviation of each transformed statistic.
-FLOORS = (0.2, 0.15, 0.05, 0.06, 0.12)
+REWEIGHT, TAIL = 0.975, 0.999
 UNIT = 1024  # statistics are whole numbers of 1 / UNIT
+#: Added standard deviation of each transformed statistic: one unit, enough to invert any scatter.
+FLOORS = (1 / UNIT,) * 5
 BIN = 32  # distance bins per doubling
 DIM = len(FLOORS)
 #: Words of five letters added to each text before its word length is taken, which in few words is mostly chance.

@@ -80,6 +80,22 @@ def test_junk_is_rejected_and_prose_kept(spark, make_docs):
     assert [got[300 + i].base_failed for i in range(5)] == [False, False, True, True, True]
 
 
+def test_repetition_near_the_limits_of_the_base_rules_is_rejected(spark, make_docs):
+    rng = random.Random(10)
+    prose = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+    plain = [" ".join(prose(rng.randint(40, 600))) for _ in range(300)]
+    windows = []
+    for share in (0.15, 0.2, 0.25, 0.29):
+        words, own = prose(200), int(200 * share) // 2
+        words[100:100 + own] = words[:own]
+        windows.append(" ".join(words))
+    lines = ["\n".join([" ".join(prose(20)) for _ in range(10)] + ["one line"] * n) for n in (6, 11, 20)]
+    got = {r.doc_id: r for r in outliers.outlier_report(make_docs(plain + windows + lines)).collect()}
+    odd = [got[i] for i in range(300, 307)]
+    assert not any(r.base_failed for r in odd) and all(r.n_repeat_words or r.n_dup_lines for r in odd)
+    assert not any(r.kept for r in odd) and sum(got[i].kept for i in range(300)) >= 295
+
+
 @pytest.mark.parametrize("texts", [["a"], ["a " * 25 + "b", None], ["w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21"]])
 def test_few_rows_have_no_outliers(spark, make_docs, texts):
     for r in outliers.outlier_report(make_docs(texts, lang=None, source=None)).collect():
