@@ -2,11 +2,12 @@
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from ..operators import logs as lg, metrics as m
-from ..plans import forecast as fc, models as md
+from ..operators import encode as e, logs as lg, metrics as m
+from ..plans import forecast as fc, models as md, over_table as ot
 from ..sources.delivery_log import read_table
 from ..streaming import live
 from .log_queries import big, sql_big
+from .metric_queries import r6
 from .model_queries import prediction_requests
 from .registry import query
 
@@ -71,6 +72,42 @@ def _removal(spark, sf):
     return md.feature_removal(md.model_table(spark, sf))
 
 
+# --- every feature: the queries of these names without _all compare seven or fifteen columns with SQL -------------
+def _standardized_all(spark, sf):
+    """(row_key, partition, z-score of every number) of all partitions, and the numbers' names."""
+    table = md.model_table(spark, sf)
+    names = md.numbers_of(table)
+    keyed = table.withColumn("row_key", fc.row_key())
+    return e.standardize(keyed, md.of(table, "train"), names).select("row_key", "partition", *names), names
+
+
+@query("standardize_clip_all")
+def _standardize_all(spark, sf):
+    return r6(_standardized_all(spark, sf)[0])
+
+
+@query("top_contributions_all")
+def _top_all(spark, sf):
+    z, names = _standardized_all(spark, sf)
+    top = z.select("row_key", "partition", F.posexplode(e.top_in_row(names, 3)).alias("rank", "c"))
+    return top.select("row_key", "partition", "c.feature", (F.col("rank") + 1).cast("bigint").alias("rank"), F.round("c.value", 6).alias("contribution"))
+
+
+@query("feature_selection_all")
+def _selection_all(spark, sf):
+    return r6(md.feature_selection(md.model_table(spark, sf)))
+
+
+@query("feature_families_all")
+def _families_all(spark, sf):
+    df = fc.samples(spark, sf)
+    text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+    mean = lambda x: F.lit(None).cast("double") if x in text else F.avg(F.col(x).cast("double"))  # noqa: E731  categories have no mean
+    row = df.agg(F.array(*[F.struct(F.lit(x).alias("feature"), F.count(x).alias("n"), mean(x).alias("mean")) for x in ot.feature_columns(df)]).alias("all"))
+    families = ot.feature_families(fc.staged_log(spark, sf))
+    return r6(row.select(F.explode("all").alias("c")).select("c.*").withColumn("family", e.family(F.col("feature"), families)))
+
+
 @query("native_importance")
 def _native(spark, sf):
     return md.native_importance(md.model_table(spark, sf))

@@ -70,6 +70,12 @@ def top_contributions(long: DataFrame, key: Sequence[str], k: int) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_in_row(features: Sequence[str], k: int) -> Column:
+    """The k largest |value| of many columns of a row as an array of (feature, value), ties by name; nothing is shuffled."""
+    cells = F.array(*[F.struct((-F.abs(F.col(f))).alias("size"), F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
+    return F.transform(F.slice(F.array_sort(cells), 1, k), lambda c: F.struct(c["feature"].alias("feature"), c["value"].alias("value")))
+
+
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
     """n rows chosen by a hash of their key and the seed, returned in key order; repeatable."""
     mark = F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary"))

@@ -149,8 +149,23 @@ def recency_arms(df: DataFrame, half_lives: Sequence[int] = tuple(HALF_LIVES)) -
     return out
 
 
-def feature_removal(df: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Importance, drop, refit, paired test: one row.
+def feature_importance(df: DataFrame) -> DataFrame:
+    """(feature, mae_increase, std) of every number of a model table: permutation on validation of a model fitted on the training rows."""
+    names = numbers_of(df)
+    model = LinearRegression(labelCol=TARGET, featuresCol="features", regParam=.1).fit(of(assembled(df, names), "train"))
+    return permutation_importance(of(df, "validation"), names, TARGET, linear_scorer(model, names), ["match_id", "innings", "over_number"])
+
+
+def feature_selection(df: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(feature, mae_increase, dropped, adopt): every number's importance, and whether the refit without the dropped ones is adopted."""
+    rows = [(r["feature"], r["mae_increase"]) for r in feature_importance(df).collect()]     # one row per feature
+    importance = df.sparkSession.createDataFrame(rows, "feature string, mae_increase double")
+    verdict = feature_removal(df, threshold, importance).select("adopt")
+    return importance.withColumn("dropped", F.col("mae_increase") <= threshold).crossJoin(verdict)
+
+
+def feature_removal(df: DataFrame, threshold: float = 0.0, importance: DataFrame | None = None) -> DataFrame:
+    """Importance (of ``feature_importance`` unless given), drop, refit, paired test: one row.
 
     A model fitted on the training rows is judged on validation by permutation; features that don't raise its error go. Both sets are
     fitted again before the calibration blocks and compared on the same test rows; the smaller set is adopted unless it is
@@ -158,9 +173,7 @@ def feature_removal(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """
     names = numbers_of(df)
     data = assembled(df, names)
-    model = LinearRegression(labelCol=TARGET, featuresCol="features", regParam=.1).fit(of(data, "train"))
-    importance = permutation_importance(of(df, "validation"), names, TARGET, linear_scorer(model, names), ["match_id", "innings", "over_number"])
-    kept, _ = drop_by_importance(importance, threshold)
+    kept, _ = drop_by_importance(feature_importance(df) if importance is None else importance, threshold)
     chosen = sorted(r["feature"] for r in kept.select("feature").collect()) or names[:1]      # one row per feature
     key = ["match_id", "innings", "over_number", "y"]
     smaller = assembled(df, chosen)
