@@ -7,8 +7,9 @@ number, which finds its ids. The automaton is one flat file of fixed size that e
 distinct units walks it together, one byte a step. Units it doesn't hold are merged exactly, once per worker while they are
 remembered. Whole texts with white space beyond ASCII (which reaches across units) or a special token are encoded whole.
 
-The lexicon only decides how ids are found, never which: its size is bounded (``LEXICON_WORDS``) at any size of the
-corpus. Null texts count as empty (no ids). Rows that repeat give repeated rows. Other columns are ignored.
+The lexicon only decides how ids are found, never which: its size is bounded in units (``LEXICON_WORDS``) and in bytes
+(``LEXICON_BYTES`` of units of at most ``UNIT_BYTES``) at any size of the corpus. Longer units, such as whole lines of a script without
+spaces, are merged exactly in each slice that has them and not remembered. Null texts count as empty (no ids). Rows that repeat give repeated rows. Other columns are ignored.
 """
 from __future__ import annotations
 
@@ -28,6 +29,10 @@ from . import words as wd
 from .scratch import keep
 
 LEXICON_WORDS = 65_536
+#: Longest unit that is counted, held in the lexicon or remembered, and bytes of all units of the lexicon together.
+UNIT_BYTES, LEXICON_BYTES = 64, 1 << 20
+#: States whose number and an edge's byte fit the 32-bit key.
+MOST_STATES = 1 << 24
 #: Units a worker counts or remembers at a time, beside what earlier stages left in its memory.
 HELD_UNITS = 200_000
 #: White space of Unicode that is not ASCII.
@@ -57,6 +62,8 @@ class Lexicon:
                 mark = (final, tuple(out))
                 state = frozen.get(mark)
                 if state is None:
+                    if len(edges) >= MOST_STATES:
+                        raise ValueError(f"the lexicon has more than {MOST_STATES} states; its edge keys hold no more")
                     state = frozen[mark] = len(edges)
                     edges.append(mark[1])
                     accepts.append(final)
@@ -159,6 +166,8 @@ def _units_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             codes, names = cut.coded()
             for u, n in zip(names.to_pylist(), np.bincount(codes, minlength=len(names)).tolist()):
+                if len(u) > UNIT_BYTES:
+                    continue
                 total[u] = total.get(u, 0) + n
             if len(total) > HELD_UNITS:
                 yield out()
@@ -168,13 +177,14 @@ def _units_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def frequent_units(docs: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
-    """At most ``most`` of the most frequent units of all texts: those above a count that so many reach."""
+    """At most ``most`` of the most frequent short units of all texts, with ``LEXICON_BYTES`` together: those above a count that so many reach."""
     counted = docs.select("text").mapInArrow(_units_counted, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
     counted = keep(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "units")
-    room, least = most, 1 << 30
-    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 16 rows per doubling of the count
-        room -= r["count"]
-        if room < 0:
+    room, space, least = most, LEXICON_BYTES, 1 << 30
+    steps = counted.groupBy("step").agg(F.count("*").alias("units"), F.sum(F.octet_length("unit")).alias("size"))
+    for r in steps.orderBy(F.desc("step")).collect():  # 16 rows per doubling of the count
+        room, space = room - r.units, space - r.size
+        if room < 0 or space < 0:
             break
         least = r.step
     return [bytes(r.unit) for r in counted.where(F.col("step") >= least).select("unit").collect()]
@@ -217,11 +227,17 @@ class Codec:
         ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
         number = self.lexicon.numbers(np.frombuffer(names.buffers()[2], np.uint8), ends[:-1], np.diff(ends))
         held = number >= 0
+        long = ~held & (np.diff(ends) > UNIT_BYTES)
+        rest = ~held & ~long
         start, size = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
         start[held], size[held] = self.lexicon.start[number[held]], self.lexicon.size[number[held]]
-        flat, start_rest, size_rest = self.rest.of(names.filter(pa.array(~held)).to_pylist())
-        start[~held], size[~held] = start_rest + len(self.lexicon.ids), size_rest
-        return un.gather(np.concatenate([self.lexicon.ids, flat[:self.rest.used]]), start, size, codes, cut.docs)
+        flat, start_rest, size_rest = self.rest.of(names.filter(pa.array(rest)).to_pylist())
+        start[rest], size[rest] = start_rest + len(self.lexicon.ids), size_rest
+        own = np.empty(0, np.uint16)
+        if long.any():
+            own, size[long] = self.rest.encode(names.filter(pa.array(long)).to_pylist())
+            start[long] = len(self.lexicon.ids) + self.rest.used + np.cumsum(size[long]) - size[long]
+        return un.gather(np.concatenate([self.lexicon.ids, flat[:self.rest.used], own]), start, size, codes, cut.docs)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and where each text's begin."""

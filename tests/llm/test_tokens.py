@@ -53,6 +53,21 @@ def test_automaton_is_minimal_and_finds_all():
     assert len(made.final) == len(set(suffixes.values()))
 
 
+def test_lexicon_is_bounded_in_bytes(spark, make_docs, monkeypatch):
+    line = "".join(chr(0x4E00 + i) for i in range(400))
+    texts = [line, line + " a b", "a b " + line, "x" * 5000, "x" * 5000, "\n" + line + "\n" + line, "a b a b", *[" ".join(f"w{i}" for i in range(60))] * 2]
+    docs = make_docs(texts)
+    assert sorted(map(len, lexicon.frequent_units(docs)))[-1] < 64
+    tokenizer = units.load(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.ids, r.decoded) for r in lexicon.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), with_text=True).collect()}
+    assert got == {d: (tokenizer.encode(t, add_special_tokens=False).ids, t) for d, t in enumerate(texts)}
+    monkeypatch.setattr(lexicon, "LEXICON_BYTES", 20)
+    assert 0 < sum(map(len, lexicon.frequent_units(docs))) <= 20
+    monkeypatch.setattr(lexicon, "MOST_STATES", 10)
+    with pytest.raises(ValueError, match="states"):
+        lexicon.Lexicon.compile([b"abcdefghijkl"], [[1]])
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for counts, n in ((np.array([5]), 1), (np.array([1, 0, 10**9, 3]), 7000), (rng.integers(0, 50, 49408), 200_001)):
