@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, derivatives, lexicon, outliers, rans, repeats, simhash, tool_calls, toxicity, url_lists
+from . import decontaminate, derivatives, lexicon, outliers, rans, repeats, simhash, tool_calls, toxicity, url_lists, whitening
 from .scratch import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,8 +53,12 @@ def op10_temporal_url_lists(spark, sf_dir):
     return url_lists.judged(url_lists.captures_of(pages), url_lists.entries_of(pages))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_substring_dedup, op3_tool_calls, op4_warc_derivatives, op5_bpe_round_trip, op6_robust_outliers, op7_toxicity, op8_decontamination,
-    op9_simhash_dedup, op10_temporal_url_lists)}
+    op9_simhash_dedup, op10_temporal_url_lists, op11_embedding_whitening)}
 #: The other queries are tested against brute force, as SQL can't express them or is too slow on whole tables.
 SQL = {"op3_tool_calls": tool_calls.SQL, "op10_temporal_url_lists": url_lists.SQL}

@@ -13,8 +13,12 @@ def test_query_equals_sql(spark, name):
     assert ok, message
 
 
+#: Source and rows per source row of the queries that aren't one row per document.
+SHAPE = {"op4_warc_derivatives": ("pages", 2), "op11_embedding_whitening": ("embeddings", 32)}
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_query_has_a_row_per_source_row(spark, name):
-    source = "pages" if "warc" in name else "documents"
+def test_query_has_its_rows_per_source_row(spark, name):
+    source, times = SHAPE.get(name, ("documents", 1))
     n = spark.read.parquet(f"{SF}/{source}.parquet").count()
-    assert QUERIES[name](spark, SF).count() == n * (2 if "warc" in name else 1)
+    assert QUERIES[name](spark, SF).count() == n * times
