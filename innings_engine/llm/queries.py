@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, derivatives, lexicon, outliers, ranked, rans, repeats, simhash, tool_calls, toxicity, url_lists, whitening
+from . import coordinates, decontaminate, derivatives, lexicon, outliers, ranked, rans, repeats, simhash, tool_calls, toxicity, url_lists, whitening
 from .scratch import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,12 +57,16 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_dedup(spark, sf_dir):
+    return coordinates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark, sf_dir):
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_substring_dedup, op3_tool_calls, op4_warc_derivatives, op5_bpe_round_trip, op6_robust_outliers, op7_toxicity, op8_decontamination,
-    op9_simhash_dedup, op10_temporal_url_lists, op11_embedding_whitening, op13_ranked_search)}
+    op9_simhash_dedup, op10_temporal_url_lists, op11_embedding_whitening, op12_minhash_dedup, op13_ranked_search)}
 #: The other queries are tested against brute force, as SQL can't express them or is too slow on whole tables.
-SQL = {"op3_tool_calls": tool_calls.SQL, "op10_temporal_url_lists": url_lists.SQL, "op13_ranked_search": ranked.SQL}
+SQL = {"op3_tool_calls": tool_calls.SQL, "op10_temporal_url_lists": url_lists.SQL, "op12_minhash_dedup": coordinates.SQL, "op13_ranked_search": ranked.SQL}
