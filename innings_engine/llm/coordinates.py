@@ -10,7 +10,7 @@ so it skips the lists of frequent shingles without losing a pair. Most classes h
 
 *Merging.* Instead of making the pairs of a list, all lists with the same leader (of a list's classes the one that shares most with
 others) are merged into one star: its classes are all of those lists. Two classes of a list are in the star of its leader, so stars
-hold every candidate pair, once or a few times rather than once a list. A star is cut into blocks of bounded size by hash, each with the leader. A task takes one block,
+hold every candidate pair, once or a few times rather than once a list. A star is cut into blocks of bounded size by hash, each with the leader. Signatures alone first tell which classes of a star agree with any other at all; only those get their shingles. A task takes one block,
 counts agreements of signatures, keeps the pairs above the threshold, confirms those on the full sets (as a product of incidence
 matrices) and returns a spanning forest of the links, never the pairs themselves. Components of these links join most of a star. What
 is left are pairs of classes in different blocks and different components: blocks of the classes outside a star's
@@ -46,7 +46,7 @@ MATCHES = 32
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 2_000_000
 #: Columns of an incidence matrix multiplied at a time.
 _COLUMNS = 8192
-_SETS = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, shingles binary"
+_SETS = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 _LINKS = "a long, b long"
 
 
@@ -89,27 +89,47 @@ def signatures(h: np.ndarray, begins: np.ndarray, size: int = COORDINATES) -> np
     return out
 
 
+def _names(h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each text's set, as two signed numbers."""
+    body = h.tobytes()
+    names = [xxhash.xxh3_128_intdigest(body[8 * a:8 * b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+    return tuple(np.array(half, np.uint64).view(np.int64) for half in ([x >> 64 for x in names], [x & (1 << 64) - 1 for x in names]))
+
+
 def sets_of(docs: DataFrame, size: int = SHINGLE, coordinates: int = COORDINATES, least: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig, shingles); sets below ``least`` carry neither signature nor shingles."""
+    """(doc_id, n_shingles, h1, h2, sig); sets below ``least`` have no signature."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wd.slices(batch):
                 h, begins = shingle_sets(part.column("text"), size)
                 n = np.diff(begins)
                 sig = signatures(h, begins, coordinates)
-                body = h.tobytes()
-                names = [xxhash.xxh3_128_intdigest(body[8 * a:8 * b]) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-                signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-                mask = (n < least).tolist()
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(n.astype(np.int64)), signed([x >> 64 for x in names]), signed([x & (1 << 64) - 1 for x in names]),
-                    pa.array([None if m else s.tobytes() for m, s in zip(mask, sig)], pa.binary()),
-                    pa.array([None if m else body[8 * a:8 * b] for m, a, b in zip(mask, begins[:-1].tolist(), begins[1:].tolist())], pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig", "shingles"])
+                    part.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, _names(h, begins)),
+                    pa.array([None if m < least else s.tobytes() for m, s in zip(n.tolist(), sig)], pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, _SETS)
 
 
+def shingles_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(cls, shingles) of the wanted classes (cls, h1, h2, first_doc), cut from the text of their first document."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wd.slices(batch):
+                h, begins = shingle_sets(part.column("text"), size)
+                h1, h2 = _names(h, begins)
+                # Other rows with that doc_id may have other texts.
+                own = np.flatnonzero((h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())).tolist()
+                yield pa.RecordBatch.from_arrays([
+                    part.column("cls").take(pa.array(own, pa.int64())), pa.array([h[begins[i]:begins[i + 1]].tobytes() for i in own], pa.binary())], ["cls", "shingles"])
+
+    # Both sides are dealt by doc_id, so equal rows are in one task already.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    rows = texts.join(wanted.withColumnRenamed("first_doc", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["of", "cls", "text"])
+    return rows.select("cls", "h1", "h2", "text").mapInArrow(of, "cls long, shingles binary")
+
+
 def postings(classes: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """(cls, key): the class under each of its (coordinate, value) pairs."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +231,34 @@ def _blocks(members: DataFrame, by: list[str], classes_of_block: int, shingles_o
         F.ceil(F.count("*") / classes_of_block), F.ceil(F.sum("n_shingles") / shingles_of_block)).cast("int").alias("blocks"), F.count("*").alias("size"))
 
 
-def similar_classes(classes: DataFrame, sets: DataFrame, similarity: Fraction = SIMILARITY, coordinates: int = COORDINATES, matches: int = MATCHES,
+def _met(matches: int):
+    """Task: the classes of one star that agree on ``matches`` coordinates with another of it."""
+    def of(star: pa.Table) -> pa.Table:
+        sigs = np.stack([np.frombuffer(s, np.uint32) for s in star.column("sig").to_pylist()])
+        same = np.zeros((len(sigs), len(sigs)), np.int16)
+        for c in range(sigs.shape[1]):
+            same += sigs[:, c][:, None] == sigs[:, c][None, :]
+        np.fill_diagonal(same, 0)
+        return star.select(["leader", "cls", "n_shingles"]).filter(pa.array((same >= matches).any(axis=1)))
+
+    return of
+
+
+def similar_classes(classes: DataFrame, docs: DataFrame, similarity: Fraction = SIMILARITY, size: int = SHINGLE, coordinates: int = COORDINATES, matches: int = MATCHES,
                     block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(cls, root): the component of every class that has a link."""
-    star = keep(stars(classes, coordinates, matches).join(classes.select("cls", "n_shingles"), "cls"), "stars")
-    blocks = keep(_blocks(star, ["leader"], block_classes, block_shingles).where("size > 1"), "blocks")
-    # The row of each class's first document brings its shingles; the narrow side is small enough to broadcast, or it isn't: its measured size decides.
-    wanted = keep(star.select("cls").distinct().join(classes, "cls").select("cls", "h1", "h2", "first_doc"), "wanted")
-    bodies = sets.select("doc_id", "h1", "h2", "sig", "shingles").join(wanted, ["h1", "h2"]).where("doc_id <=> first_doc or first_doc is null")
-    bodies = keep(bodies.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "bodies")
+    star = stars(classes, coordinates, matches).join(classes.select("cls", "n_shingles", "sig"), "cls")
+    star = keep(star.select("leader", "cls", "n_shingles", "sig"), "stars")
+    sizes = keep(_blocks(star, ["leader"], block_classes, block_shingles).where("size > 1"), "sizes")
+    # In a star of one block, a class that agrees with none is done; in a larger one all stay.
+    one = star.join(sizes.where("size <= %d" % block_classes).select("leader"), "leader").groupBy("leader").applyInArrow(_met(matches), "leader long, cls long, n_shingles long")
+    more = star.join(sizes.where("size > %d" % block_classes).select("leader"), "leader").select("leader", "cls", "n_shingles")
+    star = one.union(more)
+    leads = star.select("leader").distinct().withColumn("cls", F.col("leader")).join(classes.select("cls", "n_shingles"), "cls").select("leader", "cls", "n_shingles")
+    star = keep(star.union(leads).distinct(), "met")
+    blocks = keep(_blocks(star, ["leader"], block_classes, block_shingles), "blocks")
+    wanted = star.select("cls").distinct().join(classes, "cls").select("cls", "h1", "h2", "first_doc")
+    bodies = keep(shingles_of(docs, keep(wanted, "wanted"), size).join(classes.select("cls", "sig"), "cls"), "bodies")
     task, part = _block_task(similarity, matches), lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
 
     def linked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -251,10 +290,9 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = SIMILARITY, size: in
     """(doc_id, n_shingles, component_id, kept): documents linked by the similarity of their shingle sets."""
     least = int(1 / (1 - similarity)) - 1
     sets = keep(sets_of(docs, size, coordinates, least), "sets")
-    classes = keep(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "named")
+    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = keep(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    roots = similar_classes(classes.where(F.col("n_shingles") >= least), sets, similarity, coordinates, matches, block_classes, block_shingles)
+    roots = similar_classes(classes.where(F.col("n_shingles") >= least), docs, similarity, size, coordinates, matches, block_classes, block_shingles)
     rooted = keep(classes.join(roots, "cls", "left").select("h1", "h2", "first_doc", F.coalesce("root", "cls").alias("root")), "rooted")
     heads = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = keep(rooted.join(heads, "root").select("h1", "h2", "component_id"), "components")
