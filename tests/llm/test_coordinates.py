@@ -107,7 +107,7 @@ def test_shingle_sets_and_signatures():
         pairs += [" ".join(base), edited(rng, base, 3)]
     h, begins = co.shingle_sets(pa.array(pairs))
     sig = co.signatures(h, begins)
-    real = np.mean([len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(pairs[::2], pairs[1::2])])
+    real = np.mean([(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))) ** 2 for a, b in zip(pairs[::2], pairs[1::2])])
     assert abs((sig[::2] == sig[1::2]).mean() - real) < 0.015
 
 
