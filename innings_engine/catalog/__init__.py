@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["log_queries", "history_queries", "normalize_queries", "over_queries", "metric_queries", "delivery_queries", "model_queries", "ml_stream_queries"]
+MODULES = ["log_queries", "history_queries", "normalize_queries", "over_queries", "metric_queries", "delivery_queries", "model_queries", "ml_stream_queries", "serving_queries"]
 
 
 def load():

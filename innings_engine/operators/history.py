@@ -247,14 +247,15 @@ def position_facts(log: DataFrame) -> DataFrame:
         k.flag(p <= 3).alias("top3"), k.flag(p.between(4, 6)).alias("four_six"), k.flag(p >= 7).alias("seven_plus"))
 
 
-def position_columns(prefix: str = "") -> dict[str, Column]:
-    n = F.greatest(F.col("position_n"), F.lit(1))
+def position_columns(prefix: str = "", own: str = "") -> dict[str, Column]:
+    c = lambda name: F.col(f"{own}{name}")
+    n = F.greatest(c("position_n"), F.lit(1))
     return {
-        f"{prefix}mean_position": F.col("position_sum") / n,
-        f"{prefix}innings_seen": F.col("position_n"),
-        f"{prefix}share_top3": F.col("top3") / n,
-        f"{prefix}share_position_4_6": F.col("four_six") / n,
-        f"{prefix}share_position_7_plus": F.col("seven_plus") / n,
+        f"{prefix}mean_position": c("position_sum") / n,
+        f"{prefix}innings_seen": c("position_n"),
+        f"{prefix}share_top3": c("top3") / n,
+        f"{prefix}share_position_4_6": c("four_six") / n,
+        f"{prefix}share_position_7_plus": c("seven_plus") / n,
     }
 
 

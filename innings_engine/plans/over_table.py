@@ -87,6 +87,36 @@ def prefixed(df: DataFrame, prefix: str, keys: dict[str, str]) -> DataFrame:
         x: keys.get(x, f"{prefix}{x}") for x in df.columns if x != "date"})
 
 
+def player_rates(seasons: bool = True) -> dict[str, Column]:
+    """Shrunk rates of the three players from raw totals named ``_<role>_<part>_<measure>``."""
+    out: dict[str, Column] = {}
+    for role, side in ROLES.items():
+        out |= shrunk_rates(f"{role}_career_", own=f"_{role}_career_")
+        if seasons:
+            out |= shrunk_rates(f"{role}_season_", own=f"_{role}_season_")
+            name, short = ("strike_rate", "sr") if side == "bat" else ("economy", "economy")
+            for p in h.PHASES:
+                out[f"{role}_{p}_{short}"] = shrunk_rates("", own=f"_{role}_{p}_")[name]
+    return out
+
+
+def matchup_rates() -> dict[str, Column]:
+    return {n: c for role in ("batter", "non_striker") for n, c in shrunk_rates(f"{role}_matchup_", own=f"_{role}_matchup_").items()}
+
+
+def era_ratios(players: bool = True) -> dict[str, Column]:
+    """Scoring and players against the league of their own time, from finished rates."""
+    c = F.col
+    tiny = lambda col: F.greatest(c(col), F.lit(1e-9))
+    out = {"scoring_vs_era": c("current_run_rate") / F.greatest(c("era_strike_rate") * 6 / 100, F.lit(1e-9))}
+    if players:
+        for role in ("batter", "non_striker"):
+            out[f"{role}_sr_vs_era"] = c(f"{role}_career_strike_rate") / tiny("era_strike_rate")
+            out[f"{role}_boundary_rate_vs_era"] = c(f"{role}_career_boundary_rate") / tiny("era_boundary_rate")
+        out["bowler_economy_vs_era"] = c("bowler_career_economy") / tiny("era_economy")
+    return out
+
+
 def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
     """One row per usable over. ``groups`` limits which feature families are built.
 
@@ -114,12 +144,7 @@ def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataF
             joined = prefixed(part, f"_{role}_", {"player": role})
             samples = samples.join(joined, [role, "date"], "left")
             drop += [x for x in joined.columns if x.startswith(f"_{role}_")]
-            rates.update(shrunk_rates(f"{role}_career_", own=f"_{role}_career_"))
-            if "players" in groups:
-                rates.update(shrunk_rates(f"{role}_season_", own=f"_{role}_season_"))
-                name, short = ("strike_rate", "sr") if side == "bat" else ("economy", "economy")
-                for p in h.PHASES:
-                    rates[f"{role}_{p}_{short}"] = shrunk_rates("", own=f"_{role}_{p}_")[name]
+        rates.update(player_rates("players" in groups))
     if "form" in groups:
         starts = w.over_starts(log)
         probes = {"bat": starts.select("date", F.explode(F.array("batter", "non_striker")).alias("player")),
@@ -144,7 +169,7 @@ def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataF
             joined = prefixed(met, f"_{role}_matchup_", {"player": role, "bowler": "bowler"})
             samples = samples.join(joined, [role, "bowler", "date"], "left")
             drop += [x for x in joined.columns if x.startswith("_")]
-            rates.update(shrunk_rates(f"{role}_matchup_", own=f"_{role}_matchup_"))
+        rates.update(matchup_rates())
     if groups & {"context", "venue"}:
         for kind in (CONTEXTS if "context" in groups else ["venue"]):
             keys = h.CONTEXT_KINDS[kind]
@@ -154,14 +179,7 @@ def over_samples(log: DataFrame, groups: Iterable[str] = tuple(GROUPS)) -> DataF
     dropped = set(drop)
     samples = samples.select(*[x for x in samples.columns if x not in dropped], *named(rates))
     if "era" in groups:
-        tiny = lambda col: F.greatest(c(col), F.lit(1e-9))
-        ratios = {"scoring_vs_era": c("current_run_rate") / F.greatest(c("era_strike_rate") * 6 / 100, F.lit(1e-9))}
-        if "players" in groups:
-            for role in ("batter", "non_striker"):
-                ratios[f"{role}_sr_vs_era"] = c(f"{role}_career_strike_rate") / tiny("era_strike_rate")
-                ratios[f"{role}_boundary_rate_vs_era"] = c(f"{role}_career_boundary_rate") / tiny("era_boundary_rate")
-            ratios["bowler_economy_vs_era"] = c("bowler_career_economy") / tiny("era_economy")
-        samples = samples.withColumns(ratios)
+        samples = samples.withColumns(era_ratios("players" in groups))
     return samples
 
 
