@@ -47,6 +47,8 @@ MINIMA = 2
 MATCHES = 20
 #: Classes of a block, and shingles of it, on average.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 2_000_000
+#: Words of 64 bits in the filter of documents whose texts are read again: at most so many rows (8 MB) are broadcast.
+FILTER_WORDS = 1 << 19
 #: Columns of an incidence matrix multiplied at a time.
 _COLUMNS = 8192
 _SETS = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
@@ -128,9 +130,14 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> Data
                 yield pa.RecordBatch.from_arrays([
                     part.column("cls").take(pa.array(own, pa.int64())), pa.array([h[begins[i]:begins[i + 1]].tobytes() for i in own], pa.binary())], ["cls", "shingles"])
 
+    # A text is shuffled only if the filter, whose size is fixed, has the bit of its doc_id; once most bits are set it lets all through.
+    word = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {FILTER_WORDS}) as int)")
+    bit = lambda c: f"cast(pmod(shiftright(xxhash64({c}), 32), 64) as int)"
+    bits = wanted.groupBy(word("first_doc").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit('first_doc')}))").alias("mask"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("word", word("doc_id"))
+    texts = texts.join(F.broadcast(bits), "word").where(F.expr(f"shiftrightunsigned(mask, {bit('doc_id')}) & 1L = 1L"))
     # Both sides are dealt by doc_id, so equal rows are in one task already.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    rows = texts.join(wanted.withColumnRenamed("first_doc", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["of", "cls", "text"])
+    rows = texts.select("doc_id", "text").join(wanted.withColumnRenamed("first_doc", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["of", "cls", "text"])
     return rows.select("cls", "h1", "h2", "text").mapInArrow(of, "cls long, shingles binary")
 
 
