@@ -198,23 +198,24 @@ def _position_now(spark, sf):
 
 
 @query("sequence_window", """
-WITH p AS (
-  SELECT a.match_id, a.innings, a.over_number, 24 - (a.seq - b.seq) AS slot, b.*
-    EXCLUDE (match_id, innings, over_number, seq), b.over_number AS past_over, a.bowler AS now_bowler, a.batter AS now_batter
-  FROM numbered a JOIN numbered b ON a.match_id = b.match_id AND a.innings = b.innings AND b.seq < a.seq AND b.seq >= a.seq - 24
-  WHERE a.ball_number = 1),
-slots AS (SELECT match_id, innings, over_number, CAST(s.slot AS BIGINT) AS slot
-          FROM numbered, (SELECT unnest(range(24)) AS slot) s WHERE ball_number = 1)
+WITH held AS (
+  SELECT match_id, innings, over_number, ball_number, bowler AS now_bowler, batter AS now_batter,
+    list({'runs_total': runs_total, 'runs_batter': runs_batter, 'wicket': wicket, 'boundary': boundary, 'six': six, 'legal': legal, 'runs_extras': runs_extras,
+          'batter_ball': batter_ball, 'bowler': bowler, 'batter': batter, 'ball_number': ball_number, 'over_number': over_number})
+      OVER (PARTITION BY match_id, innings ORDER BY over_number, ball_number ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS past
+  FROM fx),
+slots AS (SELECT *, unnest(range(24)) AS slot, coalesce(len(past), 0) AS n FROM held WHERE ball_number = 1),
+p AS (SELECT match_id, innings, over_number, slot, now_bowler, now_batter, CASE WHEN slot >= 24 - n THEN past[slot - (24 - n) + 1] END AS b FROM slots)
 SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT) AS over_number, slot,
-  CAST(coalesce(runs_total, 0) AS DOUBLE) AS runs_total, CAST(coalesce(runs_batter, 0) AS DOUBLE) AS runs_batter,
-  CAST(coalesce(wicket, 0) AS DOUBLE) AS wicket, CAST(coalesce(boundary, 0) AS DOUBLE) AS boundary,
-  CAST(coalesce(six, 0) AS DOUBLE) AS six, CAST(coalesce(legal, 0) AS DOUBLE) AS legal,
-  CAST(coalesce(runs_extras, 0) AS DOUBLE) AS runs_extras, CAST(coalesce(batter_ball, 0) AS DOUBLE) AS batter_ball,
-  CAST(CASE WHEN bowler = now_bowler THEN 1 ELSE 0 END AS DOUBLE) AS same_bowler,
-  CAST(CASE WHEN batter = now_batter THEN 1 ELSE 0 END AS DOUBLE) AS same_striker,
-  round(coalesce(ball_number, 0) / CAST(6 AS DOUBLE), 9) AS ball_share,
-  round(coalesce(over_number - past_over, 0) / CAST(20 AS DOUBLE), 9) AS over_gap
-FROM slots LEFT JOIN p USING (match_id, innings, over_number, slot)""")
+  CAST(coalesce(b.runs_total, 0) AS DOUBLE) AS runs_total, CAST(coalesce(b.runs_batter, 0) AS DOUBLE) AS runs_batter,
+  CAST(coalesce(b.wicket, 0) AS DOUBLE) AS wicket, CAST(coalesce(b.boundary, 0) AS DOUBLE) AS boundary,
+  CAST(coalesce(b.six, 0) AS DOUBLE) AS six, CAST(coalesce(b.legal, 0) AS DOUBLE) AS legal,
+  CAST(coalesce(b.runs_extras, 0) AS DOUBLE) AS runs_extras, CAST(coalesce(b.batter_ball, 0) AS DOUBLE) AS batter_ball,
+  CAST(CASE WHEN b.bowler = now_bowler THEN 1 ELSE 0 END AS DOUBLE) AS same_bowler,
+  CAST(CASE WHEN b.batter = now_batter THEN 1 ELSE 0 END AS DOUBLE) AS same_striker,
+  round(coalesce(b.ball_number, 0) / CAST(6 AS DOUBLE), 9) AS ball_share,
+  round(coalesce(over_number - b.over_number, 0) / CAST(20 AS DOUBLE), 9) AS over_gap
+FROM p""")
 def _sequence_window(spark, sf):
     seq = w.sequence_windows(staged_log(spark, sf))
     flat = seq.select("match_id", *big("innings", "over_number"), F.posexplode("sequence").alias("slot", "v"))

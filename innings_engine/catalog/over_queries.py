@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..operators import split as s
 from ..plans import forecast as fc, over_table as ot
-from .history_queries import day, sql_shrunk
+from .history_queries import _ERA_SQL, day, sql_shrunk
 from .log_queries import big, rounded, sql_big, sql_round
 from ..plans.forecast import staged_log
 from .registry import cte, query
@@ -82,6 +82,21 @@ def _over_samples(spark, sf):
     return df.select("match_id", F.col("partition").alias("part"), *big(*_SMP_INT), *rounded(9, *_SMP_FLOAT))
 
 
+_VS_ERA = {
+    "scoring_vs_era": "current_run_rate / greatest(era_strike_rate * 6 / 100, CAST(1e-9 AS DOUBLE))",
+    "batter_sr_vs_era": "batter_career_strike_rate / greatest(era_strike_rate, CAST(1e-9 AS DOUBLE))",
+    "bowler_economy_vs_era": "bowler_career_economy / greatest(era_economy, CAST(1e-9 AS DOUBLE))",
+}
+
+
+@query("against_era", f"""
+WITH era AS (SELECT date, {', '.join(f'{e} AS {n}' for n, e in _ERA_SQL.items())} FROM league_asof)
+SELECT match_id, {sql_big('innings', 'over_number')}, {', '.join(f'round({e}, 9) AS {n}' for n, e in _VS_ERA.items())} FROM smp JOIN era USING (date)""")
+def _against_era(spark, sf):
+    """Scoring and players against the league of their own time."""
+    return fc.samples(spark, sf).select("match_id", *big("innings", "over_number"), *rounded(9, *_VS_ERA))
+
+
 @query("chrono_split", "SELECT \"partition\" AS part, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, count(*) AS dates FROM labels_by_date GROUP BY 1")
 def _chrono_split(spark, sf):
     labels = s.chrono_labels(fc.samples(spark, sf).select("season", "date"))
