@@ -21,12 +21,52 @@ def parse_documents(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select("match_id", F.when(whole, F.from_json(text, DOCUMENT)).alias("doc"))
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file; the match id is the file stem."""
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(match_id, text) of one JSON document per file; the match id is the file stem."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-    named = raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("match_id"),
-                       F.col("value").alias("text"))
-    return parse_documents(named)
+    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("match_id"), F.col("value").alias("text"))
+
+
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed documents of one file each."""
+    return parse_documents(read_texts(spark, path))
+
+
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file per document, in a folder named by its match id; a match id that repeats has a file for each of its texts."""
+    # Dealt by id: a document's folder is written by one task, and no task holds more than one open file.
+    texts.select("match_id", "text").repartition("match_id").write.partitionBy("match_id").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(match_id, text) of the documents that ``write_files`` wrote.
+
+    Spark packs small files into scan tasks by ``spark.sql.files.openCostInBytes``; readers that come back often should read
+    what ``pack`` wrote instead.
+    """
+    raw = spark.read.schema("value string, match_id string").text(path, wholetext=True)
+    return raw.select("match_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def unreadable_reason(text: str = "text") -> Column:
+    """Why a text can't be read as a document; null if it can."""
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    return F.when(blank, "empty").when(F.try_parse_json(text).isNull(), "not_json")
+
+
+def pack(texts: DataFrame, path: str, unreadable_path: str) -> DataFrame:
+    """Many small files as few parquet files of (match_id, text), and the written table.
+
+    Texts that can't be read go to ``unreadable_path`` as (match_id, reason, bytes, sha256) and aren't packed; together the two have
+    every document.
+    """
+    spark = texts.sparkSession
+    judged = texts.select("match_id", "text", unreadable_reason().alias("reason"))
+    judged.where("reason is null").select("match_id", "text").hint("rebalance").write.parquet(path)
+    judged.where("reason is not null").select(
+        "match_id", "reason", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256")
+    ).write.parquet(unreadable_path)
+    return spark.read.schema("match_id string, text string").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

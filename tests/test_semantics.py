@@ -290,6 +290,19 @@ def test_documents_round_trip(spark, log, tmp_path):
     assert listing[name]["sha256"] == hashlib.sha256(some[0]["text"].encode()).hexdigest()
 
 
+def test_document_files_and_packing(spark, tmp_path):
+    """Files keep ids and texts as they are; packing parts with what can't be read, and loses nothing."""
+    rows = [("2020-01-01-0", '{"a": 1}'), ("2020-01-01", '{"a": "x\\ny"}'), ("p/q=1 é", "{}"), ("torn", '{"a": '), ("blank", " "), ("none", ""), ("twice", "[1]"), ("twice", "[2]")]
+    texts = spark.createDataFrame(rows, "match_id string, text string")
+    docs.write_files(texts, str(tmp_path / "files"))
+    got = docs.read_files(spark, str(tmp_path / "files"))
+    assert sorted((r.match_id, r.text) for r in got.collect()) == sorted(rows)
+    packed = docs.pack(got, str(tmp_path / "pack"), str(tmp_path / "bad"))
+    assert sorted((r.match_id, r.text) for r in packed.collect()) == sorted(r for r in rows if r[0] not in ("torn", "blank", "none"))
+    bad = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert sorted((r.match_id, r.reason, r.bytes) for r in bad) == [("blank", "empty", 1), ("none", "empty", 0), ("torn", "not_json", 6)]
+
+
 def document(**info):
     base = {"dates": ["2020-01-01"], "match_type": "T20", "venue": "G", "teams": ["A", "B"], "registry": {"people": {"p": "1", "q": "2", "r": "3"}}}
     base.update(info)
