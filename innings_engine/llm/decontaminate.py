@@ -7,11 +7,12 @@ document can only match while its neighbouring words are neighbours in some item
 such stretches first and the automaton walks only those.
 
 A block has a bounded number of bytes (``BLOCK_BYTES``), whatever the benchmark's size: further items are further
-blocks, each a pass over all documents, and the hits of a document are united by its id.
+blocks, each a pass over all documents, and the hits of a document are united by its id and the digest of its text.
 
 Null or empty texts and items have no words and never match. Items that repeat, or several items with one id, count once
 per id; a null item_id is not counted as an item but its words hit. Other columns, also of the same names, are ignored.
-Rows that repeat a doc_id are one document and must be equal.
+Each row is judged by its own text, at any number of blocks: rows that repeat a doc_id, with equal or different texts, and rows
+without one give one result each.
 """
 from __future__ import annotations
 
@@ -31,7 +32,7 @@ BLOCK_BYTES = 2 << 20
 #: A document is contaminated if hit words are at least 1 / COVERAGE of its words.
 COVERAGE = 20
 
-_HITS = "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<long>"
+_HITS = "doc_id long, digest string, n_words long, spans array<struct<a:int,b:int>>, items array<long>"
 
 
 class SuffixAutomaton:
@@ -159,10 +160,10 @@ def _hits(automaton):
                         own.append([a, b])
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(cut.counts),
+                    [part.column("doc_id"), part.column("digest"), pa.array(cut.counts),
                      pa.array([[{"a": a, "b": b} for a, b in spans.get(d, ())] for d in range(n)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                      pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "spans", "items"])
+                    ["doc_id", "digest", "n_words", "spans", "items"])
 
     return of
 
@@ -185,25 +186,28 @@ def _item_words(text: str) -> list[bytes]:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, spans, items): merged word ranges inside windows, and the items that have those windows."""
+    """(doc_id, digest, n_words, spans, items) of each row: merged word ranges inside windows, and the items that have those windows."""
+    rows = docs.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     passes = []
     for block in item_blocks(items, block_bytes):
         automaton = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
-        passes.append(docs.select("doc_id", "text").mapInArrow(_hits(automaton), _HITS))
+        passes.append(rows.mapInArrow(_hits(automaton), _HITS))
     if len(passes) == 1:
         return passes[0]
     every = passes[0]
     for more in passes[1:]:
         every = every.union(more)
-    joined = every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # Rows with one id and one text have one result; they are counted in each pass and given back as often as they came.
+    joined = every.groupBy("doc_id", "digest").agg(
+        (F.count("*") / len(passes)).cast("int").alias("times"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     # Ranges in order: a range that reaches into the last one extends it.
     merge = lambda done, s: F.when(
         (F.size(done) > 0) & (F.element_at(done, -1)["b"] >= s["a"]),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b"))))
     ).otherwise(F.concat(done, F.array(s)))
     none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
-    return joined.withColumn("spans", F.aggregate("spans", none, merge))
+    whole = joined.withColumn("spans", F.aggregate("spans", none, merge))
+    return whole.select("*", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("col", "times")
 
 
 def _judged(found: DataFrame, coverage: int) -> DataFrame:
@@ -218,7 +222,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-_CUT_SCHEMA = "doc_id long, clean_text string"
+_CUT_SCHEMA = "doc_id long, digest string, clean_text string"
 
 
 def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +239,19 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     at = int(cut.starts[b] + cut.lengths[b])
                 out.append(body[at:offsets[d + 1]].tobytes())
                 texts.append(b"".join(out).decode())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "clean_text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(texts, pa.string())], ["doc_id", "digest", "clean_text"])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without contaminated rows; the others lose the spans that were hit (from the first to the last hit word)."""
-    found = keep(_judged(hits(docs, items, window, block_bytes), coverage).where("n_hit > 0").select("doc_id", "spans", "contaminated").dropDuplicates(["doc_id"]), "hits")
-    cut = docs.select("doc_id", "text").join(found.where("not contaminated").select("doc_id", "spans"), "doc_id").mapInArrow(_without_spans, _CUT_SCHEMA)
-    cut = keep(cut.dropDuplicates(["doc_id"]), "cut")
-    verdict = found.where("contaminated").select("doc_id").withColumn("gone", F.lit(True)).join(cut, "doc_id", "full")
+    found = keep(_judged(hits(docs, items, window, block_bytes), coverage).where("n_hit > 0").select("doc_id", "digest", "spans", "contaminated").dropDuplicates(["doc_id", "digest"]), "hits")
+    same = lambda left, right: F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (
+        F.sha2(F.col(f"{left}.text").cast("binary"), 256) == F.col(f"{right}.digest"))
+    texts, spanned = docs.select("doc_id", "text").alias("t"), found.where("not contaminated").alias("s")
+    cut = texts.join(spanned, same("t", "s")).select("t.doc_id", "s.digest", "t.text", "s.spans").mapInArrow(_without_spans, _CUT_SCHEMA)
+    cut = keep(cut.dropDuplicates(["doc_id", "digest"]), "cut")
+    gone = found.where("contaminated").select("doc_id", "digest", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("clean_text"))
+    verdict = gone.union(cut.select("doc_id", "digest", F.lit(None).cast("boolean"), "clean_text"))
     columns = [F.coalesce("verdict.clean_text", "d.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     d, v = docs.alias("d"), verdict.alias("verdict")
-    return d.join(v, F.col("d.doc_id") == F.col("verdict.doc_id"), "left").where("verdict.gone is null").select(*columns)
+    return d.join(v, same("d", "verdict"), "left").where("verdict.gone is null").select(*columns)

@@ -75,3 +75,20 @@ def test_empty_tables(spark, make_docs):
     none = items.where("false")
     assert [r.contaminated for r in dc.contamination_report(make_docs(["a", None]), none).collect()] == [False, False]
     assert dc.decontaminated(make_docs(["a", None]), none).count() == 2
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, make_docs, block_bytes):
+    first, second = (" ".join(f"{c}{i}" for i in range(13)) for c in "pq")
+    filler = " ".join(f"f{i}" for i in range(400))
+    texts, ids = [first, f"{filler} one", f"{second} {filler}", first, filler, filler, second], [None, None, 4, 4, 4, 4, None]
+    items = spark.createDataFrame([(1, first), (2, second), (3, "x y z")], "item_id long, text string")
+    docs = make_docs(texts, ids=ids).selectExpr("*", "'c' AS digest", "1 AS times", "2 AS col", "true AS gone")
+    assert block_bytes > 1000 or len(list(dc.item_blocks(items, block_bytes))) > 1
+    rows = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in dc.contamination_report(docs, items, block_bytes=block_bytes).collect()]
+    want = [(None, 13, 13, 1, True), (None, 401, 0, 0, False), (4, 413, 13, 1, False), (4, 13, 13, 1, True), (4, 400, 0, 0, False), (4, 400, 0, 0, False), (None, 13, 13, 1, True)]
+    key = lambda r: str(r)
+    assert sorted(rows, key=key) == sorted(want, key=key)
+    left = dc.decontaminated(docs, items, block_bytes=block_bytes)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=key) == sorted([(None, f"{filler} one"), (4, f" {filler}"), (4, filler), (4, filler)], key=key)
