@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from innings_engine.llm import decontaminate, lexicon, repeats, simhash, toxicity
 from innings_engine.llm.queries import BYTE_TOKENIZER
-from innings_engine.llm.scratch import drop_written, table
+from innings_engine.llm.scratch import drop_written, keep, table
 from innings_engine.session import shared_folder
 
 
@@ -29,10 +29,18 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies; of rows that share this doc_id one, the same at any layout.
+
+    A row without a doc_id can't be named as a copy or as the head of a group: all such rows stay.
+    """
     drop_written(spark)
-    heads = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    heads = simhash.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    heads = keep(heads, "heads")
+    one = docs.join(heads.where("times = 1"), "doc_id", "left_semi").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.xxhash64(row))
+    several = docs.join(heads.where("times > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row")).select("row.*")
+    return one.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

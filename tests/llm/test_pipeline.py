@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from innings_engine.llm import toxicity, units
@@ -109,3 +110,15 @@ def test_empty_documents(spark, case, tmp_path):
         stage(spark, docs, case[0]).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_in_the_near_copy_stage(spark, make_docs):
+    rng = random.Random(22)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(80))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    docs = make_docs([a, a, a, b, b, c, d, d, None], ids=[1, 1, 2, None, None, 3, 5, 5, None]).withColumn("times", F.lit("x"))
+    docs = docs.union(docs.where("doc_id = 3").withColumn("text", F.lit(prose())))  # one id, two different texts
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()]
+    again = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_copies(spark, docs.repartition(5), "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sorted(i for i, _ in got if i is not None) == [1, 3, 5] and sorted(str(t) for i, t in got if i is None) == sorted([b, b, "None"])
