@@ -1,14 +1,19 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments. For each segment the operator enumerates the Hamming ball of radius 1 inside it and
-looks the result up in a table whose key is the whole fingerprint with that segment replaced. Two fingerprints at one or
-two differing bits always meet: if the bits lie in one segment, in the ball of that segment; if they lie in two, the first
-changed in one fingerprint gives the same key as the second changed in the other. The key holds the other segments too, so
-a table entry has at most 65 fingerprints whatever the data: large groups of near copies never make all their pairs.
-Neighbours in an entry are verified by their complete distance and linked in a chain; components are found by contraction.
+A fingerprint is cut into two segments of 32 bits. Two fingerprints that differ in at most two bits differ in at most one bit
+of some segment. So each segment has a table from its values to fingerprints, every fingerprint enumerates the 33 values of the
+Hamming ball of radius 1 around its own, fetches what the table holds for them, and the complete distance is verified.
+
+Most values of a ball aren't in the table; they go in the first join, with the distinct values alone. A value that more than
+``HOT`` fingerprints share is split by the other segment: its table is keyed by the value and every value within one bit of
+the entry's other segment. A probe with the same value asks there for the ball of its other segment (the rest may differ in two
+bits), a probe with one flipped bit for its other segment as it is (the rest may differ in one). That is complete as well, and an
+entry holds at most 33 fingerprints, so no value, however many share it, makes pairs that grow with the square of its
+fingerprints; one fingerprint has at most 2,080 others within two bits.
 
 Exact copies share one fingerprint and take part once. Documents without words have fingerprint zero and are linked like
-any other. Null text counts as empty; repeated doc_ids keep one row each; other columns are ignored.
+any other. Null text counts as empty; repeated doc_ids keep one row each, by their own texts; other columns are ignored. A row
+without doc_id keeps its row and links others, but names a component only by their doc_ids (null, if there are none).
 """
 from __future__ import annotations
 
@@ -17,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import words as wd
 from .components import components
@@ -27,8 +31,11 @@ from .scratch import keep
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 4
+SEGMENTS = 2
 RADIUS = 2
+WIDTH = 64 // SEGMENTS
+#: Fingerprints that share a segment value, from which its table is split by the other segment. Both ways are complete.
+HOT = 64
 #: Byte value to eight one-byte counters, lowest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
 _FULL = 255  # additions a one-byte counter holds
@@ -74,20 +81,53 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
 
 
-def ball(fp: str, segments: int = SEGMENTS) -> F.Column:
-    """Keys under which a fingerprint is found: itself and every change of one bit, segment by segment."""
-    width = 64 // segments
-    flips = [1 << (s * width + i) for s in range(segments) for i in range(width)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(F.lit(signed(x)).cast("long")) for x in flips])
+def _segment(fp: Column, which: int) -> Column:
+    """One segment's bits as a long; 0 is the lower one."""
+    return F.shiftrightunsigned(fp, WIDTH * which).bitwiseAND(F.lit((1 << WIDTH) - 1))
+
+
+def _ball(value: Column) -> list[Column]:
+    """A segment value and its changes of one bit."""
+    return [value, *[value.bitwiseXOR(F.lit(1 << i)) for i in range(WIDTH)]]
+
+
+def _both(fps: DataFrame, keys) -> DataFrame:
+    """(segment, key, fp) with the keys of either segment."""
+    rows = [F.struct(F.lit(s).alias("segment"), k.alias("key")) for s in range(SEGMENTS) for k in keys(_segment(F.col("fp"), s))]
+    return fps.select("fp", F.explode(F.array(*rows)).alias("at")).select("at.segment", "at.key", "fp")
+
+
+def _other(fp: str) -> Column:
+    """The bits outside the row's ``segment``."""
+    return F.when(F.col("segment") == 0, _segment(F.col(fp), 1)).otherwise(_segment(F.col(fp), 0))
+
+
+def candidates(distinct_fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), a < b, that meet in the table of some segment; every pair within two bits is among them."""
+    fps = distinct_fps.select("fp")
+    entries = keep(_both(fps, lambda v: [v]), "segments")
+    shared = entries.groupBy("segment", "key").agg(F.count("*").alias("held"))
+    same = F.col("key") == F.when(F.col("segment") == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1))
+    found = keep(_both(fps, _ball).join(shared, ["segment", "key"]).where((F.col("held") > 1) | ~same)
+                 .select("segment", "key", "fp", "held", same.alias("same")), "probes")
+    few, many = F.col("held") <= hot, F.col("held") > hot
+    table = entries.withColumnRenamed("fp", "other")
+    cold = found.where(few).join(table, ["segment", "key"]).where("fp < other").select("fp", "other")
+
+    split = keep(shared.where(many).select("segment", "key"), "hot")
+    listed = keep(table.join(split, ["segment", "key"], "left_semi")
+                  .select("segment", "key", "other", F.explode(F.array(*_ball(_other("other")))).alias("beside")), "split")
+    asked = found.where(many).select("segment", "key", "fp", F.explode(
+        F.when(F.col("same"), F.array(*_ball(_other("fp")))).otherwise(F.array(_other("fp")))).alias("beside"))
+    warm = asked.join(listed, ["segment", "key", "beside"]).where("fp < other").select("fp", "other")
+    return cold.union(warm).toDF("a", "b")
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints, enough of them to connect all that are within the radius."""
-    probes = distinct_fps.select("fp", F.explode(ball("fp")).alias("key"))
-    beside = Window.partitionBy("key").orderBy("fp")
-    met = probes.select("fp", F.lag("fp").over(beside).alias("other")).where("other is not null")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("other").alias("a"), F.col("fp").alias("b"))
+def links(distinct_fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Verified links (a, b) between all distinct fingerprints within ``radius`` bits; a link may come more than once."""
+    if not 0 <= radius <= 2:
+        raise ValueError("two segments with balls of one bit find all links up to two differing bits only")
+    return candidates(distinct_fps, hot).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

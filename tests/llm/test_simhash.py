@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 import xxhash
 
 from innings_engine.llm import simhash
@@ -84,3 +85,31 @@ def test_chain_and_no_edges(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert components(chain).select("root").distinct().count() == 1
     assert components(chain.where("false")).collect() == []
+
+
+def test_tables_hot_values_and_the_distance(spark):
+    rng = random.Random(3)
+    seen = {rng.getrandbits(64) for _ in range(30)}
+    for half in (0, 32):
+        shared = rng.getrandbits(32) << half
+        for _ in range(40):
+            x = shared | rng.getrandbits(32) << (32 - half)
+            seen |= {x, *(x ^ 1 << a ^ 1 << b for a, b in ((0, 0), (1, 40), (33, 35), (2, 3), (63, 63)))}
+            seen.add(x ^ 0b111 << 30)
+    fps = sorted(seen)
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    plain = lambda df: {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in df.collect()}
+    for hot in (1, 8, 1000):
+        assert plain(simhash.links(table, hot=hot)) == want
+        assert plain(simhash.candidates(table, hot)) > want
+    assert plain(simhash.links(table, radius=1)) == {(a, b) for a, b in want if (a ^ b).bit_count() == 1}
+    with pytest.raises(ValueError):
+        simhash.links(table, radius=3)
+
+
+def test_rows_without_doc_id_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "q r s t u v"), (4, "a b c"), (4, "z y x w"), (7, "a b c")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got) == [
+        (-1, -1), (-1, 4), (4, 4), (4, 4), (7, 4)]
