@@ -5,7 +5,7 @@ from ..functions import cricket as k
 from ..operators import delivery as d, store as st, windows as w
 from ..plans import forecast as fc
 from ..sources.delivery_log import OVER_KEY
-from .history_queries import _kind_sql
+from .history_queries import _ERA_SQL, _kind_sql, sql_shrunk
 from .log_queries import big, rounded, sql_big
 from .metric_queries import r6
 from ..plans.forecast import staged_log
@@ -43,7 +43,7 @@ def _slots(spark, sf):
 _STAYS, _TURNS = "b.batter IS NOT DISTINCT FROM w.on_name", "b.batter IS NOT DISTINCT FROM w.off_name"
 
 
-@query("striker_slot_tracked", f"""
+SQL_TRACKED = f"""
 WITH RECURSIVE b AS (SELECT match_id, innings, over_number, ball_number, batter, non_striker, runs_batter, batter_ball,
     row_number() OVER (PARTITION BY match_id, innings, over_number ORDER BY ball_number) AS k FROM fx),
 w AS (
@@ -56,7 +56,10 @@ w AS (
     CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_name ELSE w.off_name END, CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.slot ELSE w.off_slot END,
     CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_runs + w.runs_batter ELSE w.off_runs END,
     CASE WHEN NOT ({_STAYS}) AND {_TURNS} THEN w.on_balls + w.batter_ball ELSE w.off_balls END
-  FROM w JOIN b ON b.match_id = w.match_id AND b.innings = w.innings AND b.over_number = w.over_number AND b.k = w.k + 1)
+  FROM w JOIN b ON b.match_id = w.match_id AND b.innings = w.innings AND b.over_number = w.over_number AND b.k = w.k + 1)"""
+
+
+@query("striker_slot_tracked", SQL_TRACKED + """
 SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT) AS over_number, CAST(ball_number AS BIGINT) AS ball_number, batter,
   slot AS striker_slot, on_runs AS striker_live_runs, on_balls AS striker_live_balls, off_runs AS other_live_runs, off_balls AS other_live_balls FROM w""")
 def _tracked(spark, sf):
@@ -85,6 +88,85 @@ def _dataset(spark, sf):
                       *rounded(9, "live_current_run_rate", "live_required_run_rate", "batter_career_strike_rate", "bowler_career_economy"))
 
 
+# Statistics of a batter before a date, per over and role, from the raw log.
+def _as_of(columns, source, where=""):
+    """Sums of ``source`` before each probe of a batter."""
+    return f"(SELECT p.player, p.date, {columns} FROM bat_probe p LEFT JOIN {source} f ON f.player = p.player AND f.date < p.date {where} GROUP BY 1, 2)"
+
+
+_SHRUNK = {x: sql_shrunk(f"{x}.", "l.league_") for x in ("a", "s", "m", "pp", "mi", "de")}
+_PHASE_ALIAS = {"powerplay": "pp", "middle": "mi", "death": "de"}
+_FADE = lambda d, num: f"coalesce(sum(exp(-{d} * age) * {num}), 0) / greatest(coalesce(sum(exp(-{d} * age) * balls), 0), 1e-9)"
+_SUMS = ", ".join(f"CAST(coalesce(sum(f.{m}), 0) AS BIGINT) AS {m}" for m in MEASURES)
+cte("bat_faded", "SELECT player, date, " + ", ".join(
+    f"{_FADE(d, num)} AS ewma{str(d).replace('.', '_')}_{name}" for d in (0.15, 0.4)
+    for name, num in (("runs_per_ball", "runs"), ("boundary_rate", "boundaries"), ("dot_rate", "dots"))) + " FROM bat_form GROUP BY 1, 2")
+cte("met_before", f"""
+SELECT p.player, p.bowler, p.date, {_SUMS} FROM (
+  SELECT DISTINCT player, bowler, date FROM (SELECT batter AS player, bowler, date FROM opening UNION ALL SELECT non_striker, bowler, date FROM opening)) p
+LEFT JOIN bowl_ev f ON f.batter = p.player AND f.player = p.bowler AND f.date < p.date GROUP BY 1, 2, 3""")
+_BLOCK = {
+    **{f"career_{x}": _SHRUNK["a"][x] for x in ("strike_rate", "boundary_rate", "six_rate", "dot_rate")}, "career_balls": "a.balls",
+    "career_average": _SHRUNK["a"]["average"], "season_strike_rate": _SHRUNK["s"]["strike_rate"], "season_boundary_rate": _SHRUNK["s"]["boundary_rate"],
+    **{f"innings_{x}": f"CASE WHEN u.slot = 'batter' THEN i.batter_innings_{x} ELSE i.non_striker_innings_{x} END" for x in ("runs", "balls")},
+    "innings_sr": "CASE WHEN u.slot = 'batter' THEN 100 * i.batter_innings_runs / CAST(greatest(i.batter_innings_balls, 1) AS DOUBLE) "
+                  "ELSE 100 * i.non_striker_innings_runs / CAST(greatest(i.non_striker_innings_balls, 1) AS DOUBLE) END",
+    **{x: f"e.{x}" for x in ("ewma0_15_runs_per_ball", "ewma0_15_boundary_rate", "ewma0_15_dot_rate", "ewma0_4_runs_per_ball", "ewma0_4_boundary_rate")},
+    **{f"{phase}_sr": _SHRUNK[x]["strike_rate"] for phase, x in _PHASE_ALIAS.items()},
+    "matchup_strike_rate": _SHRUNK["m"]["strike_rate"], "matchup_balls": "m.balls",
+    "matchup_boundary_rate": _SHRUNK["m"]["boundary_rate"], "matchup_dot_rate": _SHRUNK["m"]["dot_rate"],
+    "sr_vs_era": f"{_SHRUNK['a']['strike_rate']} / greatest({_ERA_SQL['era_strike_rate']}, CAST(1e-9 AS DOUBLE))",
+    "mean_position": "q.mean_position", "position_now": "CASE WHEN u.slot = 'batter' THEN n.batter_position_now ELSE n.non_striker_position_now END",
+}
+cte("ends", f"""
+SELECT u.match_id, u.innings, u.over_number, u.slot, {_ERA_SQL['era_strike_rate']} AS league_rate, {', '.join(f'CAST({e} AS DOUBLE) AS {x}' for x, e in _BLOCK.items())}
+FROM (SELECT *, batter AS player, 'batter' AS slot FROM usable UNION ALL SELECT *, non_striker, 'non_striker' FROM usable) u
+JOIN league_asof l ON l.date = u.date JOIN bat_career a ON a.player = u.player AND a.date = u.date
+JOIN {_as_of(_SUMS, "bat_day", "AND f.season = year(p.date)")} s ON s.player = u.player AND s.date = u.date
+JOIN {" JOIN ".join(_as_of(_SUMS, "bat_ev", f"AND f.phase = '{ph}'") + f" {x} ON {x}.player = u.player AND {x}.date = u.date" for ph, x in _PHASE_ALIAS.items())}
+JOIN bat_faded e ON e.player = u.player AND e.date = u.date
+JOIN met_before m ON m.player = u.player AND m.bowler = u.bowler AND m.date = u.date
+JOIN (SELECT p.player, p.date, coalesce(sum(f.position), 0) / CAST(greatest(count(f.position), 1) AS DOUBLE) AS mean_position
+  FROM bat_probe p LEFT JOIN faced f ON f.batter = p.player AND f.date < p.date GROUP BY 1, 2) q ON q.player = u.player AND q.date = u.date
+JOIN insofar i ON i.match_id = u.match_id AND i.innings = u.innings AND i.over_number = u.over_number
+JOIN posnow n ON n.match_id = u.match_id AND n.innings = u.innings AND n.over_number = u.over_number""")
+_GATHERED = list(d.STRIKER_STATS)
+_UNKNOWN = {"career_strike_rate": "z.league_rate", "sr_vs_era": "1", "mean_position": "7", "position_now": "7"}
+_LIVE = ["striker_live_runs", "striker_live_balls", "other_live_runs", "other_live_balls"]
+_BALL_INT = ["innings", "over_number", "ball_number", *_IN_OVER, "illegal_in_over", "current_score", "current_wickets", "wickets_remaining",
+             "legal_balls_innings", "balls_remaining", "runs_required", "striker_is_replacement", *_LIVE, *_CLS]
+_BALL_FLOAT = ["current_run_rate", "required_run_rate", "required_minus_current_rate", "required_runs_per_wicket", "striker_live_sr"]
+_STATE_SQL = {
+    "illegal_in_over": "i.balls_in_over - i.legal_in_over", "wickets_remaining": "10 - f.current_wickets", "legal_balls_innings": "f.legal_balls_before",
+    "balls_remaining": "greatest(120 - f.legal_balls_before, 0)", "runs_required": "CASE WHEN f.target > 0 THEN greatest(f.target - f.current_score, 0) ELSE 0 END",
+    "current_run_rate": "6 * f.current_score / CAST(greatest(f.legal_balls_before, 1) AS DOUBLE)",
+    "required_run_rate": "CASE WHEN f.target > 0 THEN 6 * greatest(f.target - f.current_score, 0) / CAST(greatest(120 - f.legal_balls_before, 1) AS DOUBLE) ELSE 0 END",
+    "required_runs_per_wicket": "CASE WHEN f.target > 0 THEN greatest(f.target - f.current_score, 0) / CAST(greatest(10 - f.current_wickets, 1) AS DOUBLE) ELSE 0 END",
+}
+cte("ball_state", f"""
+SELECT f.*, {', '.join(f'{e} AS {x}' for x, e in _STATE_SQL.items())}, {', '.join(f'i.{x}' for x in _IN_OVER)},
+  CASE WHEN f.runs_batter IN (0,1,2,3,4) THEN f.runs_batter WHEN f.runs_batter = 6 THEN 5 ELSE 6 END AS target_runs,
+  least(f.runs_extras, 4) AS target_extras, CASE WHEN f.wides > 0 THEN 1 WHEN f.noballs > 0 THEN 2 ELSE 0 END AS target_legality,
+  CASE WHEN f.wicket > 0 THEN 1 ELSE 0 END AS target_wicket
+FROM st f JOIN inover i ON i.match_id = f.match_id AND i.innings = f.innings AND i.over_number = f.over_number AND i.ball_number = f.ball_number""")
+
+
+@query("striker_samples", SQL_TRACKED + f""",
+y AS (SELECT b.*, w.slot AS striker_slot, CASE WHEN w.slot = 'replacement' THEN 1 ELSE 0 END AS striker_is_replacement, w.on_runs AS striker_live_runs,
+    w.on_balls AS striker_live_balls, w.off_runs AS other_live_runs, w.off_balls AS other_live_balls, 100 * w.on_runs / CAST(greatest(w.on_balls, 1) AS DOUBLE) AS striker_live_sr,
+    CASE WHEN b.target > 0 THEN b.required_run_rate - b.current_run_rate ELSE 0 END AS required_minus_current_rate
+  FROM ball_state b JOIN w ON w.match_id = b.match_id AND w.innings = b.innings AND w.over_number = b.over_number AND w.ball_number = b.ball_number)
+SELECT y.match_id, y.batter AS striker, y.striker_slot, y.phase, y.bowler, {', '.join(f'CAST(y.{x} AS BIGINT) AS {x}' for x in _BALL_INT)},
+  {', '.join(f'round(y.{x}, 9) AS {x}' for x in _BALL_FLOAT)},
+  {', '.join(f"round(CASE WHEN y.striker_slot = 'replacement' THEN {_UNKNOWN.get(x, '0')} ELSE coalesce(z.{x}, 0) END, 9) AS striker_{x}" for x in _GATHERED)}
+FROM y JOIN ends z ON z.match_id = y.match_id AND z.innings = y.innings AND z.over_number = y.over_number
+  AND z.slot = CASE WHEN y.striker_slot = 'non_striker' THEN 'non_striker' ELSE 'batter' END""")
+def _striker_samples(spark, sf):
+    out = d.striker_samples(staged_log(spark, sf), fc.samples(spark, sf))
+    return out.select("match_id", "striker", "striker_slot", "phase", "bowler", *big(*_BALL_INT), *rounded(9, *_BALL_FLOAT),
+                      *rounded(9, *[f"striker_{x}" for x in _GATHERED]))
+
+
 @query("joint_structure", """
 WITH b AS (SELECT avg(CASE WHEN wicket > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS base FROM fx),
 l AS (SELECT CAST(least(greatest(runs_batter, 0), 6) AS BIGINT) AS key, avg(CASE WHEN wicket > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS w,

@@ -43,16 +43,17 @@ def rule_slots(log: DataFrame) -> DataFrame:
         F.coalesce(F.sum("batter_ball").over(w), F.lit(0)).alias("striker_live_balls"))
 
 
-def tracked_slots(log: DataFrame) -> DataFrame:
-    """Striker slot and live tallies by the ordered rule, ends tracked by name.
+def tracked_slots(log: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Striker slot and live tallies by the ordered rule, ends tracked by name; ``carry`` names further columns of a ball.
 
     A fold over the balls of each over, which are a handful: the end on strike, the other end, and the rows so far.
     """
+    types = {f.name: f.dataType.simpleString() for f in log.schema}
     end = "struct<name:string,slot:string,runs:bigint,balls:bigint>"
     row = ("struct<ball_number:int,batter:string,striker_slot:string,striker_live_runs:bigint,striker_live_balls:bigint,"
-           "other_live_runs:bigint,other_live_balls:bigint>")
+           "other_live_runs:bigint,other_live_balls:bigint" + "".join(f",{x}:{types[x]}" for x in carry) + ">")
     balls = log.groupBy(*OVER_KEY).agg(F.array_sort(F.collect_list(
-        F.struct("ball_number", "batter", "non_striker", "runs_batter", "batter_ball"))).alias("balls"))
+        F.struct(*dict.fromkeys(["ball_number", "batter", "non_striker", "runs_batter", "batter_ball", *carry])))).alias("balls"))
     first = F.element_at("balls", 1)
     fresh = lambda name, slot: F.struct(name.alias("name"), F.lit(slot).alias("slot"), F.lit(0).cast("bigint").alias("runs"),
                                         F.lit(0).cast("bigint").alias("balls")).cast(end)
@@ -61,7 +62,8 @@ def tracked_slots(log: DataFrame) -> DataFrame:
         stays, turns = ball["batter"].eqNullSafe(acc["on"]["name"]), ball["batter"].eqNullSafe(acc["off"]["name"])
         on = F.when(stays, acc["on"]).when(turns, acc["off"]).otherwise(fresh(ball["batter"], "replacement"))
         off = F.when(~stays & turns, acc["on"]).otherwise(acc["off"])
-        seen = F.struct(ball["ball_number"], ball["batter"], on["slot"], on["runs"], on["balls"], off["runs"], off["balls"]).cast(row)
+        seen = F.struct(ball["ball_number"], ball["batter"], on["slot"], on["runs"], on["balls"], off["runs"], off["balls"],
+                        *[ball[x] for x in carry]).cast(row)
         after = F.struct(on["name"], on["slot"], on["runs"] + ball["runs_batter"], on["balls"] + ball["batter_ball"]).cast(end)
         return F.struct(after.alias("on"), off.alias("off"), F.concat(acc["rows"], F.array(seen)).alias("rows"))
 
@@ -95,6 +97,70 @@ def delivery_dataset(log: DataFrame, overs: DataFrame) -> DataFrame:
     return rows.join(context.drop(*clash), OVER_KEY)
 
 
+# Statistics of whoever is on strike, and the context of the over that every ball keeps.
+STRIKER_STATS = (
+    "career_strike_rate", "career_boundary_rate", "career_six_rate", "career_dot_rate", "career_balls", "career_average",
+    "season_strike_rate", "season_boundary_rate", "innings_runs", "innings_balls", "innings_sr",
+    "ewma0_15_runs_per_ball", "ewma0_15_boundary_rate", "ewma0_15_dot_rate", "ewma0_4_runs_per_ball", "ewma0_4_boundary_rate",
+    "powerplay_sr", "middle_sr", "death_sr", "matchup_strike_rate", "matchup_balls", "matchup_boundary_rate", "matchup_dot_rate",
+    "sr_vs_era", "mean_position", "position_now")
+BALL_CONTEXT = (
+    "chase_target", "venue_run_rate", "venue_phase_run_rate", "venue_boundary_rate", "venue_wicket_rate", "venue_over_run_rate",
+    "era_strike_rate", "era_economy", "team_run_rate", "opposition_run_rate", "bowler_career_economy", "bowler_career_dot_rate",
+    "bowler_career_boundary_rate", "bowler_career_six_rate", "bowler_career_balls", "bowler_season_economy",
+    "bowler_powerplay_economy", "bowler_middle_economy", "bowler_death_economy", "bowler_ewma0_15_economy",
+    "bowler_ewma0_4_economy", "bowler_economy_vs_era", "bowler_match_economy", "bowler_overs_bowled_this_match")
+BALL_NAMES = ("phase", "bowler", "venue", "team_batting", "team_bowling")
+#: A replacement has no record in the row of the over: the league's strike rate, position seven and zeros stand for it.
+UNKNOWN_POSITION, UNKNOWN_STRIKE_RATE = 7.0, 125.0
+
+
+def striker_samples(log: DataFrame, overs: DataFrame) -> DataFrame:
+    """One row per ball of every usable over: 81 inputs of an outcome model and four outcome classes.
+
+    The statistics of the batter on strike are gathered by the tracked slot from the row of the over; within the over only
+    earlier balls count. The log is shuffled once, by over: fold, tallies and the join with the overs share it.
+    """
+    c = F.col
+    outcome = ("runs_batter", "runs_extras", "runs_total", "wides", "noballs", "wicket", "legal", "boundary", "six")
+    balls = tracked_slots(log, outcome)
+    balls = balls.select(
+        *OVER_KEY, "ball_number", c("batter").alias("striker"), "striker_slot",
+        "striker_live_runs", "striker_live_balls", "other_live_runs", "other_live_balls", *[v.alias(n) for n, v in in_over_columns().items()],
+        k.run_class(c("runs_batter")).alias("target_runs"), k.extra_class(c("runs_extras")).alias("target_extras"),
+        k.legality_class(c("wides"), c("noballs")).alias("target_legality"), k.flag(c("wicket") > 0).alias("target_wicket"))
+    roles = [f"{r}_{s}" for r in ("batter", "non_striker") for s in STRIKER_STATS]
+    state = ["current_score", "current_wickets", "legal_balls_before"]
+    context = overs.select(*OVER_KEY, "date", "season", *BALL_CONTEXT, *BALL_NAMES,
+                           *[c(x).alias(f"_{x}") for x in (*roles, *state)])
+    rows = balls.join(context, OVER_KEY)
+
+    era = F.when(c("era_strike_rate") != 0, c("era_strike_rate")).otherwise(UNKNOWN_STRIKE_RATE)
+    unknown = {"career_strike_rate": era, "sr_vs_era": F.lit(1.0), "mean_position": F.lit(UNKNOWN_POSITION), "position_now": F.lit(UNKNOWN_POSITION)}
+
+    def on_strike(stat: str) -> Column:
+        own = lambda role: F.coalesce(c(f"_{role}_{stat}").cast("double"), F.lit(0.0))
+        return F.when(c("striker_slot") == "batter", own("batter")).when(c("striker_slot") == "non_striker", own("non_striker")) \
+            .otherwise(unknown.get(stat, F.lit(0.0)))
+
+    rows = rows.withColumns({
+        "current_score": c("_current_score") + c("runs_in_over"), "current_wickets": c("_current_wickets") + c("wickets_in_over"),
+        "legal_balls_innings": c("_legal_balls_before") + c("legal_in_over")})
+    chase = k.chase_columns(F.coalesce(c("chase_target"), F.lit(0)), c("current_score"), c("legal_balls_innings"), c("current_wickets"))
+    chase["balls_remaining"] = F.greatest(F.lit(0), chase["balls_remaining"])
+    kept = ("wickets_remaining", "balls_remaining", "current_run_rate", "runs_required", "required_run_rate",
+            "required_minus_current_rate", "required_runs_per_wicket")
+    tallies = ("legal_in_over", "balls_in_over", "runs_in_over", "wickets_in_over", "boundaries_in_over", "sixes_in_over")
+    return rows.select(
+        *OVER_KEY, "ball_number", "striker", "date", "season", *BALL_CONTEXT, *BALL_NAMES,
+        *[on_strike(x).alias(f"striker_{x}") for x in STRIKER_STATS],
+        "striker_slot", k.flag(c("striker_slot") == "replacement").alias("striker_is_replacement"),
+        *tallies, (c("balls_in_over") - c("legal_in_over")).alias("illegal_in_over"),
+        "current_score", "current_wickets", "legal_balls_innings", *[chase[x].alias(x) for x in kept],
+        "striker_live_runs", "striker_live_balls", (100 * c("striker_live_runs") / k.at_least(c("striker_live_balls"))).alias("striker_live_sr"),
+        "other_live_runs", "other_live_balls", "target_runs", "target_extras", "target_legality", "target_wicket")
+
+
 def joint_structure(log: DataFrame) -> DataFrame:
     """How wickets and extras depend on runs and legality, as (measure, key, value) rows."""
     c = F.col
