@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import words as wd
 from .scratch import keep
@@ -222,24 +223,25 @@ def contamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-_CUT_SCHEMA = "doc_id long, digest string, clean_text string"
-
-
-def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in wd.slices(batch):
-            cut = wd.cut(part.column("text"), wd.SYMBOLS, lower=True)
-            body, offsets = wd.text_bytes(part.column("text"))
-            texts = []
-            for d, spans in enumerate(part.column("spans").to_pylist()):
-                at, out = int(offsets[d]), []
-                for s in spans:
-                    a, b = int(cut.docs[d]) + s["a"], int(cut.docs[d]) + s["b"] - 1
-                    out.append(body[at:cut.starts[a]].tobytes())
-                    at = int(cut.starts[b] + cut.lengths[b])
-                out.append(body[at:offsets[d + 1]].tobytes())
-                texts.append(b"".join(out).decode())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(texts, pa.string())], ["doc_id", "digest", "clean_text"])
+@F.arrow_udf(StringType())
+def _without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans; null where there are no spans, so that other texts needn't be sent here."""
+    out: list[str | None] = []
+    for part in wd.slices(pa.RecordBatch.from_arrays([text, spans], ["text", "spans"])):
+        cut = wd.cut(part.column("text"), wd.SYMBOLS, lower=True)
+        body, offsets = wd.text_bytes(part.column("text"))
+        for d, own in enumerate(part.column("spans").to_pylist()):
+            if own is None:
+                out.append(None)
+                continue
+            at, kept = int(offsets[d]), []
+            for s in own:
+                a, b = int(cut.docs[d]) + s["a"], int(cut.docs[d]) + s["b"] - 1
+                kept.append(body[at:cut.starts[a]].tobytes())
+                at = int(cut.starts[b] + cut.lengths[b])
+            kept.append(body[at:offsets[d + 1]].tobytes())
+            out.append(b"".join(kept).decode())
+    return pa.array(out, pa.string())
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -247,11 +249,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
     found = keep(_judged(hits(docs, items, window, block_bytes), coverage).where("n_hit > 0").select("doc_id", "digest", "spans", "contaminated").dropDuplicates(["doc_id", "digest"]), "hits")
     same = lambda left, right: F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (
         F.sha2(F.col(f"{left}.text").cast("binary"), 256) == F.col(f"{right}.digest"))
-    texts, spanned = docs.select("doc_id", "text").alias("t"), found.where("not contaminated").alias("s")
-    cut = texts.join(spanned, same("t", "s")).select("t.doc_id", "s.digest", "t.text", "s.spans").mapInArrow(_without_spans, _CUT_SCHEMA)
-    cut = keep(cut.dropDuplicates(["doc_id", "digest"]), "cut")
-    gone = found.where("contaminated").select("doc_id", "digest", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("clean_text"))
-    verdict = gone.union(cut.select("doc_id", "digest", F.lit(None).cast("boolean"), "clean_text"))
-    columns = [F.coalesce("verdict.clean_text", "d.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    d, v = docs.alias("d"), verdict.alias("verdict")
-    return d.join(v, same("d", "verdict"), "left").where("verdict.gone is null").select(*columns)
+    # One join by row; only texts that lose spans go through Python.
+    d, v = docs.alias("d"), found.alias("verdict")
+    kept = d.join(v, same("d", "verdict"), "left").where("verdict.contaminated is null or not verdict.contaminated")
+    spans = F.col("verdict.spans")
+    clean = F.coalesce(_without_spans(F.when(spans.isNotNull(), F.col("d.text")), spans), F.col("d.text"))
+    return kept.select(*[clean.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
