@@ -94,7 +94,7 @@ def delivery_dataset(log: DataFrame, overs: DataFrame) -> DataFrame:
         k.run_class(c("runs_batter")).alias("target_runs"), k.extra_class(c("runs_extras")).alias("target_extras"),
         k.legality_class(c("wides"), c("noballs")).alias("target_legality"), k.flag(c("wicket") > 0).alias("target_wicket"))
     clash = [x for x in rows.columns if x in taken and x not in OVER_KEY]
-    return rows.join(context.drop(*clash), OVER_KEY)
+    return rows.join(context.drop(*clash).hint("merge"), OVER_KEY)     # a written log is far larger than its files: never broadcast
 
 
 # Statistics of whoever is on strike, and the context of the over that every ball keeps.
@@ -133,7 +133,7 @@ def striker_samples(log: DataFrame, overs: DataFrame) -> DataFrame:
     state = ["current_score", "current_wickets", "legal_balls_before"]
     context = overs.select(*OVER_KEY, "date", "season", *BALL_CONTEXT, *BALL_NAMES,
                            *[c(x).alias(f"_{x}") for x in (*roles, *state)])
-    rows = balls.join(context, OVER_KEY)
+    rows = balls.join(context.hint("merge"), OVER_KEY)     # a written log is far larger than its files: never broadcast
 
     era = F.when(c("era_strike_rate") != 0, c("era_strike_rate")).otherwise(UNKNOWN_STRIKE_RATE)
     unknown = {"career_strike_rate": era, "sr_vs_era": F.lit(1.0), "mean_position": F.lit(UNKNOWN_POSITION), "position_now": F.lit(UNKNOWN_POSITION)}
