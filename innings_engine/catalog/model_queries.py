@@ -25,7 +25,7 @@ WITH f AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBL
 SELECT feature, CASE """ + " ".join(f"WHEN feature = '{f}' THEN '{n}'" for f, n in _FAMILY_OF.items()) + """ ELSE 'base' END AS family,
   count(*) AS n, round(avg(value), 6) AS mean FROM f GROUP BY 1, 2""")
 def _families(spark, sf):
-    long = e.unpivot(fc.samples(spark, sf), [], list(_FAMILY_OF))
+    long = e.unpivot(fc.samples(spark, sf, fc.REPORT), [], list(_FAMILY_OF))
     per = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
     families = ot.feature_families(staged_log(spark, sf))
     return r6(per.withColumn("family", e.family(F.col("feature"), families)))
@@ -33,7 +33,7 @@ def _families(spark, sf):
 
 @query("categorical_fill", "SELECT coalesce(nullif(venue, 'V3'), 'unknown') AS venue, count(*) AS n, round(avg(target_next_over_runs), 6) AS mean_runs FROM smp GROUP BY 1")
 def _fill(spark, sf):
-    df = fc.samples(spark, sf).withColumn("venue", F.when(F.col("venue") != "V3", F.col("venue")))
+    df = fc.samples(spark, sf, fc.STATE).withColumn("venue", F.when(F.col("venue") != "V3", F.col("venue")))
     filled = e.fill_categories(df, ["venue", "no_such_column"])
     return r6(filled.groupBy("venue").agg(F.count(F.lit(1)).alias("n"), F.avg(fc.TARGET).alias("mean_runs")))
 
@@ -42,7 +42,7 @@ def _fill(spark, sf):
 WITH c AS (SELECT venue, row_number() OVER (ORDER BY venue) - 1 AS code FROM (SELECT DISTINCT venue FROM smp WHERE "partition" = 'train' AND venue <> 'V3'))
 SELECT s.venue, CAST(coalesce(c.code, -1) AS BIGINT) AS code, count(*) AS n FROM smp s LEFT JOIN c ON c.venue = s.venue WHERE "partition" = 'test' GROUP BY 1, 2""")
 def _ordinal(spark, sf):
-    df = fc.samples(spark, sf)
+    df = fc.samples(spark, sf, fc.STATE)
     codes = e.ordinal_codes(df.filter((F.col("partition") == "train") & (F.col("venue") != "V3")), "venue")
     out = e.ordinal_encode(df.filter(F.col("partition") == "test"), codes, "venue", "code")
     return out.groupBy("venue", F.col("code").cast("bigint").alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -53,7 +53,7 @@ SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, """ + ", ".join(
     f"round(exp(-ln(2) * date_diff('day', date, (SELECT max(date) FROM smp WHERE \"partition\" = 'train')) / CAST({h} AS DOUBLE)), 9) AS weight_{h}" for h in e.HALF_LIVES)
     + " FROM smp WHERE \"partition\" = 'train' GROUP BY date")
 def _recency(spark, sf):
-    train = fc.samples(spark, sf).filter(F.col("partition") == "train")
+    train = fc.samples(spark, sf, fc.STATE).filter(F.col("partition") == "train")
     newest = train.agg(F.max("date")).scalar()
     per = train.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     return per.select(F.col("date").cast("string").alias("date"), "n", *[
@@ -66,7 +66,7 @@ cte("zs", "SELECT row_key, " + ", ".join(f"{z} AS {f}" for f, z in _Z.items()) +
 
 
 def standardized(spark, sf):
-    df = fc.samples(spark, sf)
+    df = fc.samples(spark, sf, fc.REPORT)
     return e.standardize(df.filter(F.col("partition") == "test"), df.filter(F.col("partition") == "train"), FEATURES)
 
 
@@ -87,7 +87,7 @@ def _top(spark, sf):
 SELECT match_id, CAST(innings AS BIGINT) AS innings, CAST(over_number AS BIGINT) AS over_number, CAST({fc.TARGET} AS BIGINT) AS {fc.TARGET} FROM smp
 ORDER BY md5(concat_ws('/', match_id, innings, over_number, '20260907')), match_id, innings, over_number LIMIT 200""")
 def _sample(spark, sf):
-    out = e.seeded_sample(fc.samples(spark, sf).select(*OVER_KEY, fc.TARGET), OVER_KEY, 200, 20260907)
+    out = e.seeded_sample(fc.samples(spark, sf, fc.STATE).select(*OVER_KEY, fc.TARGET), OVER_KEY, 200, 20260907)
     return out.select("match_id", *big("innings", "over_number", fc.TARGET))
 
 
@@ -115,7 +115,7 @@ _SCORE = "round(12.5 - over_number * 0.25 - current_wickets * CAST(0.5 AS DOUBLE
 def _dedup_score(spark, sf):
     c = F.col
     score = 12.5 - c("over_number") * 0.25 - c("current_wickets") * 0.5 + F.when(c("phase") == "death", 3).otherwise(0)
-    out = e.distinct_score_join(fc.samples(spark, sf), ["phase", "over_number", "current_wickets"], {"score": score})
+    out = e.distinct_score_join(fc.samples(spark, sf, fc.STATE), ["phase", "over_number", "current_wickets"], {"score": score})
     # over_number is part of both the state and the row key, so the key is built after the join
     return out.select(fc.row_key().alias("row_key"), F.round("score", 6).alias("score"))
 
@@ -139,7 +139,7 @@ cte("val", "SELECT * FROM pw WHERE \"partition\" = 'validation'")
 WITH g AS (SELECT i, avg(abs(y - ((1 - i * CAST(0.05 AS DOUBLE)) * {D} + i * CAST(0.05 AS DOUBLE) * {C}))) AS mae FROM val, (SELECT unnest(range(21)) AS i) u GROUP BY 1)
 SELECT round(i * CAST(0.05 AS DOUBLE), 6) AS weight, round(mae, 6) AS mae, CAST(CASE WHEN i = (SELECT i FROM g ORDER BY round(mae, 9), i LIMIT 1) THEN 1 ELSE 0 END AS BIGINT) AS best FROM g""")
 def _blend(spark, sf):
-    errors = b.grid_errors(part(spark, sf, "validation"), "y", [D, C], b.blend_grid())
+    errors = b.grid_errors(part(spark, sf, "validation", fc.HISTORY), "y", [D, C], b.blend_grid())
     best = errors.agg(F.min(F.struct(F.round("mae", 9), "index"))["index"]).scalar()
     return errors.select(F.round(F.col("index") * 0.05, 6).alias("weight"), F.round("mae", 6).alias("mae"),
                          (F.col("index") == best).cast("bigint").alias("best"))
@@ -164,9 +164,9 @@ SELECT m.model, round(CASE WHEN round(fin.mae, 9) < round(single.mae, 9) THEN m.
   round(least(fin.mae, single.mae), 6) AS mae
 FROM ({' UNION ALL '.join(f"SELECT '{x}' AS model, w{i} AS w FROM fin" for i, x in enumerate(fc.MODELS))}) m, fin, single""")
 def _simplex(spark, sf):
-    weights, mae = b.simplex_search(part(spark, sf, "validation"), "y", fc.MODELS)
+    weights, mae = b.simplex_search(part(spark, sf, "validation", fc.HISTORY), "y", fc.MODELS)
     cells = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(round(w, 6)).alias("weight")) for n, w in weights.items()])
-    base = part(spark, sf, "validation").agg(F.count(F.lit(1)).alias("_n"))
+    base = part(spark, sf, "validation", fc.HISTORY).agg(F.count(F.lit(1)).alias("_n"))
     return base.select(F.explode(cells).alias("c")).select("c.model", F.abs("c.weight").alias("weight"), F.lit(round(mae, 6)).alias("mae"))
 
 
@@ -180,13 +180,13 @@ _SUM4 = "(c_batter_runs + c_non_striker_runs + c_extras + c_other_batters)"
 
 def with_components(spark, sf, partition):
     """Component means per over number (at most twenty rows) joined to one partition."""
-    df = fc.predictions(spark, sf)
+    df = fc.predictions(spark, sf, fc.HISTORY)
     return df.filter(F.col("partition") == partition).join(F.broadcast(component_means(spark, sf)), "over_number")
 
 
 def component_means(spark, sf):
     rate = F.avg(F.col("target_batter_runs") / F.greatest(F.col("target_batter_balls"), F.lit(1))).alias("c_rate")
-    return fc.predictions(spark, sf).filter(F.col("partition") == "train").groupBy("over_number").agg(
+    return fc.predictions(spark, sf, fc.HISTORY).filter(F.col("partition") == "train").groupBy("over_number").agg(
         *[F.avg(t).alias(f"c_{n}") for n, t in _PARTS.items()], rate)
 
 
@@ -267,7 +267,7 @@ def _arm_sql(a):
 
 @query("walk_forward", "SELECT *, row_number() OVER (ORDER BY pooled_mae, arm) AS rank FROM (" + " UNION ALL ".join(_arm_sql(a) for a in fc.MODELS) + ")")
 def _walk_forward(spark, sf):
-    df = fc.samples(spark, sf)
+    df = fc.samples(spark, sf, fc.HISTORY)
     labels = s.walk_forward_labels(df, strategies=["refit_plus"]).drop("strategy")      # one row per day and fold
     rows = df.drop("partition").join(F.broadcast(labels), "date")
     fitted = rows.filter(F.col("partition").isin(s.FITTED)).groupBy("test_season", "over_number").agg(
@@ -355,7 +355,7 @@ def _monitoring(spark, sf):
     wicket = pb.event_table(spark, sf).filter(c("task") == "wicket").select("row_key", c("y").alias("wicket"), c("p").alias("wicket_p"))
     lo, hi = m.interval_columns(c(C), F.lit(6.0))
     version = F.when((c("over_number") == 20) & (c("innings") == 2), "v2").when(c("over_number") % 2 == 0, "v0").otherwise("v1")
-    rows = part(spark, sf).withColumn("row_key", fc.row_key())
+    rows = part(spark, sf, groups=fc.HISTORY).withColumn("row_key", fc.row_key())
     # Two logs: every prediction, and the outcomes reported so far; predictions without one await it.
     predictions = rows.select("row_key", version.alias("version"), c(C).alias("p"), lo.alias("lower"), hi.alias("upper")).join(wicket, "row_key")
     outcomes = rows.filter(c("over_number") != 7).select("row_key", "y")
@@ -370,7 +370,7 @@ SELECT row_key, CAST(date AS VARCHAR) || ' - ' || team_batting || ' - over ' ||
 FROM test_wide WHERE match_id IN (SELECT match_id FROM last2)""")
 def _replay(spark, sf):
     from ..plans.replay import last_matches, replay_rows
-    test = part(spark, sf)
+    test = part(spark, sf, groups=fc.HISTORY)
     names = test.select(F.explode(F.array("batter", "non_striker", "bowler")).alias("player_id")).distinct() \
         .withColumn("display_name", F.concat(F.lit("Player "), "player_id"))
     rows = replay_rows(last_matches(test, 2), names, C)
