@@ -47,3 +47,13 @@ def test_state_before_an_over_is_that_of_its_first_ball(log):
     slow = w.over_starts(w.running_state(log)).select(*names)
     fast = ot.overs_in_one_pass(log, ()).select(*names)
     assert slow.exceptAll(fast).isEmpty() and fast.exceptAll(slow).isEmpty()
+
+
+def test_only_one_join_of_the_full_table_is_wide(log):
+    """As-of tables come in as one struct each: their joins don't copy hundreds of columns."""
+    def widths(node):
+        here = [node.output().size()] if node.nodeName() == "Join" else []
+        children = node.children()
+        return here + [x for i in range(children.size()) for x in widths(children.apply(i))]
+    found = widths(ot.over_samples(log)._jdf.queryExecution().analyzed())
+    assert len(found) > 15 and sum(x > 60 for x in found) == 1        # the overs and the totals of the league, before anything is packed
