@@ -22,11 +22,12 @@ class Prepared(NamedTuple):
 def prepare(texts: DataFrame, venue_names: Mapping[str, str] | None = None, team_names: Mapping[str, str] | None = None) -> Prepared:
     """Duplicates out, matches judged, the rest flattened, deliveries that break a rule set apart.
 
-    ``texts`` is (match_id, text). The fingerprints are written once; deduplication and parsing both read them.
+    ``texts`` is (match_id, text). The fingerprints are written once, as deduplication reads them twice, and so are the judged
+    documents: log, quarantine and exclusions read them without parsing again.
     """
     marked = written(n.fingerprinted(texts.select("match_id", "text")), "documents")
     kept, dropped = n.drop_duplicates_first(marked, "fingerprint", "match_id")
-    judged = n.judge(parse_documents(kept))
+    judged = written(n.judge(parse_documents(kept)), "judged")
     flat = n.flatten(judged.filter("reason IS NULL"), venue_names, team_names)
     good, bad = divide(flat, {**n.identity_rules(), **n.accounting_rules()})
     return Prepared(good.drop("unknown_names", "extras_sum"), dropped.select("match_id", "fingerprint"), n.exclusions(judged), bad)

@@ -16,9 +16,13 @@ DOCUMENT = f"struct<info:{INFO},innings:array<{INNINGS}>>"
 
 
 def parse_documents(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``match_id`` and the parsed document; null for text that is not JSON as a whole, of which nothing is kept."""
+    """``match_id`` and the parsed document; null for text that is not JSON as a whole, of which nothing is kept.
+
+    The document comes out of a generator of one row: a later filter is not pushed below it, which would parse the text
+    once more for every field that the filter reads.
+    """
     whole = F.try_parse_json(text).isNotNull()
-    return texts.select("match_id", F.when(whole, F.from_json(text, DOCUMENT)).alias("doc"))
+    return texts.select("match_id", F.explode(F.array(F.when(whole, F.from_json(text, DOCUMENT)))).alias("doc"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +52,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("match_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
+def write_lines(texts: DataFrame, path: str, per_file: int = 4096) -> None:
+    """Bulk form of ``write_files``: one JSON object (match_id, text) a line, at most ``per_file`` documents in a compressed file.
+
+    A file per document costs a folder, a rename and a listing on the driver for each.
+    """
+    texts.select("match_id", "text").write.option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(match_id, text) of the documents that ``write_lines`` wrote, exactly as they were, nulls and repeated ids included."""
+    return spark.read.schema("match_id string, text string").json(path)
+
+
 def unreadable_reason(text: str = "text") -> Column:
     """Why a text can't be read as a document; null if it can."""
     blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""

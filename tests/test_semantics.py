@@ -303,6 +303,25 @@ def test_document_files_and_packing(spark, tmp_path):
     assert sorted((r.match_id, r.reason, r.bytes) for r in bad) == [("blank", "empty", 1), ("none", "empty", 0), ("torn", "not_json", 6)]
 
 
+def test_document_lines_round_trip_in_few_files(spark, tmp_path):
+    """Many documents a file; ids and texts as they are, nulls, line breaks and repeated ids included."""
+    rows = [("p/q=1 é", '{"a": "x\ny"}'), ("torn", '{"a": '), ("blank", " "), ("none", ""), ("null", None), (None, "[0]"), (None, None), ("twice", "[1]"), ("twice", "[2]")]
+    rows += [(f"m{i}", f'{{"a": {i}}}') for i in range(200)]
+    docs.write_lines(spark.createDataFrame(rows, "match_id string, text string").coalesce(2), str(tmp_path / "lines"), per_file=100)
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = docs.read_lines(spark, str(tmp_path / "lines")).collect()
+    assert sorted(((r.match_id, r.text) for r in got), key=key) == sorted(rows, key=key)
+    assert 2 <= len(list((tmp_path / "lines").glob("part-*"))) <= 4
+
+
+def test_a_filter_on_what_was_parsed_does_not_parse_again(spark, sf):
+    """Predicates that read the document stay above its parsing."""
+    from innings_engine.catalog import load
+    queries = load()[0]
+    for name in ("noncontiguous_groups", "exclusion_reasons", "normalize_nested"):
+        assert queries[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1, name
+
+
 def document(**info):
     base = {"dates": ["2020-01-01"], "match_type": "T20", "venue": "G", "teams": ["A", "B"], "registry": {"people": {"p": "1", "q": "2", "r": "3"}}}
     base.update(info)
