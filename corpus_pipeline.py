@@ -31,11 +31,12 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; of rows that share this doc_id one, the same at any layout.
 
-    A row without a doc_id can't be named as a copy or as the head of a group: all such rows stay.
+    A row without a doc_id can't be named as a copy or as the head of a group: all such rows stay. The heads grow with the
+    documents, so they are merged and never broadcast; both joins read one shuffle of the documents.
     """
     drop_written(spark)
     heads = simhash.near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    heads = keep(heads, "heads")
+    heads = keep(heads, "heads").hint("merge")
     one = docs.join(heads.where("times = 1"), "doc_id", "left_semi").select(*docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.struct(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.xxhash64(row))

@@ -249,8 +249,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
     found = keep(_judged(hits(docs, items, window, block_bytes), coverage).where("n_hit > 0").select("doc_id", "digest", "spans", "contaminated").dropDuplicates(["doc_id", "digest"]), "hits")
     same = lambda left, right: F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (
         F.sha2(F.col(f"{left}.text").cast("binary"), 256) == F.col(f"{right}.digest"))
-    # One join by row; only texts that lose spans go through Python.
-    d, v = docs.alias("d"), found.alias("verdict")
+    # One join by row, merged as verdicts grow with the documents; only texts that lose spans go through Python.
+    d, v = docs.alias("d"), found.alias("verdict").hint("merge")
     kept = d.join(v, same("d", "verdict"), "left").where("verdict.contaminated is null or not verdict.contaminated")
     spans = F.col("verdict.spans")
     clean = F.coalesce(_without_spans(F.when(spans.isNotNull(), F.col("d.text")), spans), F.col("d.text"))
