@@ -57,3 +57,12 @@ def test_only_one_join_of_the_full_table_is_wide(log):
         return here + [x for i in range(children.size()) for x in widths(children.apply(i))]
     found = widths(ot.over_samples(log)._jdf.queryExecution().analyzed())
     assert len(found) > 15 and sum(x > 60 for x in found) == 1        # the overs and the totals of the league, before anything is packed
+
+
+def test_overs_are_not_shuffled_for_the_as_of_probabilities(spark, sf):
+    """The as-of tables have a row per key and date; their size is known before the overs are joined."""
+    from innings_engine.plans import probabilities as pb
+    overs = fc.samples(spark, sf, fc.STATE)
+    for rates, name in ((pb.event_rates, "bowler_events"), (pb.bucket_rates, "phase_buckets")):
+        df = rates(overs)
+        assert any(f"/stage-{name}-" in x for x in df.inputFiles()) and "SortMergeJoin" not in plan_of(df), name
