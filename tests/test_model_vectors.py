@@ -28,7 +28,7 @@ def test_vectors_equal_the_full_table(spark, sf):
 def test_rounding_is_that_of_spark(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=4000), rng.integers(-8_000_000, 8_000_000, 4000) / 1e6 + 5e-7, [0.0, -0.0, -2e-7, 8.0, -8.0, .0000005]])
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "mine": e.half_up(x)}))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "mine": e.half_up()(x)}))
     assert df.filter(F.round("x", 6) != F.col("mine")).isEmpty()
 
 
