@@ -108,18 +108,19 @@ def candidates(distinct_fps: DataFrame, hot: int = HOT) -> DataFrame:
     entries = keep(_both(fps, lambda v: [v]), "segments")
     shared = entries.groupBy("segment", "key").agg(F.count("*").alias("held"))
     same = F.col("key") == F.when(F.col("segment") == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1))
-    found = keep(_both(fps, _ball).join(shared, ["segment", "key"]).where((F.col("held") > 1) | ~same)
+    # Spark sizes an exploded table by its input, 66 times too low: whatever meets one is merged, never broadcast.
+    found = keep(_both(fps, _ball).join(shared.hint("merge"), ["segment", "key"]).where((F.col("held") > 1) | ~same)
                  .select("segment", "key", "fp", "held", same.alias("same")), "probes")
     few, many = F.col("held") <= hot, F.col("held") > hot
     table = entries.withColumnRenamed("fp", "other")
-    cold = found.where(few).join(table, ["segment", "key"]).where("fp < other").select("fp", "other")
+    cold = found.where(few).join(table.hint("merge"), ["segment", "key"]).where("fp < other").select("fp", "other")
 
     split = keep(shared.where(many).select("segment", "key"), "hot")
     listed = keep(table.join(split, ["segment", "key"], "left_semi")
                   .select("segment", "key", "other", F.explode(F.array(*_ball(_other("other")))).alias("beside")), "split")
     asked = found.where(many).select("segment", "key", "fp", F.explode(
         F.when(F.col("same"), F.array(*_ball(_other("fp")))).otherwise(F.array(_other("fp")))).alias("beside"))
-    warm = asked.join(listed, ["segment", "key", "beside"]).where("fp < other").select("fp", "other")
+    warm = asked.join(listed.hint("merge"), ["segment", "key", "beside"]).where("fp < other").select("fp", "other")
     return cold.union(warm).toDF("a", "b")
 
 
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = keep(with_fingerprints(docs), "fingerprints")
     classes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     roots = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = keep(rooted.join(heads, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

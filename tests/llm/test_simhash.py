@@ -113,3 +113,15 @@ def test_rows_without_doc_id_and_repeated_ids(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got) == [
         (-1, -1), (-1, 4), (4, 4), (4, 4), (7, 4)]
+
+
+def test_exploded_tables_are_never_broadcast(spark, monkeypatch):
+    """An exploded table is far larger than the size Spark plans with, so nothing that meets one may be sent through the driver."""
+    plans = []
+    written = simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or written(df, name))
+    found = simhash.candidates(spark.createDataFrame([(i * 7919,) for i in range(50)], "fp long"), hot=8)
+    plans.append(("pairs", found._jdf.queryExecution().sparkPlan().toString()))
+    seen = dict(plans)
+    for name, joins in (("probes", 1), ("pairs", 2)):
+        assert "Broadcast" not in seen[name] and seen[name].count("SortMergeJoin") == joins, seen[name]
