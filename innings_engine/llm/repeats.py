@@ -221,11 +221,12 @@ def removals(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     records = parsed.select("doc_id", F.inline("records"))
     shared = records.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("symbol")
     # Kept first: a join of two plain exchanges is split where a symbol is hot, one of an aggregate is not.
-    seen = keep(records.join(keep(shared, "symbols"), "symbol"), "shared")
+    # Symbols, spans and windows grow with the documents, and their files are far smaller than their rows: they are merged at any size.
+    seen = keep(records.join(keep(shared, "symbols").hint("merge"), "symbol"), "shared")
     spans = keep(seen.groupBy("symbol", "span").agg(F.min("doc_id").alias("first_doc")), "spans")
     several = spans.groupBy("symbol").agg(F.count("*").alias("kinds")).where("kinds > 1").select("symbol", F.lit(True).alias("mixed"))
     spans = keep(spans.join(keep(several, "symbols"), "symbol", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))), "spans")
-    seen = keep(seen.join(spans, ["symbol", "span"]), "known")
+    seen = keep(seen.join(spans.hint("merge"), ["symbol", "span"]), "known")
 
     # Texts of every document that shares a symbol; records of which single windows are compared ride along.
     record = F.struct("symbol", "span", "at", "n")
@@ -234,11 +235,11 @@ def removals(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tup
     single = texts.where(F.size("records") > 0).mapInArrow(_windows(window), "symbol long, span long, step int, win long, doc_id long")
     single = keep(single, "windows")
     met = single.groupBy("symbol", "win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("top")).where("source < top").drop("top")
-    verdict = single.join(keep(met, "met"), ["symbol", "win"]).groupBy("symbol", "span").agg(F.collect_set(F.struct("step", "source")).alias("steps"))
+    verdict = single.join(keep(met, "met").hint("merge"), ["symbol", "win"]).groupBy("symbol", "span").agg(F.collect_set(F.struct("step", "source")).alias("steps"))
 
     whole = seen.where(~F.col("mixed") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", F.array(F.struct("at", "n")).alias("gone"))
     whole = whole.union(seen.where(F.col("mixed") & (F.col("doc_id") > F.col("first_doc"))).select("doc_id", F.array(F.struct("at", "n"))))
-    partly = seen.where(F.col("mixed") & (F.col("doc_id") == F.col("first_doc"))).join(verdict, ["symbol", "span"]).select(
+    partly = seen.where(F.col("mixed") & (F.col("doc_id") == F.col("first_doc"))).join(verdict.hint("merge"), ["symbol", "span"]).select(
         "doc_id", F.transform(F.filter("steps", lambda s: s["source"] < F.col("doc_id")),
                               lambda s: F.struct((F.col("at") + s["step"]).alias("at"), F.lit(1).alias("n"))).alias("gone"))
     gone = whole.union(partly.where(F.size("gone") > 0)).groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))

@@ -78,3 +78,15 @@ def test_text_is_kept_where_nothing_repeats(spark, make_docs):
 
 def test_empty_table(spark, make_docs):
     assert repeats.removal_report(make_docs(["a"]).where("false")).collect() == []
+
+
+def test_tables_of_symbols_are_never_broadcast(spark, make_docs, monkeypatch):
+    """Files of symbols, spans and windows are far smaller than their rows, so none goes through the driver."""
+    plans = []
+    written = repeats.keep
+    monkeypatch.setattr(repeats, "keep", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or written(df, name))
+    passage = " ".join(f"w{i}" for i in range(80))
+    repeats.removals(make_docs([passage, f"a {passage}", f"b c {passage} d"]))
+    seen = dict(plans)
+    for name in ("shared", "known"):
+        assert "Broadcast" not in seen[name] and "SortMergeJoin" in seen[name], seen[name]
