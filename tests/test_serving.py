@@ -89,3 +89,21 @@ def test_a_day_is_met_once(history):
     for date in ("2020-01-06", "2020-02-01", "2021-04-07", "2022-01-01"):
         month = day(date).year * 12 + day(date).month
         assert len([s for s in spans if s.bucket in (month, sv.OPEN) and s.valid_from < day(date) <= s.valid_to]) == 1
+
+
+def test_odd_deliveries_and_the_cost_of_a_fold(spark, history):
+    """Unknown values and names, no deliveries and a missing list, against the rules written out; folds don't run row by row in SQL."""
+    past = [delivery(1, 1, batter=None, runs=2), delivery(1, 2, batter="b", runs=0), (1, 3, "a", "b", None, None, 0, None, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0, 0, 0)]
+    asked = spark.createDataFrame([request("odd", "2022-01-01", over=2, past=past, score=0), request("none", "2022-01-01"),
+                                   tuple(None if i == 15 else x for i, x in enumerate(request("missing", "2022-01-01")))], STATE)
+    described = sv.described_requests(asked)
+    rows = {r.request_id: r for r in described.collect()}
+    odd, none, missing = rows["odd"], rows["none"], rows["missing"]
+    assert (odd.current_score, odd.current_wickets, odd.runs_last_1_overs, odd.runs_last_6_deliveries, odd.wickets_last_1_overs) == (None, 0, None, None, 0)
+    assert odd.dot_rate_last_6_deliveries == 1 / 3 and (odd.ball_minus_1_runs, odd.ball_minus_2_runs, odd.ball_minus_3_runs, odd.ball_minus_4_runs) == (-1, 0, 2, -1)
+    assert (odd.batter_position_now, odd.non_striker_position_now, odd.batter_innings_runs, odd.non_striker_innings_runs) == (3, 2, None, 0)
+    assert odd.bowler_match_legal_balls == 2
+    assert (none.current_score, none.batter_position_now, none.non_striker_position_now, none.dot_rate_last_6_deliveries, none.ball_minus_1_runs) == (0, 1, 2, 0, -1)
+    assert (missing.current_score, missing.dot_rate_last_6_deliveries, missing.ball_minus_1_runs, missing.batter_position_now, missing.non_striker_position_now) == (None, None, -1, 1, 2)
+    plan = described._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
