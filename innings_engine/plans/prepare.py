@@ -22,12 +22,16 @@ class Prepared(NamedTuple):
 def prepare(texts: DataFrame, venue_names: Mapping[str, str] | None = None, team_names: Mapping[str, str] | None = None) -> Prepared:
     """Duplicates out, matches judged, the rest flattened, deliveries that break a rule set apart.
 
-    ``texts`` is (match_id, text). The fingerprints are written once, as deduplication reads them twice, and so are the judged
-    documents: log, quarantine and exclusions read them without parsing again.
+    ``texts`` is (match_id, text) and is read twice. Fingerprints are written without their texts, as deduplication reads them twice; the
+    names of later copies are far fewer than those kept, so the texts are kept against them. The judged documents are written once:
+    log, quarantine and exclusions read them without parsing again.
     """
-    marked = written(n.fingerprinted(texts.select("match_id", "text")), "documents")
-    kept, dropped = n.drop_duplicates_first(marked, "fingerprint", "match_id")
-    judged = written(n.judge(parse_documents(kept)), "judged")
+    marked = written(n.fingerprinted(texts.select("match_id", "text")).select("match_id", "fingerprint"), "fingerprints")
+    _, dropped = n.drop_duplicates_first(marked, "fingerprint", "match_id")
+    dropped = written(dropped, "duplicates")
+    # A text without a name is nobody's first, as in the operator.
+    kept = texts.select("match_id", "text").where("match_id is not null").join(dropped.select("match_id"), "match_id", "left_anti")
+    judged = written(n.judge(parse_documents(kept)), "judged", compression="zstd")
     flat = n.flatten(judged.filter("reason IS NULL"), venue_names, team_names)
     good, bad = divide(flat, {**n.identity_rules(), **n.accounting_rules()})
     return Prepared(good.drop("unknown_names", "extras_sum"), dropped.select("match_id", "fingerprint"), n.exclusions(judged), bad)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import shuffles_freed
+
 DELIVERY = ("struct<batter:string,non_striker:string,bowler:string,"
             "runs:struct<batter:int,extras:int,total:int,non_boundary:boolean>,"
             "extras:map<string,int>,wickets:array<struct<player_out:string,kind:string>>>")
@@ -57,7 +59,8 @@ def write_lines(texts: DataFrame, path: str, per_file: int = 4096) -> None:
 
     A file per document costs a folder, a rename and a listing on the driver for each.
     """
-    texts.select("match_id", "text").write.option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
+    with shuffles_freed(texts.sparkSession):
+        texts.select("match_id", "text").write.option("maxRecordsPerFile", per_file).option("compression", "gzip").json(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +114,11 @@ def _ordered(array: Column, field: str) -> Column:
 def documents_from_log(log: DataFrame) -> DataFrame:
     """Rebuild nested documents (as JSON text) from the log, irregular ones included.
 
-    Every group is one over, one innings or one match, so the collected lists are bounded.
+    Every group is one over, one innings or one match, so the collected lists are bounded. Balls are dealt by match once, as narrow rows:
+    every level is grouped where they are, and no nested list is shuffled.
     """
     c = F.col
+    log = log.repartition("match_id")
     person = lambda name: F.concat(F.lit("Player "), name)
     extras = F.map_filter(
         F.create_map(*[x for e in ("wides", "noballs", "byes", "legbyes") for x in (F.lit(e), c(e))]),
